@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules
+from . import lz_dedup, packing, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,12 +27,20 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.repetition_coverage(_table(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, folder, "documents"))
+
+
+def op10_lz_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lz_dedup.lz_dedup(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op6_suffix_dedup, op10_lz_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op10_lz_dedup": OP10_SQL}
 
 
 def _op2_sql() -> str:
@@ -62,3 +70,21 @@ SELECT *, NOT base_failed AND 100 * dup_line_chars <= {quality_rules.LINE_LIMIT}
 
 
 OP2_SQL = _op2_sql()
+
+
+OP6_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * suffix_dedup.WIDTH})) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {suffix_dedup.WIDTH - 1})) AS i FROM d)),
+  g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1 AS gone FROM w),
+  r AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {suffix_dedup.WIDTH}, true) AS fresh FROM g WHERE gone),
+  s AS (SELECT doc_id, min(i) AS a, max(i) + {suffix_dedup.WIDTH} AS b FROM (SELECT doc_id, i, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r) GROUP BY doc_id, run),
+  k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+  t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+OP10_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(array_to_string(w[i:i + {lz_dedup.WIDTH - 1}], ' '))) > 1 AS twice FROM (SELECT doc_id, w, unnest(range(1, len(w) - {lz_dedup.WIDTH - 2})) AS i FROM d)),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {lz_dedup.WIDTH})) AS j FROM g WHERE twice),
+  words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+  k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
