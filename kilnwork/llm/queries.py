@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, lz_dedup, packing, quality_classifier, quality_rules, suffix_dedup
+from . import license_scan, lz_dedup, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,12 +39,16 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, folder, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, folder, "documents")).drop("tag")
+
+
 def op10_lz_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lz_dedup.lz_dedup(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op6_suffix_dedup, op7_license_scan, op10_lz_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op6_suffix_dedup, op7_license_scan, op9_ngram_join, op10_lz_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

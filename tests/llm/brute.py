@@ -39,3 +39,35 @@ def lz_dedup(rows, width=35):
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((k, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out)
+
+
+def near_duplicates(rows, threshold=0.8, size=5):
+    """{row: (copy_of, class_id, n_links)} for rows (key, text)."""
+
+    def shingles(t):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
+        return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) or (frozenset([tuple(w)]) if w else None)
+
+    keys = [-(2**63) if k is None else k for k, _ in rows]
+    sets = [shingles(t) for _, t in rows]
+    nodes = {}
+    for k, s in zip(keys, sets):
+        if s:
+            nodes[s] = min(k, nodes.get(s, k))
+    names, links, parent = list(nodes), defaultdict(int), {s: s for s in nodes}
+
+    def root(s):
+        while parent[s] is not s:
+            s = parent[s]
+        return s
+
+    for i, s in enumerate(names):
+        for t in names[:i]:
+            if len(s & t) >= threshold * len(s | t) - 1e-9:
+                links[s] += 1
+                links[t] += 1
+                parent[root(s)] = root(t)
+    least = {}
+    for s in names:
+        least[root(s)] = min(nodes[s], least.get(root(s), nodes[s]))
+    return sorted((k, nodes[s], least[root(s)], links[s]) if s else (k, k, k, 0) for k, s in zip(keys, sets))
