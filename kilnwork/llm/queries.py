@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, lz_dedup, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
+from . import license_scan, lz_dedup, media, ngram_join, packing, pii, quality_classifier, quality_rules, sentencepiece, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +32,18 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, folder, "documents"))
+
+
+def op5_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Noisy excerpts of every fiftieth recording, aligned with all recordings; the recordings are made from the vectors."""
+    vectors = _table(spark, folder, "embeddings")
+    stored = media.fingerprints(media.melodies(vectors, "vec_id", "embedding"), "vec_id", "samples")
+    asked = media.fingerprints(media.melodies(vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", excerpt=True), "vec_id", "samples")
+    return media.aligned(stored, asked, "vec_id")
+
+
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, folder, "documents"))
 
@@ -39,6 +52,10 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, folder, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece.encoded(_table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, folder, "documents")).drop("tag")
 
@@ -48,7 +65,7 @@ def op10_lz_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op6_suffix_dedup, op7_license_scan, op9_ngram_join, op10_lz_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_pii, op5_media, op6_suffix_dedup, op7_license_scan, op8_sentencepiece, op9_ngram_join, op10_lz_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
