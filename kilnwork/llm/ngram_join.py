@@ -238,7 +238,7 @@ def _verified(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: key, tag (its text's CRC-32), copy_of, class_id, n_links.
+    """One row a document: key, tag (its text's CRC-32), copy_of, class_id, n_links, worded (whether it has words).
 
     copy_of: the least key of the documents with the same set of shingles.
     n_links: how many other sets of shingles are similar to its own by the
@@ -274,5 +274,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     classes = named.groupBy("component").agg(F.min("doc").alias("class_id"))
     about = named.join(classes, "component").join(links, "node", "left").select("node", F.col("doc").alias("copy_of"), "class_id", "n_links")
     return rows.select("doc", "tag", "node").join(about, "node", "left").select(
-        F.col("doc").alias(key), "tag", F.coalesce("copy_of", "doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        F.col("doc").alias(key), "tag", F.coalesce("copy_of", "doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("node").isNotNull().alias("worded")
     )
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each class of near duplicates the document with the least key (of equal keys the one whose text has the least CRC-32), with all its columns; documents without words all stay."""
+    classes = near_duplicates(docs, threshold, size, recall, key, text)
+    first = classes.where("worded").groupBy("class_id").agg(F.min(F.struct(F.col(key).alias("doc"), "tag")).alias("first")).select("first.doc", "first.tag")
+    kept = first.union(classes.where("not worded").select(F.col(key), "tag").distinct())
+    rows = identified(docs, key, text, F.struct(*[docs[c] for c in docs.columns]).alias("row")).drop("text")
+    joined = rows.join(kept.distinct(), ["doc", "tag"]).dropDuplicates(["doc", "tag"])
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -10,11 +10,11 @@ give an isotonic map from raw score to the chance of label 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, SPACED, U64, Rolling, mix, per_document, require, text_blocks, word_bounds, word_counts, written
@@ -142,6 +142,47 @@ def _isotonic(counts: list[tuple[int, float, float]]) -> tuple[np.ndarray, np.nd
     return np.array(x), np.array(y)
 
 
+def fitted(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", features: int = FEATURES, ridge: float = RIDGE) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from statistics to scores, learnt from a table of `document_statistics` and the labels of rows that aren't held out."""
+    marks = labels.where(F.col(label).isNotNull() & ~held_out(key)).select(F.col(key), (F.col(label) >= 1).cast("int").alias("mark"))
+    usable = table.join(marks, key).withColumn("fold", F.crc32(F.concat(F.lit("fold "), F.col(key).cast("string")).cast("binary")) % FOLDS)
+    usable = written(usable.select("statistics", "mark", "fold").repartition(PARTS, F.xxhash64("statistics")), "labelled")
+    fit = usable.where("fold <> 0").coalesce(PARTS)
+
+    moments = _summed(fit, "mark", lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]))
+    if moments is None:
+        return lambda x: np.full(len(x), 0.5)
+    n, d = moments[0], N_STATISTICS
+    mean = moments[1 : d + 1] / n
+    scale = np.sqrt(np.maximum(moments[d + 1 :] / n - mean**2, 1e-8))
+    kernel = Kernel(mean, scale, features)
+    size = 1 + d + features
+
+    def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        k = kernel(x)
+        return np.concatenate([(k.T @ k).ravel(), k.T @ (2 * y - 1)])
+
+    sums = _summed(fit, "mark", equations)
+    weights = np.linalg.solve(sums[: size * size].reshape(size, size) + ridge * n * np.eye(size), sums[size * size :])
+    raw = lambda x: kernel(x) @ weights
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.clip((raw(_matrix(batch.column(0))) - LOW) * BINS / (HIGH - LOW), 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], ["bin", "mark"])
+
+    counts = usable.where("fold = 0").select("statistics", "mark").mapInArrow(binned, "bin int, mark int").groupBy("bin").agg(F.sum("mark").alias("ones"), F.count("*").alias("rows")).collect()
+    if not counts:
+        return lambda x: np.clip((raw(x) + 1) / 2, 0, 1)
+    at, value = _isotonic([(r.bin, float(r.ones), float(r.rows)) for r in counts])
+    return lambda x: np.interp(raw(x), at, value)
+
+
+def held_out(key: str) -> Column:
+    """Whether crc32 of the key as text leaves 1 divided by 3 (a null key: false)."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", features: int = FEATURES, ridge: float = RIDGE) -> DataFrame:
     """One row a document: key, held_out, score (0 to 1), predicted (1 if the score is 0.5 or more).
 
@@ -152,43 +193,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     class only, its rate is the score. Rows with a null key are scored, not
     held out, and never learnt from. An empty table gives an empty result.
     """
-    held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
     table = written(document_statistics(docs, key, text), "statistics")
-    marks = labels.where(F.col(label).isNotNull() & ~held).select(F.col(key), (F.col(label) >= 1).cast("int").alias("mark"))
-    usable = table.join(marks, key).withColumn("fold", F.crc32(F.concat(F.lit("fold "), F.col(key).cast("string")).cast("binary")) % FOLDS)
-    usable = written(usable.select("statistics", "mark", "fold").repartition(PARTS, F.xxhash64("statistics")), "labelled")
-    fit = usable.where("fold <> 0").coalesce(PARTS)
-
-    moments = _summed(fit, "mark", lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]))
-    if moments is None:
-        predict = lambda x: np.full(len(x), 0.5)
-    else:
-        n, d = moments[0], N_STATISTICS
-        mean = moments[1 : d + 1] / n
-        scale = np.sqrt(np.maximum(moments[d + 1 :] / n - mean**2, 1e-8))
-        kernel = Kernel(mean, scale, features)
-        size = 1 + d + features
-
-        def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            k = kernel(x)
-            return np.concatenate([(k.T @ k).ravel(), k.T @ (2 * y - 1)])
-
-        sums = _summed(fit, "mark", equations)
-        weights = np.linalg.solve(sums[: size * size].reshape(size, size) + ridge * n * np.eye(size), sums[size * size :])
-        raw = lambda x: kernel(x) @ weights
-
-        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bins = np.clip((raw(_matrix(batch.column(0))) - LOW) * BINS / (HIGH - LOW), 0, BINS - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], ["bin", "mark"])
-
-        counts = usable.where("fold = 0").select("statistics", "mark").mapInArrow(binned, "bin int, mark int").groupBy("bin").agg(F.sum("mark").alias("ones"), F.count("*").alias("rows")).collect()
-        if counts:
-            at, value = _isotonic([(r.bin, float(r.ones), float(r.rows)) for r in counts])
-            predict = lambda x: np.interp(raw(x), at, value)
-        else:
-            predict = lambda x: np.clip((raw(x) + 1) / 2, 0, 1)
-
+    predict = fitted(table, labels, key, label, features, ridge)
     kind = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +202,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             s = predict(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [key, "held_out", "score", "predicted"])
 
-    return table.select(key, "statistics", held.alias("held_out")).mapInArrow(score, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return table.select(key, "statistics", held_out(key).alias("held_out")).mapInArrow(score, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of docs, with all columns, whose score is `least` or more. Texts aren't shuffled: statistics are computed again as rows pass."""
+    predict = fitted(document_statistics(docs, key, text), labels, key, label)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, data, offsets in text_blocks(batch.column(at)):
+                yield batch.slice(first, n).filter(pa.array(predict(statistics(data, offsets).astype(float)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -57,15 +57,21 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.near_duplicates(_table(spark, folder, "documents")).drop("tag")
+    return ngram_join.near_duplicates(_table(spark, folder, "documents")).drop("tag", "worded")
 
 
 def op10_lz_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lz_dedup.lz_dedup(_table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_pii, op5_media, op6_suffix_dedup, op7_license_scan, op8_sentencepiece, op9_ngram_join, op10_lz_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_pii, op5_media, op6_suffix_dedup, op7_license_scan, op8_sentencepiece, op9_ngram_join, op10_lz_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

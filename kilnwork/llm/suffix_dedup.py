@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import text_blocks
 from .windows import GIANT, Contexts, Grain, identified, merged, repeated_spans, with_spans
@@ -147,6 +148,32 @@ def _shortened(keep_text: bool) -> callable:
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = batch.column(2)
+        for first, n, data, offsets in text_blocks(batch.column(1)):
+            texts = []
+            for i in range(n):
+                text = data[offsets[i] : offsets[i + 1]]
+                kept = np.ones(len(text), bool)
+                if spans[first + i].is_valid:
+                    own = spans[first + i].values
+                    for a, b in zip(own.field(0).to_pylist(), own.field(1).to_pylist()):
+                        kept[a:b] = False
+                texts.append(text[kept].tobytes().decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(texts, pa.string())], ["row", "text"])
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", giant: int = GIANT) -> DataFrame:
+    """All rows and columns of docs, the text without the bytes that `suffix_dedup` removes (a null text becomes empty; characters broken by a cut go too)."""
+    source = identified(docs, key, text)
+    spans = repeated_spans(source, Grain(False, width, GRAM), earlier_windows, anywhere=False, giant=giant)
+    rows = identified(docs, key, text, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
+    cut = with_spans(rows, spans).select("row", "text", "spans").mapInArrow(_cut, schema)
+    return cut.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", keep_text: bool = False, giant: int = GIANT) -> DataFrame:
     """One row a document: key, n_bytes, n_removed, n_spans, kept_sha256 (keep_text: also kept_text, without broken characters at the cuts).
 

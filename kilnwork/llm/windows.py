@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, SPACED, U64, Rolling, mix, text_blocks, word_bounds, written
@@ -265,10 +265,10 @@ def _compared(grain: Grain, method: Callable[[Contexts, int], np.ndarray]) -> Ca
     return run
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, tag, text): the key as a long (null: the least), the text's CRC-32 (so that rows with equal keys are told apart), the text (null: empty)."""
+def identified(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(doc, tag, text): the key as a long (null: the least), the text's CRC-32 (so that rows with equal keys are told apart), the text (null: empty); and more columns."""
     whole = F.coalesce(docs[text], F.lit(""))
-    return docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(whole).alias("tag"), whole.alias("text"))
+    return docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(whole).alias("tag"), whole.alias("text"), *more)
 
 
 def repeated_spans(source: DataFrame, grain: Grain, method: Callable[[Contexts, int], np.ndarray], anywhere: bool, giant: int = GIANT) -> DataFrame:
