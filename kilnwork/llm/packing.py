@@ -13,6 +13,7 @@ than the allowed slack, the larger items are halved first.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,36 +37,32 @@ SLICE = 1 << 20
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Karmarkar-Karp: sums of k windows, and the window of each item."""
+    """Karmarkar-Karp: sums of k windows, fullest first, and the window of each item."""
     n = len(sizes)
-    following = np.full(n, -1)
     heap = []
-    for i, size in enumerate(sizes):
-        sums, ends = np.zeros(k, np.int64), np.full(k, -1)
-        sums[0], ends[0] = size, i
-        heap.append((-int(size) if k > 1 else 0, i, sums, ends, ends.copy()))
+    for i, size in enumerate(sizes.tolist()):
+        sums = np.zeros(k, np.int64)
+        sums[0] = size
+        heap.append((-size if k > 1 else 0, i, sums))
     heapq.heapify(heap)
-    count = n
+    merges = []  # the two partitions, and how the merged one's windows were ordered
     while len(heap) > 1:
-        _, _, a, a_head, a_tail = heapq.heappop(heap)
-        _, _, b, b_head, b_tail = heapq.heappop(heap)
-        b, b_head, b_tail = b[::-1], b_head[::-1], b_tail[::-1]
-        sums = a + b
-        both = (a_tail >= 0) & (b_head >= 0)
-        following[a_tail[both]] = b_head[both]
-        head, tail = np.where(a_head >= 0, a_head, b_head), np.where(b_tail >= 0, b_tail, a_tail)
-        order = np.argsort(-sums, kind="stable")
-        sums, head, tail = sums[order], head[order], tail[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), count, sums, head, tail))
-        count += 1
-    _, _, sums, head, _ = heap[0]
-    window = np.full(n, -1)
-    for w in range(k):
-        i = head[w]
-        while i >= 0:
-            window[i] = w
-            i = following[i]
-    return sums, window
+        _, a, fuller = heapq.heappop(heap)
+        _, b, other = heap[0]
+        sums = fuller + other[::-1]
+        order = sums.argsort()[::-1]
+        sums = sums[order]
+        heapq.heapreplace(heap, (int(sums[-1] - sums[0]), n + len(merges), sums))
+        merges.append((a, b, order))
+    sums = heap[0][2]
+    labels: list = [None] * (n + len(merges))
+    labels[-1] = np.arange(k)
+    for node in range(n + len(merges) - 1, n - 1, -1):
+        a, b, order = merges[node - n]
+        own = np.empty(k, np.int64)
+        own[order] = labels[node]
+        labels[node], labels[a], labels[b] = None, own, own[::-1]
+    return sums, np.array([x[0] for x in labels[:n]])
 
 
 def _halved(items: list[tuple[int, int, int]], longest: int) -> list[tuple[int, int, int]]:
@@ -77,64 +74,96 @@ def _halved(items: list[tuple[int, int, int]], longest: int) -> list[tuple[int,
     return out
 
 
-def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
-    """Windows of at most `capacity` from items (document, start, length), none longer than the capacity."""
+def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY, slack: float = SLACK, longest: int | None = None) -> tuple[list[list[tuple[int, int, int]]], int]:
+    """Windows of at most `capacity` from items (document, start, length), none longer than the capacity; and the greatest length that items were left.
+
+    The number of windows is the least possible one; exceeded, it rises to what
+    the slack allows; exceeded again, items over half the length are halved.
+    """
     total = sum(x[2] for x in items)
+    longest = capacity if longest is None else min(longest, capacity)
     if not total:
-        return []
+        return [], longest
     least = -(-total // capacity)
-    most, longest = int(least * (1 + slack)), capacity
+    most = max(least + (least > 1), int(least * (1 + slack)))
+    if longest < capacity:
+        items = _halved(items, longest)
     while True:
-        k = least
         sizes = np.array([x[2] for x in items], np.int64)
-        while True:
+        for k in sorted({least, most}):
             sums, window = differencing(sizes, k)
-            if sums[0] <= capacity or (k >= most and longest > 16):
-                break
-            over = int(np.maximum(sums - capacity, 0).sum())
-            k = min(max(k + 1, k + over // (2 * capacity)), max(most, k + 1))
-        if sums[0] <= capacity:
-            windows: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
-            for x, w in zip(items, window):
-                windows[w].append(x)
-            return [w for w in windows if w]
-        longest //= 2
+            if sums[0] <= capacity:
+                windows: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
+                for x, w in zip(items, window):
+                    windows[w].append(x)
+                return [w for w in windows if w], longest
+        longest = max(1, longest // 2)
         items = _halved(items, longest)
 
 
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """A byte-level BPE vocabulary as ranks of byte strings, if its merges come in the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    byte_of = {chr(c): b for b, c in [*((b, b) for b in printable), *((b, 256 + i) for i, b in enumerate(rest))]}
+    vocabulary = model["vocab"]
+    if any(c not in byte_of for x in vocabulary for c in x if x not in ("<|endoftext|>",)):
+        return None
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [vocabulary.get("".join(m), -1) for m in merges]
+    if ids != list(range(256, 256 + len(merges))):
+        return None
+    return {bytes(byte_of[c] for c in x): i for x, i in vocabulary.items() if i < 256 + len(merges)}
+
+
 class Ids:
-    """Ids of texts by a tokenizer, little-endian unsigned 32-bit.
+    """Ids of texts by a byte-level BPE tokenizer, little-endian unsigned 32-bit.
 
-    A text whose white space never doubles falls apart at its spaces without any
-    change of ids, as this byte-level vocabulary's pattern never joins across
-    them; so each distinct part is tokenised once. Any other text goes to the
-    tokenizer whole.
+    The vocabulary's pattern never joins across a single white-space character,
+    so a text whose white space never doubles falls apart at its spaces without
+    any change of ids, and each distinct part is tokenised once. New parts are
+    strung together with line ends, which are tokens of their own, and encoded by
+    the same merges in one call. What this doesn't hold for (doubled white space,
+    special tokens, white space at a part's end, a vocabulary of another kind)
+    goes to the tokenizer itself.
     """
 
     _doubled = re.compile(r"\s\s")
-    #: Strings in which letters and digits, marks and line ends are tokens of their own whatever follows, and their parts.
-    _plain = re.compile(r"(?: ?[^\W_]+[.,;:!?#*$%&|]*\n?)+")
-    _parts = re.compile(r" ?[^\W_]+|[.,;:!?#*$%&|]+|\n")
 
-    def __init__(self, path: str, cut: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cut = Tokenizer.from_file(path), cut
+        self.tokenizer = Tokenizer.from_file(path)
+        ranks = _ranks(path)
+        self.fast = None
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.line_end = ranks[b"\n"]
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> None:
-        plain, cores = self._plain.fullmatch, self.cores
-        parts = {u: self._parts.findall(u) if plain(u) else [u] for u in units}
-        missing = list({x for row in parts.values() for x in row if x not in cores})
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            cores.update(zip(some, self._encode(some)))
-        self.known.update((u, cores[row[0]] if len(row) == 1 else b"".join([cores[x] for x in row])) for u, row in parts.items())
+        odd = [u for u in units if "<|" in u or u[-1:].isspace() or u[:1] == "\n" or not u]
+        if odd:
+            self.known.update(zip(odd, self._encode(odd)))
+            odd_ = set(odd)
+            units = [u for u in units if u not in odd_]
+        for i in range(0, len(units), 50_000):
+            part = units[i : i + 50_000]
+            ids = np.array(self.fast.encode_ordinary("\n".join(part)), "<u4")
+            breaks = np.flatnonzero(ids == self.line_end)
+            lines = np.cumsum([u.count("\n") + 1 for u in part])[:-1] - 1
+            bounds = np.concatenate([[-1], breaks[lines], [len(ids)]])
+            raw = ids.tobytes()
+            self.known.update((u, raw[4 * a + 4 : 4 * b]) for u, a, b in zip(part, bounds[:-1].tolist(), bounds[1:].tolist()))
 
     def _sliced(self, text: str) -> Iterator[str]:
         start = 0
@@ -146,60 +175,62 @@ class Ids:
             start = end
         yield text[start:]
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; all of them are held at once, so give a bounded batch."""
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
-        if len(self.cores) > CACHE:
-            self.cores.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.cut or self._doubled.search(t)]
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        units = []
-        for i in rest:
-            units.append([])
-            for piece in self._sliced(texts[i]):
-                first, *others = piece.split(" ")
-                units[-1] += [first, *[" " + x for x in others]] if first else [" " + x for x in others]
-        known = self.known
-        missing = {u for row in units for u in row if u not in known}
-        if missing and self.older:
-            again = missing & self.older.keys()
-            known.update((u, self.older[u]) for u in again)
-            missing -= again
-        if missing:
-            self._learn(list(missing))
-        for i, row in zip(rest, units):
-            out[i] = b"".join([known[u] for u in row])
-        return out
-
-
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: float = SLACK, end_id: int = 0, cut_at_spaces: bool = True, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    def of(self, text: str) -> bytes:
+        if self.fast is None or self._doubled.search(text):
+            return self._encode([text])[0]
+        out = []
+        for piece in self._sliced(text):
+            first, *units = piece.split(" ")
+            units = [" " + x for x in units]
+            if first:
+                units.insert(0, first)
+            known = self.known
+            missing = {u for u in units if u not in known}
+            if missing:
+                if len(known) > CACHE:
+                    self.older, self.known = known, {}
+                    known, missing = self.known, set(units)
+                again = missing & self.older.keys()
+                known.update((u, self.older[u]) for u in again)
+                self._learn(list(missing - again))
+            out += [known[u] for u in units]
+        return b"".join(out)
+
+
+_ids: dict[str, Ids] = {}
+
+
+def ids_by(path: str) -> Ids:
+    """This process's Ids for the vocabulary."""
+    if path not in _ids:
+        _ids[path] = Ids(path)
+    return _ids[path]
+
+
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: float = SLACK, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a piece: where it lies in its document and in its sequence, and its ids' CRC-32 (with_ids: the ids too).
 
     Ids are the tokenizer's, then `end_id`; a null or empty text is just that
-    id. `cut_at_spaces` suits byte-level vocabularies; without it texts go to
-    the tokenizer whole. Rows with the same key are separate documents; a null
-    key stays null; an empty table gives an empty result. `sequence_id` is
-    unique over the table: the partition's number and a number within it.
+    id. Rows with the same key are separate documents; a null key stays null; an
+    empty table gives an empty result. `sequence_id` is unique over the table:
+    the partition's number and a number within it.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sequence = Ids(tokenizer, cut_at_spaces), TaskContext.get().partitionId() << 40
+        ids, sequence, longest = ids_by(tokenizer), TaskContext.get().partitionId() << 40, capacity
         tokens: list[bytes] = []
         keys: list = []
         items: list[tuple[int, int, int]] = []
         full: list[tuple[int, int, int]] = []
 
         def flush(key_type: pa.DataType) -> pa.RecordBatch:
-            nonlocal sequence
+            nonlocal sequence, longest
             rows: list[tuple] = []
-            for window in [*[[x] for x in full], *pack(items, capacity, slack)]:
+            windows, longest = pack(items, capacity, slack, 2 * longest)
+            for window in [*[[x] for x in full], *windows]:
                 offset = 0
                 for d, start, length in window:
                     piece = tokens[d][4 * start : 4 * (start + length)]
@@ -217,8 +248,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: flo
             key_type = batch.column(0).type
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                for k, row in zip(part.column(0).to_pylist(), ids.of([t or "" for t in part.column(1).to_pylist()])):
-                    row += end
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    row = ids.of(t or "") + end
                     n, d = len(row) // 4, len(tokens)
                     keys.append(k)
                     tokens.append(row)
