@@ -17,19 +17,22 @@ RANKED = 9
 BLOCK, BROADCAST_BLOCKS = 1024, 8
 
 
-def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Counts of tokens in buckets by their hash, scaled to unit length (all 0 without tokens)."""
-    tokens = tokenize(text)
-    bucket = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    buckets = F.transform(tokens, bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-
-
-def embedded(df: DataFrame, text: str, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+def hash_embeddings(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, embedding): counts of tokens in buckets by their hash, scaled to unit length (all 0 without tokens). Give a unique key."""
+    bucket = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+    tokens = df.select(key, F.explode(tokenize(F.col(text))).alias("token"))
+    counts = tokens.groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    sums = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    full = sums.select(key, F.transform(places, lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
+    return df.select(key).join(full, key, "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), dimensions)))
+
+
+def embedded(df: DataFrame, key: str, text: str, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """With a column `embedding`: a ready one is kept, else `embed` (a pandas UDF around a model, say) or the hashing default makes it."""
-    return df if "embedding" in df.columns else df.withColumn("embedding", (embed or hash_embedding)(F.col(text)))
+    if "embedding" in df.columns:
+        return df
+    return df.withColumn("embedding", embed(F.col(text))) if embed else df.join(hash_embeddings(df, key, text), key)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -37,7 +37,7 @@ def page_report(chunks: DataFrame) -> DataFrame:
 
 def hybrid_search(chunks: DataFrame, index: keyword_index.KeywordIndex | None, queries: DataFrame, top: int = 5, candidates: int = 20, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """Fused hits with their chunks. Without an index only vectors are searched; without chunks there are no hits, whatever the index has."""
-    near = vectors.nearest(vectors.embedded(chunks, "document", embed), vectors.embedded(queries, "query", embed), candidates)
+    near = vectors.nearest(vectors.embedded(chunks, "chunk_id", "document", embed), vectors.embedded(queries, "query_id", "query", embed), candidates)
     words = near.where("false").select("query_id", "chunk_id", F.lit(1).alias("bm25_rank")) if index is None else keyword_index.search(index, queries, candidates)
     some = chunks.limit(1).agg(F.count("*").alias("some"))  # one row
     words = words.crossJoin(F.broadcast(some)).where("some > 0").drop("some")

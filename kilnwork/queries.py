@@ -123,9 +123,11 @@ def _scores_sql(questions: str = "SELECT item_id AS query_id, text AS query FROM
   bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id, chunk_index) AS bm25_rank FROM sc) WHERE bm25_rank <= 20 AND round(score, 9) > 0)"""
 
 
-def _embedding_sql(c: str) -> str:
-    buckets = f"list_transform({_tokens_sql(c)}, lambda t: ('0x' || substr(md5(t), 1, 8))::bigint % {vectors.DIMENSIONS})"
-    return f"(SELECT list_transform(n, lambda x: CASE WHEN list_sum(list_transform(n, lambda y: y * y)) > 0 THEN x / sqrt(list_sum(list_transform(n, lambda y: y * y))) ELSE 0.0::double END) FROM (SELECT list_transform(range({vectors.DIMENSIONS}), lambda i: len(list_filter(b, lambda x: x = i))::double) AS n FROM (SELECT {buckets} AS b)))"
+def _embedding_sql(name: str, source: str, key: str, column: str) -> str:
+    """name(key, embedding) of a table's text column."""
+    return f"""{name}_n AS MATERIALIZED (SELECT {key}, b, count(*)::double AS n FROM (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::bigint % {vectors.DIMENSIONS} AS b FROM (SELECT {key}, unnest({_tokens_sql(column)}) AS t FROM {source})) GROUP BY ALL),
+  {name}_l AS (SELECT {key}, sqrt(sum(n * n)) AS norm FROM {name}_n GROUP BY {key}),
+  {name} AS MATERIALIZED (SELECT k.{key}, list(coalesce(n / norm, 0.0::double) ORDER BY i) AS embedding FROM (SELECT DISTINCT {key} FROM {source}) k CROSS JOIN range({vectors.DIMENSIONS}) r(i) LEFT JOIN {name}_n x ON x.{key} = k.{key} AND b = i LEFT JOIN {name}_l y ON y.{key} = k.{key} GROUP BY k.{key})"""
 
 
 def _nearest_sql(chunks: str, questions: str, k: int) -> str:
@@ -136,7 +138,7 @@ def _nearest_sql(chunks: str, questions: str, k: int) -> str:
 
 FUSED = """fu AS (SELECT query_id, chunk_id, vec_rank, bm25_rank, coalesce(1.0::double / (60 + vec_rank), 0) + coalesce(1.0::double / (60 + bm25_rank), 0) AS rrf_score FROM vec FULL JOIN bm USING (query_id, chunk_id)),
   f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, vec_rank NULLS LAST, bm25_rank NULLS LAST) AS fused_rank FROM fu) WHERE fused_rank <= 5)"""
-HYBRID = f"{CHUNKS}, ce AS MATERIALIZED (SELECT *, {_embedding_sql('document')} AS embedding FROM c), {_index_sql('c')}, {_scores_sql()}, qe AS MATERIALIZED (SELECT *, {_embedding_sql('query')} AS embedding FROM q), {_nearest_sql('ce', 'qe', 20)}, {FUSED}"
+HYBRID = f"{CHUNKS}, {_embedding_sql('cv', 'c', 'chunk_id', 'document')}, ce AS MATERIALIZED (SELECT * FROM c JOIN cv USING (chunk_id)), {_index_sql('c')}, {_scores_sql()}, {_embedding_sql('qe', 'q', 'query_id', 'query')}, {_nearest_sql('ce', 'qe', 20)}, {FUSED}"
 
 
 # Sources.
@@ -304,9 +306,10 @@ def patch_remove(spark: SparkSession, folder: str) -> DataFrame:
 # Vectors and fusion.
 
 
-@query(f"SELECT doc_id, list_transform({_embedding_sql('text')}, lambda x: round(x, 6)) AS embedding FROM documents")
+@query(f"WITH {_embedding_sql('v', 'documents', 'doc_id', 'text')} SELECT doc_id, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM v")
 def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "documents").select("doc_id", F.transform(vectors.hash_embedding(F.col("text")), lambda x: F.round(x, 6)).alias("embedding"))
+    made = vectors.hash_embeddings(_read(spark, folder, "documents"), "doc_id", "text")
+    return made.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,7 +339,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.hybrid_search(chunks, keyword_index.build(chunks), _questions(spark, folder)).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
-@query(f"WITH {CHUNKS}, ce AS MATERIALIZED (SELECT *, {_embedding_sql('document')} AS embedding FROM c), qe AS MATERIALIZED (SELECT item_id AS query_id, {_embedding_sql('text')} AS embedding FROM benchmark), {_nearest_sql('ce', 'qe', 5)} SELECT query_id, chunk_id, vec_rank::int AS vec_rank FROM vec")
+@query(f"WITH {CHUNKS}, {_embedding_sql('cv', 'c', 'chunk_id', 'document')}, ce AS MATERIALIZED (SELECT * FROM c JOIN cv USING (chunk_id)), {_embedding_sql('qv', 'benchmark', 'item_id', 'text')}, qe AS (SELECT item_id AS query_id, embedding FROM qv), {_nearest_sql('ce', 'qe', 5)} SELECT query_id, chunk_id, vec_rank::int AS vec_rank FROM vec")
 def vector_only_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Hybrid search without a keyword index."""
     return jobs.hybrid_search(_chunks(spark, folder), None, _questions(spark, folder)).select("query_id", "chunk_id", "vec_rank")
@@ -390,7 +393,7 @@ INCOMING = f"d AS (SELECT doc_id, {PATH} AS path, substr(text, 1, 60) AS title,
 def _incoming(spark: SparkSession, folder: str) -> DataFrame:
     title = F.substring("text", 1, 60)
     docs = _read(spark, folder, "documents").select("doc_id", text.page_path(F.col("source"), title).alias("path"), title.alias("title"), F.col("text").alias("markdown"), "lang")
-    return docs.withColumn("embedding", vectors.hash_embedding(F.col("title")))
+    return vectors.embedded(docs, "doc_id", "title")
 
 
 def _targets(spark: SparkSession, folder: str) -> DataFrame:
@@ -413,7 +416,7 @@ def exact_path_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.exact_paths(_incoming(spark, folder), _targets(spark, folder)).select("doc_id", "is_existing", "existing_id")
 
 
-SIMILAR = f"""{INCOMING}, de AS MATERIALIZED (SELECT doc_id, {_embedding_sql("title")} AS embedding FROM d),
+SIMILAR = f"""{INCOMING}, {_embedding_sql("de", "d", "doc_id", "title")},
   ce AS MATERIALIZED (SELECT page_id, page_id AS chunk_id, 0 AS chunk_index, title, path, embedding FROM t JOIN de ON page_id = doc_id), qe AS (SELECT doc_id AS query_id, embedding FROM de), {_nearest_sql("ce", "qe", 3)},
   s1 AS (SELECT query_id AS doc_id, t.path, t.title, distance, vec_rank, row_number() OVER (PARTITION BY query_id, t.path ORDER BY vec_rank) AS nth FROM vec JOIN t USING (page_id) WHERE round(distance, 9) <= 0.2 AND t.path IS NOT NULL),
   sim AS (SELECT doc_id, path, title, distance, row_number() OVER (PARTITION BY doc_id ORDER BY vec_rank) AS place FROM s1 WHERE nth = 1)"""
