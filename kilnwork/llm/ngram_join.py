@@ -4,10 +4,10 @@ Texts with equal sets of word shingles are one node. Each tree of the forest
 orders the nodes by a part of their signature, a sorted prefix trie; nodes match
 where they share a prefix. The prefix starts at full depth and is shortened until
 the chance that some tree matches a pair at the threshold reaches the target
-recall. Within a match, nodes gather around leaders (the first node of its kind
-there), so that copies make rows in proportion to their number; every pair that
-can be similar has a leader in common. Pairs around a leader are verified exactly
-from their shingles, in blocks of bounded size, and counted, not emitted.
+recall. Within a match, nodes are connected through leaders (the first node of its
+kind there), so that copies make rows in proportion to their number. The pairs of
+a connected group are verified exactly from their texts, in blocks of bounded size,
+and counted, not emitted.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 8
 #: Chance that a pair just at the threshold is found.
 RECALL = 0.9995
-#: Estimated similarity from which a node gathers around a leader instead of being one, and from which it is compared with a leader's nodes. By the triangle inequality of Jaccard distances (and four standard errors of the estimates) two nodes at the threshold share a leader.
-LEADER, NEAR = 0.7, 0.2
-#: Nodes, and shingles, in a block of pairs to verify.
-BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Estimated similarity from which a node gathers around a leader instead of being one, and from which it is connected with a leader. Jaccard distances keep the triangle inequality, so of two nodes at the threshold one is this near to the other's leader.
+LEADER, NEAR = 0.7, 0.35
+#: Nodes, and shingles, in a block; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 768, 1_000_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, (2, TREES * DEPTH), dtype=U64)
 _FLIPS, _FACTORS = _RANDOM[0], _RANDOM[1] | U64(1)
@@ -93,19 +93,20 @@ def _signed(size: int, depth: int):
     return run
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, leader) from rows (prefix, node, signature) sorted by prefix and node. Only a prefix's leaders are held."""
-    prefix, leaders, names = None, np.zeros((0, TREES * DEPTH), np.uint8), []
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): edges that connect what can be similar, from rows (prefix, node, signature) sorted by prefix and node. At most one edge a node and one a leader; only a prefix's leaders are held."""
+    none = np.zeros((0, TREES * DEPTH), np.uint8)
+    prefix, leaders, names, group = None, none, [], np.zeros(0, int)
     for batch in batches:
         if not len(batch):
             continue
         keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         signatures = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), -1)
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[list[int], list[int]]] = []
         for a, b in zip(cuts, cuts[1:]):
             if keys[a] != prefix:
-                prefix, leaders, names = keys[a], np.zeros((0, TREES * DEPTH), np.uint8), []
+                prefix, leaders, names, group = keys[a], none, [], np.zeros(0, int)
             while a < b:
                 part = slice(a, min(b, a + 1024))
                 # Leaders are found one after the other; all others are compared with all leaders at once.
@@ -113,38 +114,20 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 led = (alike >= LEADER).any(axis=1)
                 while not led.all():
                     i = int(np.argmin(led))
-                    leaders, names = np.concatenate([leaders, signatures[a + i][None]]), [*names, nodes[a + i]]
+                    leaders, names, group = np.concatenate([leaders, signatures[a + i][None]]), [*names, int(nodes[a + i])], np.append(group, len(group))
                     alike = np.concatenate([alike, (signatures[part] == signatures[a + i]).mean(axis=1)[:, None]], 1)
                     led = (alike >= LEADER).any(axis=1)
-                row, which = np.nonzero(alike >= NEAR)
-                out.append((nodes[part][row], np.array(names)[which]))
+                near = alike >= NEAR
+                first = near.argmax(axis=1)
+                out.append((nodes[part].tolist(), [names[i] for i in first]))
+                for row in np.unique(near, axis=0):  # leaders that some node is near to belong together
+                    joined = np.unique(group[row])
+                    for g in joined[1:]:
+                        out.append(([names[int(np.argmax(group == g))]], [names[int(np.argmax(group == joined[0]))]]))
+                        group[group == g] = joined[0]
                 a = part.stop
-        found = [np.concatenate(x) for x in zip(*out)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["node", "leader"])
-
-
-_UNIT = "leader long, a int, b int, side int, node long, leaders array<long>, shingles binary"
-
-
-def _fetched(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, rows, data, offsets in text_blocks(batch.column(0)):
-                hashes, begins = shingles(data, offsets, size)
-                for i in range(rows):
-                    units = batch.column(3)[first + i].values
-                    count, sets = len(units), hashes[begins[i] : begins[i + 1]].tobytes()
-                    step = max(1, (16 << 20) // max(1, len(sets)))
-                    for j in range(0, count, step):
-                        n = min(step, count - j)
-                        part = units.slice(j, n)
-                        same = pa.array(np.zeros(n, np.int32))
-                        yield pa.RecordBatch.from_arrays(
-                            [*[part.field(k) for k in range(4)], batch.column(1).slice(first + i, 1).take(same), batch.column(2).slice(first + i, 1).take(same), pa.array([sets] * n, pa.binary())],
-                            [x.split()[0] for x in _UNIT.split(", ")],
-                        )
-
-    return run
+        columns = [np.array([x for pair in out for x in pair[k]], np.int64) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b"])
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -168,38 +151,30 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _verified(threshold: float):
-    """(node, links, root) from units sorted by leader and block pair: exact similarities of a block pair's nodes."""
+def _verified(threshold: float, size: int):
+    """(node, links, root) from rows (component, a, b, side, node, text) sorted by component and block pair: exact similarities of a block pair's nodes."""
     t = Fraction(threshold).limit_denominator(10_000)
 
     def unit(rows: pa.Table) -> list[tuple[int, int, int]]:
-        leader, a, b = (rows.column(k)[0].as_py() for k in range(3))
         node = rows.column(4).to_numpy()
         _, once = np.unique(node, return_index=True)  # a repeated row comes twice
-        side, node = rows.column(3).to_numpy()[once], node[once]
-        leaders = [rows.column(5)[int(i)].as_py() for i in once]
-        sets = [np.frombuffer(rows.column(6)[int(i)].as_py(), U64) for i in once]
-        if len(sets) < 2:
+        if len(once) < 2:
             return []
+        a, b, side, node = rows.column(1)[0].as_py(), rows.column(2)[0].as_py(), rows.column(3).to_numpy()[once], node[once]
+        sets = []
+        for _, n, data, offsets in text_blocks(rows.column(5).take(pa.array(once))):
+            hashes, begins = shingles(data, offsets, size)
+            sets += [hashes[begins[i] : begins[i + 1]] for i in range(n)]
         n = np.array([len(s) for s in sets])
         shared = _intersections(sets)
         linked = (t.denominator + t.numerator) * shared >= t.numerator * (n[:, None] + n[None])
         np.fill_diagonal(linked, False)
         if a != b:
             linked &= side[:, None] != side[None]
-        # A pair counts under the least of its common leaders alone.
-        less = sorted({x for own in leaders for x in own if x < leader})
-        if less:
-            place = {x: i for i, x in enumerate(less)}
-            has = np.zeros((len(sets), len(less)), np.float32)
-            for i, own in enumerate(leaders):
-                has[i, [place[x] for x in own if x < leader]] = 1
-            linked &= (has @ has.T) == 0
         links = linked.sum(axis=1)
         root = np.arange(len(sets))
         while True:  # the least linked node's root, until nothing moves
-            least = np.where(linked, root[None], len(sets)).min(axis=1)
-            new = np.minimum(root, least)
+            new = np.minimum(root, np.where(linked, root[None], len(sets)).min(axis=1))
             new = new[new]
             if (new == root).all():
                 break
@@ -254,19 +229,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     beside = Window.partitionBy("prefix").orderBy("node")
     matched = nodes.select("node", F.explode("prefixes").alias("prefix")).withColumn("alone", F.lag("node").over(beside).isNull() & F.lead("node").over(beside).isNull()).where("not alone")
     signed = matched.select("prefix", "node").join(nodes.select("node", "signature"), "node").select("prefix", "node", "signature")
-    led = signed.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_led, "node long, leader long")
-    members = written(led.distinct(), "members")
+    edges = signed.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_gathered, "a long, b long")
+    members = components(edges)
 
-    sizes = members.join(nodes.select("node", "n"), "node").groupBy("leader").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).where("many > 1")
+    sizes = members.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("leader", blocks.alias("blocks")), "leader").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = placed.select("node", "leader", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.groupBy("node").agg(F.collect_list(F.struct("leader", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side")).alias("units"))
-    leaders = members.groupBy("node").agg(F.collect_list("leader").alias("leaders"))
-    wanted = units.join(leaders, "node").join(nodes.select("node", "doc", "tag"), "node")
-    texts = source.join(wanted, ["doc", "tag"]).select("text", "node", "leaders", "units")
-    verified = texts.mapInArrow(_fetched(size), _UNIT).repartition("leader", "a", "b").sortWithinPartitions("leader", "a", "b").mapInArrow(_verified(threshold), "node long, links long, root long")
-    verified = written(verified, "verified")
+    placed = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("side", other).alias("a"), F.greatest("side", other).alias("b")))
+    wanted = placed.join(nodes.select("node", "doc", "tag"), "node").select("doc", "tag", "node", "component", "side", units.alias("units"))
+    texts = source.join(wanted, ["doc", "tag"]).select("component", F.explode("units").alias("unit"), "side", "node", "text")
+    paired = texts.select("component", "unit.a", "unit.b", "side", "node", "text").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
+    verified = written(paired.mapInArrow(_verified(threshold, size), "node long, links long, root long"), "verified")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     parts = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
