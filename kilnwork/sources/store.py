@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "_current"
+POINTER = "current.txt"
 
 
 def _files(spark: SparkSession, path: str):
@@ -53,6 +53,8 @@ def load_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, D
     if not fs.exists(target):
         return None
     version = spark.read.text(f"{path}/{POINTER}").first()
+    if version is None:
+        return None
     try:
         return {n: spark.read.parquet(f"{path}/{version[0]}/{n}") for n in names}
     except Exception:  # a table is missing or can't be read
