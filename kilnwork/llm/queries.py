@@ -75,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op10_lz_dedup": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op9_ngram_join": OP9_SQL, "op10_lz_dedup": OP10_SQL}
 
 
 def _op2_sql() -> str:
@@ -123,3 +123,16 @@ OP10_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_t
   words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
   k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
 SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+OP9_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {ngram_join.SHINGLE - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {ngram_join.SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+  k AS MATERIALIZED (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k, count(*) AS n FROM g GROUP BY doc_id),
+  node AS MATERIALIZED (SELECT k, min(doc_id) AS node, any_value(n) AS n FROM k GROUP BY k),
+  s AS MATERIALIZED (SELECT node, n, g FROM node JOIN g ON doc_id = node),
+  l AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM s a JOIN s b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 10 * count(*) >= {round(10 * ngram_join.THRESHOLD)} * (a.n + b.n - count(*))),
+  e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT node, node AS reached FROM node UNION SELECT r.node, e.b FROM r JOIN e ON reached = e.a),
+  c AS (SELECT node, min(reached) AS class_id FROM r GROUP BY node),
+  n AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, coalesce(node, doc_id) AS copy_of, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::bigint AS n_links
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN node USING (k) LEFT JOIN c USING (node) LEFT JOIN n USING (node)"""
