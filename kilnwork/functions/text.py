@@ -86,7 +86,8 @@ def chunk_text(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Runs of Hangul, ASCII letters or digits; one particle off the end of a Hangul run; under 2 characters dropped; lower case."""
-    bare = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, PARTICLE, "$1"))
+    # Hangul sorts after ASCII, so only Hangul runs meet the second pattern.
+    bare = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.when(t >= "가", F.regexp_replace(t, PARTICLE, "$1")).otherwise(t))
     return F.transform(F.filter(bare, lambda t: F.length(t) >= 2), F.lower)
 
 
