@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import SPACED, text_blocks, word_bounds
 from .suffix_dedup import multikey
-from .windows import GIANT, Contexts, Grain, identified, merged, repeated_spans, with_spans
+from .windows import GIANT, RARE, Contexts, Grain, identified, merged, repeated_spans, with_spans
 
 WIDTH, GRAM = 35, 8
 
@@ -88,7 +88,7 @@ def _shortened(keep_text: bool) -> callable:
     return run
 
 
-def lz_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", keep_text: bool = False, giant: int = GIANT) -> DataFrame:
+def lz_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", keep_text: bool = False, giant: int = GIANT, rare: int = RARE) -> DataFrame:
     """One row a document: key, n_words, n_removed, kept_sha256 (keep_text: also kept_text), all windows of `width` words that occur twice or more removed.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a null text has none; a text under
@@ -97,7 +97,7 @@ def lz_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str
     """
     grain = Grain(True, width, GRAM)
     source = identified(docs, key, text)
-    spans = repeated_spans(source, grain, factored, anywhere=True, giant=giant)
+    spans = repeated_spans(source, grain, factored, anywhere=True, giant=giant, rare=rare)
     result = with_spans(source, spans).select("doc", "text", "spans")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return result.mapInArrow(_shortened(keep_text), schema).withColumnRenamed("doc", key)

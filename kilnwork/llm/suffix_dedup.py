@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_blocks
-from .windows import GIANT, Contexts, Grain, identified, merged, repeated_spans, with_spans
+from .windows import GIANT, RARE, Contexts, Grain, identified, merged, repeated_spans, with_spans
 
 WIDTH, GRAM = 100, 20
 #: Depth in symbols of eight bytes at which the quicksort stops.
@@ -164,17 +164,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(texts, pa.string())], ["row", "text"])
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", giant: int = GIANT) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", giant: int = GIANT, rare: int = RARE) -> DataFrame:
     """All rows and columns of docs, the text without the bytes that `suffix_dedup` removes (a null text becomes empty; characters broken by a cut go too)."""
     source = identified(docs, key, text)
-    spans = repeated_spans(source, Grain(False, width, GRAM), earlier_windows, anywhere=False, giant=giant)
+    spans = repeated_spans(source, Grain(False, width, GRAM), earlier_windows, anywhere=False, giant=giant, rare=rare)
     rows = identified(docs, key, text, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
     cut = with_spans(rows, spans).select("row", "text", "spans").mapInArrow(_cut, schema)
     return cut.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", keep_text: bool = False, giant: int = GIANT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", keep_text: bool = False, giant: int = GIANT, rare: int = RARE) -> DataFrame:
     """One row a document: key, n_bytes, n_removed, n_spans, kept_sha256 (keep_text: also kept_text, without broken characters at the cuts).
 
     Earlier is a smaller key, or the same document and an earlier start. Texts
@@ -185,7 +185,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text:
     """
     grain = Grain(False, width, GRAM)
     source = identified(docs, key, text)
-    spans = repeated_spans(source, grain, earlier_windows, anywhere=False, giant=giant)
+    spans = repeated_spans(source, grain, earlier_windows, anywhere=False, giant=giant, rare=rare)
     result = with_spans(source, spans).select("doc", "text", "spans")
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     return result.mapInArrow(_shortened(keep_text), schema).withColumnRenamed("doc", key)

@@ -1,10 +1,16 @@
 """Repeated windows: which stretches of `width` consecutive symbols (bytes or words) occur elsewhere in the corpus.
 
 Every window has an anchor: of its `gram`-symbol grams the one with the least
-hash, the leftmost of equals. Equal windows have equal anchors at the same
-distance, so it suffices to compare windows that share an anchor; a document
-yields about 2 anchors to (width - gram) symbols, not one row a position.
-
+hash, the leftmost of equals; grams that are frequent in the corpus come after
+all others. Equal windows have equal anchors at the same distance, so it suffices
+to compare windows that share an anchor; a document yields about 2 anchors to
+(width - gram) symbols, not one row a position.
+
+0. Grams are counted in all texts. Which are frequent is told by a share of all
+   grams, so their list has a bound that doesn't grow with the corpus. A passage
+   that many documents share is thus compared by the text beside it where a window
+   holds any, and its own windows are equal contexts, merged as below; the many
+   contexts of a frequent gram don't meet in one task.
 1. Each task lists its documents' anchors: the gram's hash, the run of windows
    that have it, and a hash of the whole stretch under those windows (the
    context). Equal contexts within a batch are merged before anything is shuffled.
@@ -37,7 +43,12 @@ GIANT = 20_000
 COMPARED = 32_768
 #: Symbols of one document that are looked at at a time.
 STRETCH = 1 << 24
+#: Bytes of text whose grams are counted together, and occurrences there from which a gram's count goes on.
+COUNTED, SEEN = 1 << 21, 4
+#: A gram is frequent if it is more than one in so many of all grams (so no more than that many are), and if there are RARE of it.
+SHARE, RARE = 1 << 19, 256
 _PLACE = U64((1 << 28) - 1)
+_LAST = U64(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -67,7 +78,27 @@ def _sliding_least(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(down[: n - size + 1], up[size - 1 : n])
 
 
-def anchors(symbols: np.ndarray, offsets: np.ndarray, grain: Grain) -> tuple[np.ndarray, ...]:
+class Frequent:
+    """A sorted list of hashes, and whether others are in it."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.marks = np.zeros(1 << 22, bool)
+        self.marks[hashes >> U64(42)] = True
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """Places of the values that are in the list."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        maybe = np.flatnonzero(self.marks[values >> U64(42)])
+        found = np.minimum(np.searchsorted(self.hashes, values[maybe]), len(self.hashes) - 1)
+        return maybe[self.hashes[found] == values[maybe]]
+
+
+_NONE = Frequent(np.zeros(0, U64))
+
+
+def anchors(symbols: np.ndarray, offsets: np.ndarray, grain: Grain, frequent: Frequent = _NONE) -> tuple[np.ndarray, ...]:
     """For each anchor of the block's documents: document, hash, context's hash, first window, windows, anchor less first window (places within the document)."""
     width, gram, n = grain.width, grain.gram, len(symbols)
     if n < width:
@@ -75,7 +106,9 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, grain: Grain) -> tuple[np.
     rolling = Rolling(symbols)
     at = np.arange(n - gram + 1)
     grams = rolling.hash(at, at + gram)
-    least = _sliding_least((grams & ~_PLACE) | at.astype(U64), width - gram + 1) & _PLACE
+    rank = grams >> U64(1)
+    rank[frequent.among(grams)] |= _LAST
+    least = _sliding_least((rank & ~_PLACE) | at.astype(U64), width - gram + 1) & _PLACE
     whole = np.ones(n - width + 1, bool)
     steps = np.zeros(n + 2, np.int32)  # windows across a document's end
     ends = offsets[1:-1]
@@ -104,17 +137,43 @@ def _stretches(symbols: np.ndarray, offsets: np.ndarray, grain: Grain) -> Iterat
         yield 0, 0, symbols, offsets
 
 
+def _counted(grain: Grain) -> Callable:
+    """(gram, n) of grams that come SEEN times or more in a block, and the number of all grams (gram null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_blocks(batch.column(0), COUNTED):
+                for _, _, symbols, _ in _stretches(*grain.symbols(data, offsets), grain):
+                    at = np.arange(max(0, len(symbols) - grain.gram + 1))
+                    grams = np.sort(Rolling(symbols).hash(at, at + grain.gram))
+                    often = np.unique(grams[SEEN - 1 :][grams[SEEN - 1 :] == grams[: max(0, len(grams) - SEEN + 1)]])
+                    counts = np.searchsorted(grams, often, "right") - np.searchsorted(grams, often)
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *often.astype(np.int64).tolist()], pa.int64()), pa.array([len(grams), *counts.tolist()], pa.int64())], ["gram", "n"])
+
+    return run
+
+
+def frequent_grams(source: DataFrame, grain: Grain, share: int = SHARE, rare: int = RARE) -> np.ndarray:
+    """Sorted hashes of the grams that are more than one in `share` of all grams (so at most `share` of them), and `rare` or more."""
+    counts = source.select("text").mapInArrow(_counted(grain), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = written(counts.where(F.col("gram").isNull() | (F.col("n") >= rare)), "grams")
+    total = counts.where("gram is null").select(F.col("n").alias("total"))
+    found = counts.where("gram is not null").join(F.broadcast(total), F.col("n") * share > F.col("total")).select("gram")
+    return np.sort(found.toArrow().column(0).to_numpy().astype(np.int64).view(U64))
+
+
 _ANCHOR = "anchor long, context long, doc long, tag long, lo int, n int, rel int, sure boolean"
 
 
-def _listed(grain: Grain, anywhere: bool) -> Callable:
+def _listed(grain: Grain, anywhere: bool, hashes: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Frequent(hashes)
         for batch in batches:
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = []
             for first, _, data, offsets in text_blocks(batch.column(2)):
                 for d, start, symbols, ends in _stretches(*grain.symbols(data, offsets), grain):
-                    of, anchor, context, lo, n, rel = anchors(symbols, ends, grain)
+                    of, anchor, context, lo, n, rel = anchors(symbols, ends, grain, frequent)
                     found.append((of + first + d, anchor, context, lo + start, n, rel))
             if not found:
                 continue
@@ -271,9 +330,9 @@ def identified(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame
     return docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(whole).alias("tag"), whole.alias("text"), *more)
 
 
-def repeated_spans(source: DataFrame, grain: Grain, method: Callable[[Contexts, int], np.ndarray], anywhere: bool, giant: int = GIANT) -> DataFrame:
+def repeated_spans(source: DataFrame, grain: Grain, method: Callable[[Contexts, int], np.ndarray], anywhere: bool, giant: int = GIANT, share: int = SHARE, rare: int = RARE) -> DataFrame:
     """(doc, tag, start, end) of stretches of `identified` documents, in symbols, that consist of windows which occur elsewhere (anywhere) or earlier."""
-    listed = source.mapInArrow(_listed(grain, anywhere), _ANCHOR)
+    listed = source.mapInArrow(_listed(grain, anywhere, frequent_grams(source, grain, share, rare)), _ANCHOR)
     resolved = written(_resolved(listed, anywhere), "resolved")
     gone = lambda df: df.where("gone").select("doc", "tag", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("n") - 1 + grain.width).cast("long").alias("end"))
     several = resolved.where("several")

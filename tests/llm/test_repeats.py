@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from kilnwork.llm import lz_dedup, suffix_dedup
+from kilnwork.llm.windows import _ANCHOR, Grain, _listed, frequent_grams, identified
 from tests.llm import brute
 
 
@@ -27,16 +30,31 @@ def table(spark, rows):
     return spark.createDataFrame([(k, "x", t, "y") for k, t in rows], "doc_id long, anchor string, text string, doc string").repartition(3)
 
 
-@pytest.mark.parametrize(("seed", "giant"), [(1, 20_000), (2, 20_000), (2, 2), (3, 3)])
-def test_suffix_dedup_equals_brute_force(spark, seed, giant):
+@pytest.mark.parametrize(("seed", "giant", "rare"), [(1, 20_000, 256), (2, 20_000, 4), (2, 2, 256), (3, 3, 10)])
+def test_suffix_dedup_equals_brute_force(spark, seed, giant, rare):
     rows = corpus(seed, 60, 90)
-    assert sorted(map(tuple, suffix_dedup.suffix_dedup(table(spark, rows), giant=giant).collect())) == brute.suffix_dedup(rows)
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(table(spark, rows), giant=giant, rare=rare).collect())) == brute.suffix_dedup(rows)
 
 
-@pytest.mark.parametrize(("seed", "giant"), [(1, 20_000), (2, 20_000), (4, 2), (5, 3)])
-def test_lz_dedup_equals_brute_force(spark, seed, giant):
+@pytest.mark.parametrize(("seed", "giant", "rare"), [(1, 20_000, 256), (2, 20_000, 4), (4, 2, 256), (5, 3, 10)])
+def test_lz_dedup_equals_brute_force(spark, seed, giant, rare):
     rows = corpus(seed, 60, 90)
-    assert sorted(map(tuple, lz_dedup.lz_dedup(table(spark, rows), giant=giant).collect())) == brute.lz_dedup(rows)
+    assert sorted(map(tuple, lz_dedup.lz_dedup(table(spark, rows), giant=giant, rare=rare).collect())) == brute.lz_dedup(rows)
+
+
+def test_frequent_grams_leave_their_contexts_to_others(spark):
+    r = random.Random(8)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(r.choice("ijklmnop ") for _ in range(150)) + shared + "".join(r.choice("ijklmnop ") for _ in range(150))) for i in range(400)]
+    source, grain = identified(table(spark, rows), "doc_id", "text"), Grain(False, suffix_dedup.WIDTH, suffix_dedup.GRAM)
+    hashes = frequent_grams(source, grain)
+    assert len(hashes) == 300 - suffix_dedup.GRAM + 1
+    most = []
+    for these in (hashes[:0], hashes):
+        listed = source.mapInArrow(_listed(grain, False, these), _ANCHOR)
+        most.append(listed.groupBy("anchor").agg(F.countDistinct("context").alias("n")).agg(F.max("n")).first()[0])
+    assert most[0] > 300 and most[1] < 100
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(table(spark, rows)).collect())) == brute.suffix_dedup(rows)
 
 
 def test_empty_tables(spark):
