@@ -44,9 +44,9 @@ COMPARED = 32_768
 #: Symbols of one document that are looked at at a time.
 STRETCH = 1 << 24
 #: Bytes of text whose grams are counted together, and occurrences there from which a gram's count goes on.
-COUNTED, SEEN = 1 << 21, 4
+COUNTED, SEEN = 1 << 20, 4
 #: A gram is frequent if it is more than one in so many of all grams (so no more than that many are), and if there are RARE of it.
-SHARE, RARE = 1 << 19, 256
+SHARE, RARE = 1 << 18, 256
 _PLACE = U64((1 << 28) - 1)
 _LAST = U64(1 << 63)
 
@@ -144,11 +144,14 @@ def _counted(grain: Grain) -> Callable:
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0), COUNTED):
                 for _, _, symbols, _ in _stretches(*grain.symbols(data, offsets), grain):
-                    at = np.arange(max(0, len(symbols) - grain.gram + 1))
-                    grams = np.sort(Rolling(symbols).hash(at, at + grain.gram))
+                    rolling, grams = Rolling(symbols), np.empty(max(0, len(symbols) - grain.gram + 1), U64)
+                    for i in range(0, len(grams), 1 << 17):
+                        at = np.arange(i, min(len(grams), i + (1 << 17)))
+                        grams[at] = rolling.hash(at, at + grain.gram)
+                    grams.sort()
                     often = np.unique(grams[SEEN - 1 :][grams[SEEN - 1 :] == grams[: max(0, len(grams) - SEEN + 1)]])
                     counts = np.searchsorted(grams, often, "right") - np.searchsorted(grams, often)
-                    yield pa.RecordBatch.from_arrays([pa.array([None, *often.astype(np.int64).tolist()], pa.int64()), pa.array([len(grams), *counts.tolist()], pa.int64())], ["gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(often.astype(np.int64))]), pa.array(np.concatenate([[len(grams)], counts]).astype(np.int64))], ["gram", "n"])
 
     return run
 
