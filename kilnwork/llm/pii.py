@@ -40,12 +40,53 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\w.])(?P<value>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"),
     "ssn": re.compile(r"(?<![\w-])(?P<value>\d{3}-\d{2}-\d{4})(?![\w-])"),
     "date": re.compile(r"(?<![\w./-])(?P<value>\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\w/-]|\.\d)"),
-    "card": re.compile(r"(?<![A-Za-z0-9])(?P<value>\d(?:[ -]?\d){12,18})(?![A-Za-z0-9])"),
+    "card": re.compile(r"(?<![A-Za-z0-9])(?P<value>\d(?:[ -]?\d){12,})(?![A-Za-z0-9])"),
 }
+#: Lengths of IBANs by country; of other countries any from 15 to 34 may be valid.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: The usual groups of a card's digits (or one group of any length).
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 #: A text without any of these has nothing to find.
 _WORTH = re.compile(r"\d|[@=:]")
 
 
+def _card_cuts(value: str) -> list[tuple[int, int]]:
+    """Where in a run of numbers a card may be: 13 to 19 digits in whole groups; usual groups first, then the most digits."""
+    groups = [m.span() for m in re.finditer(r"\d+", value)]
+    cuts = []
+    for i, (start, _) in enumerate(groups):
+        sizes: tuple[int, ...] = ()
+        for first, end in groups[i : i + 19]:
+            sizes += (end - first,)
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13:
+                cuts.append((len(sizes) > 1 and sizes not in _CARD_GROUPS, -sum(sizes), start, end))
+    return [cut[2:] for cut in sorted(cuts)]
+
+
+def _shorter(value: str) -> list[tuple[int, int]]:
+    """The value and what is left of it without its last groups, longest first."""
+    return [(0, end) for end in (len(value), *(m.start() for m in reversed(list(re.finditer("[ -]", value)))))]
+
+
+def _iban_cuts(value: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The cut of the country's length, and all others, longest first."""
+    length = IBAN_LENGTHS.get(value[:2])
+    cuts: tuple[list[tuple[int, int]], list[tuple[int, int]]] = [], []
+    for cut in _shorter(value):
+        cuts[len(value[: cut[1]].replace(" ", "")) != length].append(cut)
+    return cuts
+
+
 class Feistel:
     """A keyed permutation of 0..n-1."""
 
@@ -178,7 +219,7 @@ class Pseudonyms:
 
     def _card(self, value: str) -> str | None:
         digits = "".join(c for c in value if c in _DIGITS)
-        if _luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
+        if not 13 <= len(digits) <= 19 or _luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
             return None
         body = digits[0] + str(self.permuted(int(digits[1:-1]), 10 ** (len(digits) - 2), b"card")).zfill(len(digits) - 2)
         new = iter(f"{body}{_luhn(body)}")
@@ -189,17 +230,38 @@ class Pseudonyms:
         if not _WORTH.search(text):
             return text, found
         spans: list[tuple[int, int, str]] = []
+
+        def take(kind: str, start: int, end: int) -> bool:
+            """Whether the find is valid and free of others."""
+            if any(start < e and s < end for s, e, _ in spans):
+                return False
+            new = self.of(kind, text[start:end])
+            if new is None:
+                return False
+            spans.append((start, end, new))
+            found[kind] += 1
+            return True
+
+        long: list[tuple[int, str]] = []
         for kind, pattern in kinds.items():
             if kind == "email" and "@" not in text or kind == "access_key" and "IA" not in text or kind == "phone_abroad" and "+" not in text:
                 continue
+            if kind == "iban":  # one may begin within a find that isn't valid, or right after its valid part
+                for other in (False, True):
+                    m = pattern.search(text)
+                    while m:
+                        start = m.start("value")
+                        m = pattern.search(text, next((start + e for _, e in _iban_cuts(m["value"])[other] if take(kind, start, start + e)), start + 1))
+                continue
             for m in pattern.finditer(text):
                 start, end = m.span("value")
-                if any(start < e and s < end for s, e, _ in spans):
-                    continue
-                new = self.of(kind, m["value"])
-                if new is not None:
-                    spans.append((start, end, new))
-                    found[kind] += 1
+                if kind == "card":
+                    for s, e in _card_cuts(m["value"]):
+                        take(kind, start + s, start + e)
+                elif not take(kind, start, end) and kind == "phone_abroad":
+                    long.append((start, m["value"]))
+        for start, value in long:  # what follows a number may be a card, so after these
+            any(take("phone_abroad", start, start + e) for _, e in _shorter(value))
         spans.sort()
         out, at = [], 0
         for start, end, new in spans:

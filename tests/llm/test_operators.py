@@ -149,6 +149,28 @@ def test_pseudonyms_keep_their_format():
     assert p.of("card", "4929 3483 8514 6306").replace(" ", "") == p.of("card", "4929348385146306")
 
 
+@pytest.mark.parametrize("card", ["4111111111111111", "4111 1111 1111 1111", "378282246310005", "3782-822463-10005", "41111111 11111111"])
+@pytest.mark.parametrize("around", ["{} 123", "{} 12/26", "no 2 {}", "7 {} 123 45", "{} 2024-02-28", "1234-{}-99", "{} {}"])
+def test_pseudonyms_of_cards_between_numbers(card, around):
+    p = pii.Pseudonyms(b"k")
+    got, found = p.replaced(around.format(card, card), {"card": pii.PATTERNS["card"]})
+    assert got == around.format(p.of("card", card), p.of("card", card)) and found["card"] == around.count("{}")
+
+
+@pytest.mark.parametrize("iban", ["BE68539007547034", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"])
+@pytest.mark.parametrize("around", ["{} EUR", "AB12 {}", "IBAN {} BIC", "A1 CODE 77 {} EUR 5000", "{} {} USD", "AB12 {} EUR {}"])
+def test_pseudonyms_of_ibans_between_words(iban, around):
+    p = pii.Pseudonyms(b"k")
+    got, found = p.replaced(around.format(iban, iban), {"iban": pii.PATTERNS["iban"]})
+    assert got == around.format(p.of("iban", iban), p.of("iban", iban)) and found["iban"] == around.count("{}")
+
+
+def test_pseudonyms_of_numbers_side_by_side():
+    p = pii.Pseudonyms(b"k")
+    got, found = p.replaced("+49 30 123456 4111 1111 1111 1111 and +44 20 7946 0958 2024 and " + "٣" * 14, pii.PATTERNS)
+    assert found == {"card": 1, "phone_abroad": 2} and p.of("card", "4111 1111 1111 1111") in got and "7946" not in got
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
 def test_feistel_is_a_permutation(n):
     f = pii.Feistel(b"key")
