@@ -225,3 +225,28 @@ def test_fingerprints_find_excerpts(spark):
     assert len(expected & got) >= 0.9 * len(expected) and len(expected) >= 30
     assert all(m.match_copies == (3 if m.match == 10 else 1) for m in found)
     assert media.aligned(stored.where("false"), asked, "vec_id").collect() == []
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, block):
+    """Every pair at the production threshold, at every offset, with excerpts that begin before or end behind the recording."""
+    monkeypatch.setattr(media, "BLOCK", block)
+    r = np.random.default_rng(4)
+    prints = [(i, r.integers(-(2**31), 2**31, int(r.integers(20, 60))).astype(np.int32)) for i in range(30)]
+    asked = []
+    for i, p in prints:
+        part = np.concatenate([r.integers(-(2**31), 2**31, 5).astype(np.int32), p[: int(r.integers(25, 50))]])[int(r.integers(0, 9)) :]
+        flips = np.packbits(r.random((len(part), 32)) < r.choice([0.1, 0.3, 0.33]), axis=1).view(np.int32).ravel()
+        asked.append((100 + i, part ^ flips))
+    frames = [spark.createDataFrame([(k, p.tolist()) for k, p in t], "vec_id long, fingerprint array<int>").repartition(2) for t in (prints, asked)]
+    expected = {}
+    for q, a in asked:
+        for name, b in prints:
+            for o in range(24 - len(a), len(b) - 23):
+                x, y = a[max(0, -o) :], b[max(0, o) :]
+                m = min(len(x), len(y))
+                error = int(np.bitwise_count((x[:m] ^ y[:m]).view(np.uint32)).sum()) / (32 * m)
+                if m >= 24 and error <= media.BIT_ERROR and error < expected.get((q, name), (9,))[0]:
+                    expected[q, name] = error, o, int((x[:m] == y[:m]).sum()), m
+    got = {(m.query, m.match): (m.bit_error, m.offset, m.votes, m.overlap) for m in media.aligned(*frames, "vec_id").collect()}
+    assert got == expected and len(got) >= 20 and sum(v[2] == 0 for v in got.values()) >= 10
