@@ -4,7 +4,7 @@ Every rolling k-gram of a document's words is hashed and joined, by Spark, to th
 positions that the gram has in the templates. A hit votes for the diagonal
 (document position less template position); neighbouring diagonals, as insertions
 and deletions make them, are merged; a span is verified by the share of the
-template that its votes cover. A phrase must be covered whole.
+template's places that its votes cover, each counted once. A phrase must be covered whole.
 """
 
 from __future__ import annotations
@@ -112,17 +112,20 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
         .select("row", "doc", "n_words", "at", "template", "place", "size", "label", "phrase")
         .repartition("row")
     )
-    diagonals = hits.groupBy("row", "doc", "n_words", "template", (F.col("at") - F.col("place")).alias("diagonal"), "size", "label", "phrase").agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
+    diagonals = hits.groupBy("row", "doc", "n_words", "template", (F.col("at") - F.col("place")).alias("diagonal"), "size", "label", "phrase").agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
     along = Window.partitionBy("row", "template").orderBy("diagonal", "first")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(along) > drift) | (F.abs(F.col("first") - F.lag("first").over(along)) > F.col("size") + k)
     spans = (
         diagonals.withColumn("fresh", F.coalesce(F.col("phrase") | fresh, F.lit(True)).cast("int"))
         .withColumn("span", F.sum("fresh").over(along))
+        .select("row", "doc", "n_words", "template", "span", "size", "label", "phrase", F.explode_outer("places").alias("place"), "first", "last")
+        .groupBy("row", "doc", "n_words", "template", "span", "size", "label", "phrase", "place")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
         .groupBy("row", "doc", "n_words", "template", "span", "size", "label", "phrase")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("share", F.when(F.col("template").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("votes") / F.col("size"))))
+        .agg(F.count("place").alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .withColumn("share", F.when(F.col("template").isNull(), 0.0).otherwise(F.col("covered") / F.col("size")))
     )
-    base = F.col("phrase") & (F.col("votes") == F.col("size"))
+    base = F.col("phrase") & (F.col("covered") == F.col("size"))
     verified = base | (~F.col("phrase") & (F.col("share") >= coverage))
     joined = lambda which: F.array_join(F.sort_array(F.collect_set(F.when(which, F.col("label")))), ",")
     return (

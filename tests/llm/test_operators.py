@@ -193,6 +193,12 @@ def test_license_scan(spark):
     assert license_scan.license_scan(table(spark, [])).collect() == []
 
 
+def test_license_scan_counts_a_place_once(spark):
+    rows = ["creative commons attribution creative commons attribution sharealike", "creative commons attribution creative commons attribution", "the software without " * 40, "creative commons attribution noncommercial"]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[0] == ("cc-by-sa", 1.0) and got[1] == ("", 0.5) and got[2][0] == "" and got[2][1] < 0.1 and got[3] == ("cc-by-nc", 1.0)
+
+
 def test_sentencepiece(spark):
     import sentencepiece as library
 
