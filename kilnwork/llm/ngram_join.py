@@ -5,7 +5,8 @@ orders the nodes by a part of their signature, a sorted prefix trie; nodes match
 where they share a prefix. The prefix starts at full depth and is shortened until
 the chance that some tree matches a pair at the threshold reaches the target
 recall. Within a match, nodes are connected through leaders (the first node of its
-kind there), so that copies make rows in proportion to their number. The pairs of
+kind there), so that copies make rows in proportion to their number; a match of many
+nodes is dealt over blocks, and each two blocks meet in a task. The pairs of
 a connected group are verified exactly from their texts, in blocks of bounded size,
 and counted, not emitted.
 """
@@ -17,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, SPACED, U64, Rolling, mix, text_blocks, word_bounds, written
@@ -30,6 +31,8 @@ TREES, DEPTH = 16, 8
 RECALL = 0.9995
 #: Estimated similarity from which a node gathers around a leader instead of being one, and from which it is connected with a leader. Jaccard distances keep the triangle inequality, so of two nodes at the threshold one is this near to the other's leader.
 LEADER, NEAR = 0.7, 0.35
+#: Nodes of a prefix in a block; two blocks meet in a task.
+GATHERED = 4096
 #: Nodes, and shingles, in a block; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 768, 1_000_000
 
@@ -94,30 +97,38 @@ def _signed(size: int, depth: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): edges that connect what can be similar, from rows (prefix, node, signature) sorted by prefix and node. At most one edge a node and one a leader; only a prefix's leaders are held."""
-    none = np.zeros((0, TREES * DEPTH), np.uint8)
-    prefix, leaders, names, group = None, none, [], np.zeros(0, int)
+    """(a, b): edges that connect what can be similar, from rows (prefix, a, b, node, signature) sorted by prefix, block pair and node. At most one edge a node and one a leader; only the leaders of a block pair are held."""
+    width = TREES * DEPTH
+    key, leaders, many, names, group = None, np.zeros((0, width), np.uint8), 0, [], np.zeros(0, int)
     for batch in batches:
         if not len(batch):
             continue
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        signatures = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), -1)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        keys, nodes = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1), batch.column(3).to_numpy()
+        signatures = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(batch), -1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         out: list[tuple[list[int], list[int]]] = []
         for a, b in zip(cuts, cuts[1:]):
-            if keys[a] != prefix:
-                prefix, leaders, names, group = keys[a], none, [], np.zeros(0, int)
+            if tuple(keys[a]) != key:
+                key, leaders, many, names, group = tuple(keys[a]), np.zeros((0, width), np.uint8), 0, [], np.zeros(0, int)
             while a < b:
                 part = slice(a, min(b, a + 1024))
+                rows = signatures[part]
+                if many + len(rows) > len(leaders):
+                    leaders = np.concatenate([leaders, np.zeros((max(len(rows), many), width), np.uint8)])
                 # Leaders are found one after the other; all others are compared with all leaders at once.
-                alike = np.stack([(signatures[part] == x).mean(axis=1) for x in leaders], 1) if len(leaders) else np.zeros((part.stop - a, 0))
-                led = (alike >= LEADER).any(axis=1)
+                alike = np.zeros((many + len(rows), len(rows)), np.uint8)
+                for i in range(many):
+                    alike[i] = (rows == leaders[i]).sum(axis=1)
+                led = (alike[:many] >= LEADER * width).any(axis=0)
                 while not led.all():
                     i = int(np.argmin(led))
-                    leaders, names, group = np.concatenate([leaders, signatures[a + i][None]]), [*names, int(nodes[a + i])], np.append(group, len(group))
-                    alike = np.concatenate([alike, (signatures[part] == signatures[a + i]).mean(axis=1)[:, None]], 1)
-                    led = (alike >= LEADER).any(axis=1)
-                near = alike >= NEAR
+                    leaders[many] = rows[i]
+                    alike[many] = (rows == rows[i]).sum(axis=1)
+                    led |= alike[many] >= LEADER * width
+                    names.append(int(nodes[a + i]))
+                    many += 1
+                group = np.append(group, np.arange(len(group), many))
+                near = alike[:many].T >= NEAR * width
                 first = near.argmax(axis=1)
                 out.append((nodes[part].tolist(), [names[i] for i in first]))
                 for row in np.unique(near, axis=0):  # leaders that some node is near to belong together
@@ -130,6 +141,19 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b"])
 
 
+def _met(nodes: DataFrame) -> DataFrame:
+    """(prefix, a, b, node, signature): nodes that share a prefix; of a prefix with many, each two blocks (a, b) by themselves, so that all pairs of nodes meet."""
+    matched = nodes.select("node", F.explode("prefixes").alias("prefix")).withColumn("many", F.count("*").over(Window.partitionBy("prefix"))).where("many > 1")
+    signed = matched.join(nodes.select("node", "signature"), "node")
+    blocks = F.ceil(F.col("many") / GATHERED).cast("int")
+    return signed.select("prefix", "node", "signature", F.explode(_units(F.pmod(F.xxhash64("node"), blocks).cast("int"), blocks)).alias("unit")).select("prefix", "unit.a", "unit.b", "node", "signature")
+
+
+def _units(side: Column, blocks: Column) -> Column:
+    """The block pairs that a row of this block takes part in."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(side, other).alias("a"), F.greatest(side, other).alias("b")))
+
+
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two sets share."""
     m = len(sets)
@@ -226,17 +250,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     rows = written(source.mapInArrow(_signed(size, prefix_depth(threshold, recall)), "doc long, tag long, node long, n long, signature binary, prefixes array<long>"), "signatures")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc", "tag", "n", "signature", "prefixes")).alias("first")).select("node", "first.*"), "nodes")
 
-    beside = Window.partitionBy("prefix").orderBy("node")
-    matched = nodes.select("node", F.explode("prefixes").alias("prefix")).withColumn("alone", F.lag("node").over(beside).isNull() & F.lead("node").over(beside).isNull()).where("not alone")
-    signed = matched.select("prefix", "node").join(nodes.select("node", "signature"), "node").select("prefix", "node", "signature")
-    edges = signed.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_gathered, "a long, b long")
+    edges = _met(nodes).repartition("prefix", "a", "b").sortWithinPartitions("prefix", "a", "b", "node").mapInArrow(_gathered, "a long, b long")
     members = components(edges)
 
     sizes = members.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("side", other).alias("a"), F.greatest("side", other).alias("b")))
-    wanted = placed.join(nodes.select("node", "doc", "tag"), "node").select("doc", "tag", "node", "component", "side", units.alias("units"))
+    wanted = placed.join(nodes.select("node", "doc", "tag"), "node").select("doc", "tag", "node", "component", "side", _units(F.col("side"), F.col("blocks")).alias("units"))
     texts = source.join(wanted, ["doc", "tag"]).select("component", F.explode("units").alias("unit"), "side", "node", "text")
     paired = texts.select("component", "unit.a", "unit.b", "side", "node", "text").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
     verified = written(paired.mapInArrow(_verified(threshold, size), "node long, links long, root long"), "verified")

@@ -31,6 +31,30 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, block):
     assert sorted(map(tuple, got)) == brute.near_duplicates(rows)
 
 
+def test_a_hot_prefix_meets_in_blocks(spark, monkeypatch):
+    """Thousands of nodes of one prefix: no unit has more than two blocks, and every two nodes meet in one."""
+    monkeypatch.setattr(ngram_join, "GATHERED", 256)
+    nodes = spark.range(2000).selectExpr("id AS node", "CAST('x' AS BINARY) AS signature", "CASE WHEN id % 100 = 0 THEN array(1L, id + 10, 7L) ELSE array(1L, id + 10) END AS prefixes")
+    units = {}
+    for r in ngram_join._met(nodes).collect():
+        units.setdefault((r.prefix, r.a, r.b), set()).add(r.node)
+    assert {u[0] for u in units} == {1, 7} and [u for u in units if u[0] == 7] == [(7, 0, 0)] and max(map(len, units.values())) <= 2 * 1.3 * 256
+    assert {(x, y) for u in units.values() if len(u) > 20 for x in u for y in u if x < y} == {(x, y) for y in range(2000) for x in range(y)}
+
+
+def test_documents_that_share_half_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GATHERED", 256)
+    r = random.Random(9)
+    header, rows = [f"h{i}" for i in range(70)], []
+    for i in range(2000):
+        body = [f"w{r.randrange(10**6)}" for _ in range(30)]
+        rows.append((i, " ".join(header + body)))
+        if i % 20 == 0:
+            rows.append((10_000 + i, " ".join(header + body[:-1] + ["other"])))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(x.doc_id, x.class_id, x.n_links) for x in got} == {(k, k % 10_000, int(k % 20 == 0)) for k, _ in rows}
+
+
 def test_empty(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
