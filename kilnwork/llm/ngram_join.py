@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
-Texts with equal sets of word shingles are one node. Each tree of the forest
-orders the nodes by a part of their signature, a sorted prefix trie; nodes match
-where they share a prefix. The prefix starts at full depth and is shortened until
-the chance that some tree matches a pair at the threshold reaches the target
+Texts with equal sets of word shingles are one node. Each tree of the forest is
+read at one depth: nodes match where they share a prefix of their signature's part,
+as in banding. The depth follows from the constants, not from the data: it is the
+largest at which the chance that some tree matches a pair at the threshold reaches the target
 recall. Within a match, nodes are connected through leaders (the first node of its
 kind there), so that copies make rows in proportion to their number; a match of many
 nodes is dealt over blocks, and each two blocks meet in a task. The pairs of
