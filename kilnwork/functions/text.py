@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SPACES = r"\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: White space as Unicode has it; the same class in every engine.
-SPACE = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = f"[{_SPACES}]"
+#: Its characters one by one.
+SPACE_CHARACTERS = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Runs that are tokens, and the particles that are taken off the end of Hangul ones.
 TOKEN = "[가-힣]+|[a-zA-Z]+|[0-9]+"
 PARTICLE = "^([가-힣]+?)(?:에서|[을를이가은는의에과와도로])$"
@@ -37,8 +42,13 @@ def _lines(pattern: str) -> str:
     return pattern.replace("(?m)", "(?md)")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def without_fences(c: Column) -> Column:
@@ -58,9 +68,12 @@ def markup_to_text(c: Column, block_newlines: bool = False) -> Column:
 
 def is_noise_line(line: Column) -> Column:
     """Blank, or over 5 characters of which over 30 % are neither ASCII letters or digits, Hangul syllables nor white space."""
-    text = stripped(line)
-    special = F.length(F.regexp_replace(text, f"[a-zA-Z0-9가-힣]|{SPACE}", ""))
-    return (F.length(text) == 0) | ((F.length(text) > 5) & (special * 10 > F.length(text) * 3))
+
+    def noise(text: Column) -> Column:
+        special = F.length(F.regexp_replace(text, f"[a-zA-Z0-9가-힣{_SPACES}]+", ""))
+        return (F.length(text) == 0) | ((F.length(text) > 5) & (special * 10 > F.length(text) * 3))
+
+    return bound(stripped(line), noise)
 
 
 def without_noise_lines(c: Column) -> Column:
@@ -69,7 +82,8 @@ def without_noise_lines(c: Column) -> Column:
 
 
 def collapsed(c: Column) -> Column:
-    return stripped(F.regexp_replace(c, f"{SPACE}+", " "))
+    # A single plain space is left alone, as it is most of what there is.
+    return stripped(F.regexp_replace(c, f"{SPACE}{{2,}}|[{_SPACES}&&[^ ]]", " "))
 
 
 def clean_markdown(c: Column, block_newlines: bool = False) -> Column:
@@ -91,6 +105,26 @@ def tokenize(c: Column) -> Column:
     return F.transform(F.filter(bare, lambda t: F.length(t) >= 2), F.lower)
 
 
+def _runs(values: Column, use: Callable[[Column, Column, Column], Column]) -> Column:
+    """use(sorted list, first place of a run, first place behind it) for each run of equal values of the sorted list."""
+
+    def of(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(v), F.lit(1)), lambda i: (i == 1) | (F.get(v, i - 1) != F.get(v, i - 2)))
+        return bound(F.when(F.size(v) > 0, starts).otherwise(F.array().cast("array<int>")), lambda s: F.zip_with(s, F.slice(F.concat(s, F.array(F.size(v) + 1)), 2, F.size(s)), lambda a, b: use(v, a, b)))
+
+    return bound(F.sort_array(values), of)
+
+
+def runs(values: Column) -> Column:
+    """The list's distinct values, sorted, each with its count: structs (value, n). A null list has none."""
+    return _runs(values, lambda v, a, b: F.struct(F.get(v, a - 1).alias("value"), (b - a).alias("n")))
+
+
+def counts(values: Column) -> Column:
+    """The counts of the list's distinct values, in the values' order."""
+    return _runs(values, lambda v, a, b: b - a)
+
+
 def page_path(department: Column, title: Column) -> Column:
     """department/title, the title with white space and slashes as hyphens and only letters, digits, _ and - otherwise."""
     dashed = F.regexp_replace(stripped(title), f"(?:{SPACE}|/)+", "-")

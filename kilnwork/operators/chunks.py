@@ -19,14 +19,16 @@ def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
 
 
 def cleaned(pages: DataFrame, least: int = MIN_CLEAN) -> DataFrame:
-    """Pages with some content, cleaned; those that are too short then are dropped."""
-    some = pages.where(F.length("content") > 0).withColumn("content", clean_markdown(F.col("content")))
-    return some.where(F.length("content") >= least)
+    """Pages with some content, cleaned; those that are too short then are dropped. Exploding a list of one keeps the optimiser from cleaning once for the filter and again for the result."""
+    long = F.filter(F.array(clean_markdown(F.col("content"))), lambda c: F.length(c) >= least)
+    return pages.where(F.length("content") > 0).select(*[c for c in pages.columns if c != "content"], F.explode(long).alias("content"))
 
 
-def of_page(chunks: DataFrame, page_id: int) -> DataFrame:
-    """A page's chunks, by the prefix of their ids."""
-    return chunks.where(F.col("chunk_id").startswith(f"page_{page_id}_chunk_"))
+def of_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """The chunks of these pages (page_id), by the prefix of their ids."""
+    prefix = F.regexp_extract("chunk_id", "^page_-?[0-9]+_chunk_", 0)
+    wanted = pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit("_chunk_")).alias("prefix")).distinct()
+    return chunks.withColumn("prefix", prefix).join(wanted, "prefix", "left_semi").drop("prefix")
 
 
 def replaced(chunks: DataFrame, pages: DataFrame, clean: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions.text import CREATED_TAGS, merged_tags
 from .vectors import nearest
 
 THRESHOLD, NEIGHBOURS = 0.2, 3
+#: Ranges of keys that are numbered apart.
+RANGES = 64
 
 
 def similarity(distance: Column) -> Column:
@@ -50,18 +52,40 @@ def plan(docs: DataFrame, pages: DataFrame, chunks: DataFrame, policy: str = "ov
     return found.select("doc_id", action.alias("action"), "path", F.when(F.col("update"), F.col("existing_id")).alias("page_id"), "title")
 
 
-def applied(decisions: DataFrame, docs: DataFrame, pages: DataFrame, locale: str = "ko") -> DataFrame:
-    """The page table after the plan: updates replace title, path and content and merge tags, creates get new ids. Of several documents for one page the greatest doc_id stays. Errors change nothing."""
-    work = decisions.where("action <> 'error'").join(docs.select("doc_id", F.col("markdown").alias("content")), "doc_id")
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """(key, number) of distinct whole-numbered keys, 1, 2, ... in their order, without bringing them together: they are dealt over ranges, numbered in each, and moved on by what the ranges before hold. Runs a Spark job for the bounds."""
+    keys = df.select(key)
+    bounds = keys.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<double>"), lambda b: b <= F.col(key).cast("double")))
+    dealt = keys.withColumn("part", part)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # RANGES rows at most
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(key)))
+    return own.join(F.broadcast(sums.select("part", "before")), "part").select(key, (F.col("before") + F.col("own")).alias("number"))
+
+
+def changes(decisions: DataFrame, docs: DataFrame, pages: DataFrame, locale: str = "ko") -> DataFrame:
+    """The pages (page_id, title, path, locale, tags, content) that the plan makes or brings up to date: updates replace title, path and content and merge tags, creates get new ids in the order of their documents. Of several documents for one page the greatest doc_id stays. Errors change nothing."""
+    work = decisions.where("action <> 'error'")
     last = Window.partitionBy("target").orderBy(F.col("doc_id").desc())
     target = F.when(F.col("action") == "update", F.concat(F.lit("id "), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("path "), F.col("path")))
-    work = work.withColumn("target", target).withColumn("nth", F.row_number().over(last)).where("nth = 1")
+    work = work.withColumn("target", target).withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("target", "nth")
     old = pages.select("page_id", F.col("tags").alias("old_tags"))
-    updated = work.where("action = 'update'").join(old, "page_id").select("page_id", "title", "path", F.lit(locale).alias("locale"), merged_tags(F.col("old_tags")).alias("tags"), "content")
+    updated = work.where("action = 'update'").join(old, "page_id").select("doc_id", "page_id", "title", "path", merged_tags(F.col("old_tags")).alias("tags"))
     most = pages.agg(F.coalesce(F.max("page_id"), F.lit(0)).alias("most"))  # one row
-    # New ids number the batch's new pages, a small table by nature, in the order of their documents.
-    number = F.row_number().over(Window.orderBy("doc_id"))
-    created = work.where("action = 'create'").withColumn("number", number).crossJoin(F.broadcast(most))
-    created = created.select((F.col("most") + F.col("number")).cast("long").alias("page_id"), "title", "path", F.lit(locale).alias("locale"), F.array(*map(F.lit, CREATED_TAGS)).alias("tags"), "content")
-    kept = pages.join(updated.select("page_id"), "page_id", "left_anti").select("page_id", "title", "path", "locale", "tags", "content")
-    return kept.unionByName(updated).unionByName(created)
+    created = work.where("action = 'create'")
+    created = created.join(numbered(created, "doc_id"), "doc_id").crossJoin(F.broadcast(most))
+    created = created.select("doc_id", (F.col("most") + F.col("number")).cast("long").alias("page_id"), "title", "path", F.array(*map(F.lit, CREATED_TAGS)).alias("tags"))
+    rows = updated.unionByName(created).join(docs.select("doc_id", F.col("markdown").alias("content")), "doc_id")
+    return rows.select("page_id", "title", "path", F.lit(locale).alias("locale"), "tags", "content")
+
+
+def upserted(pages: DataFrame, changed: DataFrame) -> DataFrame:
+    """The page table with these pages instead of what it had of them."""
+    kept = pages.join(changed.select("page_id"), "page_id", "left_anti")
+    return kept.select("page_id", "title", "path", "locale", "tags", "content").unionByName(changed)
+
+
+def applied(decisions: DataFrame, docs: DataFrame, pages: DataFrame, locale: str = "ko") -> DataFrame:
+    """The page table after the plan."""
+    return upserted(pages, changes(decisions, docs, pages, locale))

@@ -7,17 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
-from ..sources.store import load_tables, save_tables
+from ..functions.text import runs, tokenize
+from ..sources.shared import written
+from ..sources.store import DamagedStore, load_tables, save_tables
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Decimals on which scores are ranked, as sums come in any order.
 RANKED = 9
+#: Asked tokens (rows of query, token, count and idf) that are broadcast; more are joined without.
+BROADCAST_ASKED = 200_000
 
 
 @dataclass
 class KeywordIndex:
-    """tokens(chunk_id, page_id, chunk_index, tokens), from which all else follows; postings, terms and corpus may be stored ones."""
+    """tokens(chunk_id, page_id, chunk_index, tokens), postings, terms(token, df, idf) and corpus(n_chunks, n_tokens, avgdl); any of them may be stored ones."""
 
     tokens: DataFrame
     postings: DataFrame
@@ -30,27 +33,34 @@ def token_table(chunks: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(chunk_id, page_id, chunk_index, token, tf, dl)."""
-    words = tokens.select("chunk_id", "page_id", "chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    return words.groupBy("chunk_id", "page_id", "chunk_index", "dl", "token").agg(F.count("*").alias("tf")).select("chunk_id", "page_id", "chunk_index", "token", "tf", F.col("dl").cast("long").alias("dl"))
+    """(chunk_id, page_id, chunk_index, token, tf, dl). A chunk's tokens are counted within its row, as runs of the sorted list, so nothing is shuffled."""
+    counted = tokens.select("chunk_id", "page_id", "chunk_index", F.size("tokens").cast("long").alias("dl"), F.explode(runs(F.col("tokens"))).alias("run"))
+    return counted.select("chunk_id", "page_id", "chunk_index", F.col("run.value").alias("token"), F.col("run.n").cast("long").alias("tf"), "dl")
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
-    """One row (n_chunks, avgdl); chunks without tokens count."""
-    return tokens.agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avgdl"))
+    """One row (n_chunks, n_tokens, avgdl); chunks without tokens count."""
+    return _corpus(tokens.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("n_tokens")))
 
 
-def term_stats(posted: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(token, df, idf): a negative idf becomes epsilon times the average of the raw ones."""
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus)).select("token", "df", (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def _corpus(sums: DataFrame) -> DataFrame:
+    return sums.select("n_chunks", "n_tokens", F.when(F.col("n_chunks") > 0, F.col("n_tokens") / F.col("n_chunks")).alias("avgdl"))
+
+
+def term_stats(frequencies: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """(token, df, idf) from (token, df): a negative idf becomes epsilon times the average of the raw ones."""
+    raw = frequencies.crossJoin(F.broadcast(corpus)).select("token", "df", (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     average = raw.agg(F.avg("raw").alias("average"))  # one row
     return raw.crossJoin(F.broadcast(average)).select("token", "df", F.when(F.col("raw") < 0, epsilon * F.col("average")).otherwise(F.col("raw")).alias("idf"))
 
 
+def _frequencies(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("token").agg(F.count("*").alias("df"))
+
+
 def of_tokens(tokens: DataFrame) -> KeywordIndex:
     posted, corpus = postings(tokens), corpus_stats(tokens)
-    return KeywordIndex(tokens, posted, term_stats(posted, corpus), corpus)
+    return KeywordIndex(tokens, posted, term_stats(_frequencies(posted), corpus), corpus)
 
 
 def build(chunks: DataFrame) -> KeywordIndex:
@@ -58,21 +68,52 @@ def build(chunks: DataFrame) -> KeywordIndex:
     return of_tokens(token_table(chunks))
 
 
+def stored(index: KeywordIndex) -> KeywordIndex:
+    """The index with its postings and terms written to the shared folder (Spark jobs), so that a search doesn't tokenise chunks again. Tokens, which only patches read, stay as they are."""
+    posted = written(index.postings, "postings")
+    sums = index.tokens.agg(F.count("*").alias("n_chunks")).crossJoin(posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")))  # one row each
+    corpus = written(_corpus(sums), "corpus")
+    return KeywordIndex(index.tokens, posted, written(term_stats(_frequencies(posted), corpus), "terms"), corpus)
+
+
 def save(index: KeywordIndex, path: str) -> str:
     return save_tables(vars(index), path)
 
 
 def load(spark: SparkSession, path: str) -> KeywordIndex | None:
+    """The stored index, for searching: None if there is none, or if it is damaged (the search then goes by vectors alone). To patch an index, use `load_to_patch`."""
+    try:
+        return load_to_patch(spark, path)
+    except DamagedStore:
+        return None
+
+
+def load_to_patch(spark: SparkSession, path: str) -> KeywordIndex | None:
+    """The stored index; None if there is none. A damaged one raises."""
     tables = load_tables(spark, path, ["tokens", "postings", "terms", "corpus"])
     return None if tables is None else KeywordIndex(**tables)
 
 
+def _patched(index: KeywordIndex, tokens: DataFrame, posted: DataFrame, delta: DataFrame, sign: int) -> KeywordIndex:
+    """The index with new tokens and postings, and what follows from the changed chunks' tokens (delta) alone."""
+    changed = _frequencies(postings(delta)).select("token", (sign * F.col("df")).alias("df"))
+    frequencies = index.terms.select("token", "df").unionByName(changed).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    one = corpus_stats(delta).select((sign * F.col("n_chunks")).alias("n_chunks"), (sign * F.col("n_tokens")).alias("n_tokens"))
+    corpus = _corpus(index.corpus.select("n_chunks", "n_tokens").unionByName(one).agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")))
+    return KeywordIndex(tokens, posted, term_stats(frequencies, corpus), corpus)
+
+
 def patch_add(index: KeywordIndex, chunks: DataFrame) -> KeywordIndex:
-    return of_tokens(index.tokens.unionByName(token_table(chunks)))
+    """The index with new chunks. Only these are tokenised; of the rest, frequencies are read, and postings passed on."""
+    new = token_table(chunks)
+    return _patched(index, index.tokens.unionByName(new), index.postings.unionByName(postings(new)), new, 1)
 
 
 def patch_remove(index: KeywordIndex, ids: DataFrame) -> KeywordIndex:
-    return of_tokens(index.tokens.join(ids.select("chunk_id"), "chunk_id", "left_anti"))
+    """The index without the chunks of these ids (those that it doesn't have don't matter)."""
+    ids = ids.select("chunk_id").distinct()
+    old = index.tokens.join(ids, "chunk_id", "left_semi")
+    return _patched(index, index.tokens.join(ids, "chunk_id", "left_anti"), index.postings.join(ids, "chunk_id", "left_anti"), old, -1)
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -81,10 +122,14 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 def scores(index: KeywordIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, page_id, chunk_index, score) of all chunks that share a token with the query."""
-    asked = query_tokens(queries)
-    # Only postings of tokens that some query asks for go on.
-    hits = index.postings.join(index.terms, "token").join(asked, "token").crossJoin(F.broadcast(index.corpus))
+    """(query_id, chunk_id, page_id, chunk_index, score) of all chunks that share a token with the query.
+
+    The asked tokens meet the terms first; postings then meet that small side,
+    which is broadcast if a count (a Spark job of its own) shows it to be small.
+    """
+    asked = query_tokens(queries).join(index.terms.select("token", "idf"), "token")
+    small = asked.limit(BROADCAST_ASKED + 1).count() <= BROADCAST_ASKED
+    hits = index.postings.join(F.broadcast(asked) if small else asked, "token").crossJoin(F.broadcast(index.corpus))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id", "page_id", "chunk_index").agg(F.sum(part).alias("score"))
 

@@ -9,78 +9,225 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import bound, counts, tokenize
+from ..sources.shared import written
 
 DIMENSIONS = 64
 RANKED = 9
-#: Vectors in a block, and query blocks that are broadcast; more are joined without.
-BLOCK, BROADCAST_BLOCKS = 1024, 8
+#: Vectors in a block, and bytes of query blocks that are broadcast; more are joined without.
+BLOCK, BROADCAST_BYTES = 4096, 8 << 20
+#: Cells of an index, vectors that their centres are fitted on (a bounded sample), and rounds of fitting.
+CELLS, SAMPLE, ROUNDS = 64, 20_000, 8
+#: Cells that a query looks into. At 64 cells and 20 of them, recall of the 20 nearest is 0.9 and more on the given vectors (a test measures it).
+PROBES = 20
+
+
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Counts of tokens in buckets by their hash, scaled to unit length; all 0 without tokens. Worked out within the row: each bucket is listed once more than it occurs, so that the runs of the sorted list are all buckets in their order."""
+    bucket = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+    listed = F.concat(F.transform(tokenize(text), bucket), F.sequence(F.lit(0), F.lit(dimensions - 1)))
+    found = F.transform(counts(listed), lambda n: (n - 1).cast("double"))
+
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return bound(norm, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+
+    return bound(found, scaled)
 
 
 def hash_embeddings(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, embedding): counts of tokens in buckets by their hash, scaled to unit length (all 0 without tokens). Give a unique key."""
-    bucket = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    tokens = df.select(key, F.explode(tokenize(F.col(text))).alias("token"))
-    counts = tokens.groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
-    sums = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    full = sums.select(key, F.transform(places, lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
-    return df.select(key).join(full, key, "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), dimensions)))
+    """(key, embedding) of each row."""
+    return df.select(key, hash_embedding(F.col(text), dimensions).alias("embedding"))
 
 
 def embedded(df: DataFrame, key: str, text: str, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """With a column `embedding`: a ready one is kept, else `embed` (a pandas UDF around a model, say) or the hashing default makes it."""
-    if "embedding" in df.columns:
-        return df
-    return df.withColumn("embedding", embed(F.col(text))) if embed else df.join(hash_embeddings(df, key, text), key)
+    return df if "embedding" in df.columns else df.withColumn("embedding", (embed or hash_embedding)(F.col(text)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of equal length as a matrix, without Python values."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 def _blocks(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
-    """Rows packed into blocks: a list for each name, and the vectors as one binary matrix."""
+    """Rows packed into blocks: a list for each name, and the vectors as one binary matrix. A task's small batches are put together first."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
 
+    def block(part: pa.Table) -> pa.RecordBatch:
+        columns = [c.combine_chunks() for c in part.columns]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c) for c in columns[:-1]]
+        return pa.RecordBatch.from_arrays([*lists, pa.array([_matrix(columns[-1]).tobytes()], pa.binary())], [*[prefix + n for n in names], prefix + "matrix"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for first in range(0, len(batch), BLOCK):
-                part = batch.slice(first, BLOCK)
-                matrix = np.array(part.column(len(names)).to_pylist(), np.float64)
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(i)) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([matrix.tobytes()], pa.binary())], [*[prefix + n for n in names], prefix + "matrix"])
+            held.append(batch)
+            if sum(map(len, held)) >= BLOCK:
+                whole = pa.Table.from_batches(held)
+                for first in range(0, len(whole) - BLOCK + 1, BLOCK):
+                    yield block(whole.slice(first, BLOCK))
+                held = whole.slice(len(whole) - len(whole) % BLOCK).to_batches()
+        if sum(map(len, held)):
+            yield block(pa.Table.from_batches(held))
 
     schema = ", ".join(f"`{prefix}{n}` array<{fields[n]}>" for n in names) + f", {prefix}matrix binary"
     return df.select(*names, "embedding").where("embedding is not null").mapInArrow(run, schema)
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, candidates: int = 20) -> DataFrame:
-    """(query_id, chunk_id, page_id, chunk_index, distance, vec_rank): the `candidates` nearest by squared Euclidean distance, exactly.
-
-    Blocks of queries meet blocks of chunks; each pair of blocks yields at most
-    `candidates` rows a query, and a window picks the best of all.
-    """
-    asked, stored = _blocks(queries, ["query_id"], "q_"), _blocks(chunks, ["chunk_id", "page_id", "chunk_index"], "c_")
-    few = asked.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
-    kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema, *queries.schema)}
-    names = ["query_id", "chunk_id", "page_id", "chunk_index"]
+def _distances(q: np.ndarray, c: np.ndarray, q_at: np.ndarray, c_at: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, by differences."""
+    out = np.empty(len(q_at))
+    for i in range(0, len(q_at), 1 << 16):
+        out[i : i + (1 << 16)] = ((c[c_at[i : i + (1 << 16)]] - q[q_at[i : i + (1 << 16)]]) ** 2).sum(axis=1)
+    return out
+
+
+def _best(q: np.ndarray, c: np.ndarray, pages: np.ndarray, places: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's nearest rows: one matrix product tells which can be among them, and these are ranked by exact differences."""
+    c_norm, q_norm = (c**2).sum(axis=1), (q**2).sum(axis=1)
+    which, at = [], []
+    for first in range(0, len(q), 256):
+        rough = c_norm - 2 * (q[first : first + 256] @ c.T) + q_norm[first : first + 256, None]
+        if candidates < len(c):
+            reach = np.partition(rough, candidates - 1, axis=1)[:, candidates - 1]
+        else:
+            reach = rough.max(axis=1)
+        # Sums of the product err by a share of the norms; whoever may be as near as the last is looked at.
+        slack = 1e-9 + 1e-12 * (c_norm.max(initial=0) + q_norm[first : first + 256])
+        i, j = np.nonzero(rough <= (reach + 2 * slack)[:, None])
+        which.append(i + first)
+        at.append(j)
+    which, at = np.concatenate(which), np.concatenate(at)
+    distance = _distances(q, c, which, at)
+    order = np.lexsort((places[at], pages[at], np.round(distance, RANKED), which))
+    which, at, distance = which[order], at[order], distance[order]
+    nth = np.arange(len(which)) - np.searchsorted(which, which)
+    kept = nth < candidates
+    return which[kept], at[kept], distance[kept]
+
+
+_NAMES = ["query_id", "chunk_id", "page_id", "chunk_index"]
+
+
+def _compared(pairs: DataFrame, kinds: dict[str, str], candidates: int) -> DataFrame:
+    """(query_id, chunk_id, page_id, chunk_index, distance): the best of each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
                 ids, chunk, page, index = (row[n].values for n in ("q_query_id", "c_chunk_id", "c_page_id", "c_chunk_index"))
-                q = np.frombuffer(row["q_matrix"].as_py()).reshape(len(ids), -1)
-                c = np.frombuffer(row["c_matrix"].as_py()).reshape(len(chunk), -1)
-                distance = np.stack([((c - x) ** 2).sum(axis=1) for x in q])
-                ranked, pages, places = np.round(distance, RANKED), page.to_numpy(), index.to_numpy()
-                at = [np.lexsort((places, pages, r))[:candidates] for r in ranked]
-                which, place = np.repeat(np.arange(len(q)), [len(x) for x in at]), np.concatenate(at)
+                q = np.frombuffer(row["q_matrix"].as_buffer()).reshape(len(ids), -1)
+                c = np.frombuffer(row["c_matrix"].as_buffer()).reshape(len(chunk), -1)
+                which, place, distance = _best(q, c, page.to_numpy(zero_copy_only=False), index.to_numpy(zero_copy_only=False), candidates)
                 take = pa.array(place)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), chunk.take(take), page.take(take), index.take(take), pa.array(distance[which, place])], [*names, "distance"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), chunk.take(take), page.take(take), index.take(take), pa.array(distance)], [*_NAMES, "distance"])
+
+    return pairs.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in _NAMES) + ", distance double")
+
 
-    pairs = stored.crossJoin(F.broadcast(asked) if few else asked)
-    found = pairs.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", distance double")
+def _ranked(found: DataFrame, candidates: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.round("distance", RANKED), "page_id", "chunk_index")
     return found.withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= candidates)
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, candidates: int = 20) -> DataFrame:
+    """(query_id, chunk_id, page_id, chunk_index, distance, vec_rank): the `candidates` nearest by squared Euclidean distance, exactly.
+
+    Blocks of queries meet all blocks of chunks (the exact answer needs every pair);
+    each pair of blocks yields at most `candidates` rows a query, and a window picks
+    the best of all. The query blocks are written and weighed when this is called,
+    and broadcast if they are small. For many queries over many chunks see `nearest_probed`.
+    """
+    asked, stored = written(_blocks(queries, ["query_id"], "q_"), "queries"), _blocks(chunks, _NAMES[1:], "c_")
+    weight = asked.agg(F.coalesce(F.sum(F.length("q_matrix")), F.lit(0))).first()[0]
+    kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema, *queries.schema)}
+    pairs = stored.crossJoin(F.broadcast(asked) if weight <= BROADCAST_BYTES else asked)
+    return _ranked(_compared(pairs, kinds, candidates), candidates)
+
+
+def fitted_cells(chunks: DataFrame, cells: int = CELLS, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
+    """Centres of cells by k-means on `sample` of the vectors (those with the least hashes of their chunk ids), so nothing that grows with the table reaches the driver."""
+    rows = chunks.where("embedding is not null").select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id")).limit(sample).toArrow()
+    if not len(rows):
+        return np.zeros((0, 0))
+    x = _matrix(rows.column("embedding").combine_chunks())
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    for _ in range(rounds):
+        of = _nearest_cells(x, centres, 1)[:, 0]
+        count = np.bincount(of, minlength=len(centres))
+        sums = np.stack([np.bincount(of, x[:, k], len(centres)) for k in range(x.shape[1])], 1)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+    return centres
+
+
+def _nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort((centres**2).sum(axis=1) - 2 * (x @ centres.T), axis=1, kind="stable")[:, :n]
+
+
+def _celled(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """df with `cell`, a row for each of the `n` nearest cells."""
+    names = [c for c in df.columns if c != "cell"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                cells = _nearest_cells(_matrix(batch.column("embedding")), centres, n)
+                rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), cells.shape[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells.ravel().astype(np.int32))], [*names, "cell"])
+
+    return df.select(*names).where("embedding is not null").mapInArrow(run, f"{schema}, cell int")
+
+
+def nearest_probed(chunks: DataFrame, queries: DataFrame, candidates: int = 20, centres: np.ndarray | None = None, probes: int = PROBES) -> DataFrame:
+    """Like `nearest`, but a query looks only into the `probes` cells whose centres are nearest to it: approximate, and no product of all with all.
+
+    Every chunk is indexed, in the cell of its nearest centre; the centres are fitted
+    on a bounded sample (or given). Cells are cut into blocks, and queries meet the
+    blocks of their cells by an equi-join, so a cell that holds many chunks is many
+    rows, not one task. With as many probes as cells the result is exact.
+    """
+    centres = fitted_cells(chunks) if centres is None else centres
+    kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema, *queries.schema)}
+    if not len(centres):
+        return nearest(chunks, queries, candidates)
+    kept = ["embedding", "cell"]
+    stored = _cell_blocks(_celled(chunks.select(*_NAMES[1:], "embedding"), centres, 1).select(*_NAMES[1:], *kept), _NAMES[1:], "c_")
+    asked = _cell_blocks(_celled(queries.select("query_id", "embedding"), centres, probes).select("query_id", *kept).repartition("cell"), ["query_id"], "q_")
+    return _ranked(_compared(stored.join(asked, "cell"), kinds, candidates), candidates)
+
+
+def _cell_blocks(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
+    """(cell, lists, matrix): each task's rows of a cell in blocks."""
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            cell = whole.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                for i in range(0, len(rows), BLOCK):
+                    part = whole.take(pa.array(rows[i : i + BLOCK]))
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(n).combine_chunks()) for n in names]
+                    matrix = _matrix(part.column("embedding").combine_chunks())
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[rows[i : i + 1]]), *lists, pa.array([matrix.tobytes()], pa.binary())], ["cell", *[prefix + n for n in names], prefix + "matrix"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= 16 * BLOCK:
+                yield from blocks()
+                held.clear()
+        if sum(map(len, held)):
+            yield from blocks()
+
+    schema = "cell int, " + ", ".join(f"`{prefix}{n}` array<{fields[n]}>" for n in names) + f", {prefix}matrix binary"
+    return df.mapInArrow(run, schema)

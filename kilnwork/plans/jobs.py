@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pagebreaks import merged_page_breaks
+from ..functions.text import page_path
 from ..operators import chunks as chunking
 from ..operators import fusion, ingest, keyword_index, prompts, sync, vectors
+from ..sources.shared import written
 
 
 def full_index(pages: DataFrame, bodies: DataFrame, stored: DataFrame) -> DataFrame:
@@ -21,6 +24,12 @@ def full_index(pages: DataFrame, bodies: DataFrame, stored: DataFrame) -> DataFr
     return stored.select(*columns) if pages.isEmpty() else after
 
 
+def full_index_tables(pages: DataFrame, bodies: DataFrame, stored: DataFrame, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, keyword_index.KeywordIndex]:
+    """(chunk table with embeddings, keyword index) after a batch: `full_index`, written once to the shared folder (Spark jobs), and what is built from it."""
+    after = written(full_index(pages, bodies, stored), "chunks")
+    return vectors.embedded(after, "chunk_id", "document", embed), keyword_index.stored(keyword_index.build(after))
+
+
 def index_report(pages: DataFrame, stored: DataFrame, after: DataFrame) -> DataFrame:
     """One row: pages, those to index anew, those with the pdf tag, orphans, chunks before and after."""
     tagged, others = sync.split_by_tag(pages)
@@ -45,7 +54,7 @@ def hybrid_search(chunks: DataFrame, index: keyword_index.KeywordIndex | None, q
 
 
 def replace_pages(chunks: DataFrame, index: keyword_index.KeywordIndex | None, pages: DataFrame) -> tuple[DataFrame, keyword_index.KeywordIndex | None, DataFrame]:
-    """(chunk table, patched index, chunks a page) after these pages' raw text has replaced what was stored of them."""
+    """(chunk table, patched index, chunks a page) after these pages' raw text has replaced what was stored of them. Chunks of other pages aren't tokenised again."""
     after = chunking.replaced(chunks, pages)
     new = chunking.chunk_pages(pages)
     counts = pages.select("page_id").join(new.groupBy("page_id").agg(F.count("*").alias("n_chunks")), "page_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
@@ -64,4 +73,17 @@ def build_prompts(messages: DataFrame, hits: DataFrame, **request) -> DataFrame:
 
 
 def plan_ingest(docs: DataFrame, pages: DataFrame, chunks: DataFrame, policy: str = "overwrite") -> DataFrame:
+    """The plan for docs(doc_id, path, title, embedding) as they are; `prepared` gives documents their path and undoes page breaks."""
     return ingest.plan(docs, pages, chunks, policy)
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, department, title, markdown) ready for a plan: page breaks undone, with `path`, and the title's `embedding` unless there is one."""
+    text = docs.withColumn("markdown", merged_page_breaks(F.col("markdown"))).withColumn("path", page_path(F.col("department"), F.col("title")))
+    return vectors.embedded(text, "doc_id", "title")
+
+
+def apply_ingest(decisions: DataFrame, docs: DataFrame, pages: DataFrame, chunks: DataFrame, index: keyword_index.KeywordIndex | None = None) -> tuple[DataFrame, DataFrame, keyword_index.KeywordIndex | None, DataFrame]:
+    """(page table, chunk table, index, chunks a page) after the plan: the changed pages are written (a Spark job), put into the page table, and replace their chunks and index entries."""
+    changed = written(ingest.changes(decisions, docs, pages), "changed")
+    return ingest.upserted(pages, changed), *replace_pages(chunks, index, changed)

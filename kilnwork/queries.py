@@ -17,7 +17,8 @@ from .functions import pagebreaks, text
 from .operators import chunks as chunking
 from .operators import fusion, ingest, keyword_index, prompts, sync, vectors
 from .plans import jobs
-from .sources import wiki
+from .sources import store, wiki
+from .sources.shared import scratch, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +40,7 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +63,10 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_pages(_pages(spark, folder))
 
 
+def _index(chunks: DataFrame) -> keyword_index.KeywordIndex:
+    return keyword_index.stored(keyword_index.build(chunks))
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -279,12 +284,12 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS}, {_index_sql('c')}, {_scores_sql()} SELECT query_id, chunk_id, round(score, 6) AS score FROM sc")
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword_index.scores(keyword_index.build(_chunks(spark, folder)), _questions(spark, folder)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return keyword_index.scores(_index(_chunks(spark, folder)), _questions(spark, folder)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {CHUNKS}, {_index_sql('c')}, {_scores_sql()} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank::int AS bm25_rank FROM bm")
 def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword_index.search(keyword_index.build(_chunks(spark, folder)), _questions(spark, folder)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
+    return keyword_index.search(_index(_chunks(spark, folder)), _questions(spark, folder)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
 
 
 ADDED = f"{STORED}, n_ AS (SELECT * FROM p WHERE source = 'src7'), {_cut('n', 'n_')}, {_index_sql('(SELECT * FROM s UNION ALL SELECT * FROM n)')}"
@@ -293,14 +298,48 @@ ADDED = f"{STORED}, n_ AS (SELECT * FROM p WHERE source = 'src7'), {_cut('n', 'n
 @query(f"WITH {ADDED} SELECT token, df, round(idf, 6) AS idf FROM terms")
 def patch_add(spark: SparkSession, folder: str) -> DataFrame:
     new = chunking.chunk_pages(_pages(spark, folder).where("source = 'src7'"))
-    return keyword_index.patch_add(keyword_index.build(_stored(spark, folder)), new).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return keyword_index.patch_add(_index(_stored(spark, folder)), new).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {STORED}, {_index_sql('(SELECT * FROM s WHERE page_id IN (SELECT page_id FROM w))')} SELECT token, df, round(idf, 6) AS idf FROM terms")
 def patch_remove(spark: SparkSession, folder: str) -> DataFrame:
     stored = _stored(spark, folder)
     old = stored.join(_pages(spark, folder).where("source = 'src3'").select("page_id"), "page_id", "left_semi")
-    return keyword_index.patch_remove(keyword_index.build(stored), old).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return keyword_index.patch_remove(_index(stored), old).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {ADDED}, {_scores_sql()} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank::int AS bm25_rank FROM bm")
+def patched_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A search in an index that was stored, loaded and patched."""
+    path = scratch(spark, "index")
+    keyword_index.save(keyword_index.build(_stored(spark, folder)), path)
+    new = chunking.chunk_pages(_pages(spark, folder).where("source = 'src7'"))
+    index = keyword_index.patch_add(keyword_index.load_to_patch(spark, path), new)
+    return keyword_index.search(index, _questions(spark, folder)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
+
+
+@query(f"WITH {CHUNKS}, {_index_sql('c')} SELECT token, df, round(idf, 6) AS idf, n_chunks, round(avgdl, 6) AS avgdl FROM terms, corp")
+def store_index(spark: SparkSession, folder: str) -> DataFrame:
+    """An index saved twice (the second version whole), then loaded."""
+    path = scratch(spark, "index")
+    keyword_index.save(keyword_index.build(_stored(spark, folder)), path)
+    keyword_index.save(keyword_index.build(_chunks(spark, folder)), path)
+    index = keyword_index.load(spark, path)
+    return index.terms.crossJoin(F.broadcast(index.corpus)).select("token", "df", F.round("idf", 6).alias("idf"), "n_chunks", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, page_id, title FROM c")
+def store_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks appended in two batches, then scanned without their documents."""
+    path, pages = scratch(spark, "chunks"), _pages(spark, folder)
+    for batch in (pages.where("source <> 'src7'"), pages.where("source = 'src7'")):
+        store.append_chunks(chunking.chunk_pages(batch), path)
+    return store.scan_chunks(spark, path, "chunk_id", "page_id", "title")
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, page_id FROM c JOIN (SELECT page_id AS wanted FROM p WHERE lang = 'de') ON starts_with(chunk_id, 'page_' || wanted || '_chunk_')")
+def chunks_by_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.of_pages(_chunks(spark, folder), _pages(spark, folder).where("lang = 'de'")).select("chunk_id", "page_id")
 
 
 # Vectors and fusion.
@@ -325,18 +364,29 @@ def vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.nearest(_vectors(spark, folder), asked).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "vec_rank")
 
 
+def vector_search_probed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth vector looked for among all, in the cells near to it alone. Approximate, so there is no SQL; a test measures its recall."""
+    asked = _read(spark, folder, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.nearest_probed(_vectors(spark, folder), asked).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "vec_rank")
+
+
+QUERIES["vector_search_probed"] = vector_search_probed
+
+
 @query(f"WITH {CHUNKS}, {_index_sql('c')}, {_scores_sql()}, vec AS (SELECT query_id, chunk_id, (21 - bm25_rank) AS vec_rank FROM bm WHERE bm25_rank > 5), {FUSED} SELECT query_id, chunk_id, coalesce(vec_rank, -1)::int AS vec_rank, coalesce(bm25_rank, -1)::int AS bm25_rank, round(rrf_score, 9) AS rrf_score, fused_rank::int AS fused_rank FROM f")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """The keyword ranking fused with a second one: its lower part upside down."""
-    words = keyword_index.search(keyword_index.build(_chunks(spark, folder)), _questions(spark, folder))
+    words = keyword_index.search(_index(_chunks(spark, folder)), _questions(spark, folder))
     second = words.where("bm25_rank > 5").select("query_id", "chunk_id", (21 - F.col("bm25_rank")).alias("vec_rank"))
     return fusion.fused(second, words).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 @query(f"WITH {HYBRID} SELECT f.query_id, f.chunk_id, coalesce(vec_rank, -1)::int AS vec_rank, coalesce(bm25_rank, -1)::int AS bm25_rank, round(rrf_score, 9) AS rrf_score, fused_rank::int AS fused_rank, coalesce(document, '') AS document, title, path, page_id FROM f LEFT JOIN c USING (chunk_id)")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder)
-    return jobs.hybrid_search(chunks, keyword_index.build(chunks), _questions(spark, folder)).withColumn("rrf_score", F.round("rrf_score", 9))
+    """Chunks and index are written once, as a stored collection's are, and searched there."""
+    chunks = written(_chunks(spark, folder), "chunks")
+    index = _index(chunks)
+    return jobs.hybrid_search(chunks, index, _questions(spark, folder)).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 @query(f"WITH {CHUNKS}, {_embedding_sql('cv', 'c', 'chunk_id', 'document')}, ce AS MATERIALIZED (SELECT * FROM c JOIN cv USING (chunk_id)), {_embedding_sql('qv', 'benchmark', 'item_id', 'text')}, qe AS (SELECT item_id AS query_id, embedding FROM qv), {_nearest_sql('ce', 'qe', 5)} SELECT query_id, chunk_id, vec_rank::int AS vec_rank FROM vec")
@@ -348,7 +398,7 @@ def vector_only_fallback(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {STORED}, {_cut('c', 'p')}, {_index_sql('c')}, {_scores_sql()} SELECT bm.query_id, bm.chunk_id, coalesce(s.document, '') AS document, s.title FROM bm LEFT JOIN s USING (chunk_id)")
 def hydrate_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Hits of an index that knows chunks which aren't stored."""
-    hits = keyword_index.search(keyword_index.build(_chunks(spark, folder)), _questions(spark, folder)).select("query_id", "chunk_id")
+    hits = keyword_index.search(_index(_chunks(spark, folder)), _questions(spark, folder)).select("query_id", "chunk_id")
     return fusion.hydrated(hits, _stored(spark, folder)).select("query_id", "chunk_id", "document", "title")
 
 
@@ -384,6 +434,15 @@ def replace_pages(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.replace_pages(_stored(spark, folder), None, pages)[0].select("chunk_id", "page_id", "chunk_index", "title", "path", "document")
 
 
+@query(f"WITH {STORED}, n_ AS (SELECT * REPLACE ('updated ' || content AS content) FROM p WHERE source IN ('src7', 'src5')), {_cut('n', 'n_')}, a AS (SELECT * FROM s WHERE page_id NOT IN (SELECT page_id FROM n_) UNION ALL SELECT * FROM n), {_index_sql('a')} SELECT token, df, round(idf, 6) AS idf, n_chunks, round(avgdl, 6) AS avgdl FROM terms, corp")
+def replace_pages_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index after the pages' chunks have been patched out and in."""
+    pages = _pages(spark, folder).where("source in ('src7', 'src5')").withColumn("content", F.concat(F.lit("updated "), "content"))
+    stored = _stored(spark, folder)
+    index = jobs.replace_pages(stored, _index(stored), pages)[1]
+    return index.terms.crossJoin(F.broadcast(index.corpus)).select("token", "df", F.round("idf", 6).alias("idf"), "n_chunks", F.round("avgdl", 6).alias("avgdl"))
+
+
 # Ingest.
 
 PATH = f"source || '/' || regexp_replace(regexp_replace({_strip_sql('substr(text, 1, 60)')}, '(?:{text.SPACE}|/)+', '-', 'g'), '[^\\p{{L}}\\p{{N}}_-]', '', 'g')"
@@ -432,8 +491,8 @@ PLAN = f"""{SIMILAR}, pl0 AS (SELECT d.doc_id, d.title, d.path AS own, CASE WHEN
   pl AS (SELECT doc_id, CASE WHEN candidate IS NULL THEN 'create' WHEN existing_id IS NULL THEN 'error' ELSE 'update' END AS action, coalesce(candidate, own) AS path, existing_id AS page_id, title FROM pl0 LEFT JOIN e ON e.path = candidate)"""
 
 
-def _plan(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.plan_ingest(_incoming(spark, folder), _targets(spark, folder), _heads(spark, folder))
+def _plan(spark: SparkSession, folder: str, policy: str = "overwrite") -> DataFrame:
+    return jobs.plan_ingest(_incoming(spark, folder), _targets(spark, folder), _heads(spark, folder), policy)
 
 
 @query(f"WITH {PLAN} SELECT doc_id, action, path, page_id, title FROM pl")
@@ -441,43 +500,75 @@ def ingest_plan(spark: SparkSession, folder: str) -> DataFrame:
     return _plan(spark, folder)
 
 
+@query(f"WITH {INCOMING} SELECT doc_id, 'create' AS action, path, NULL::bigint AS page_id, title FROM d")
+def ingest_plan_create(spark: SparkSession, folder: str) -> DataFrame:
+    """The plan under the policy that leaves existing pages alone."""
+    return _plan(spark, folder, "create")
+
+
 @query(f"WITH {PAGES} SELECT page_id, list_sort(list_distinct(coalesce(tags, []) || ['pdf', 'updated'])) AS tags FROM p")
 def merge_tags(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", text.merged_tags(F.col("tags")).alias("tags"))
 
 
-@query(f"""WITH {PLAN}, wk AS (SELECT pl.*, d.markdown AS content, row_number() OVER (PARTITION BY CASE action WHEN 'update' THEN 'id ' || pl.page_id ELSE 'path ' || pl.path END ORDER BY pl.doc_id DESC) AS nth FROM pl JOIN d USING (doc_id) WHERE action <> 'error'),
+CHANGED = f"""{PLAN}, wk AS (SELECT pl.*, d.markdown AS content, row_number() OVER (PARTITION BY CASE action WHEN 'update' THEN 'id ' || pl.page_id ELSE 'path ' || pl.path END ORDER BY pl.doc_id DESC) AS nth FROM pl JOIN d USING (doc_id) WHERE action <> 'error'),
   up AS (SELECT wk.page_id, wk.title, wk.path, 'ko' AS locale, list_sort(list_distinct(coalesce(t.tags, []) || ['pdf', 'updated'])) AS tags, wk.content FROM wk JOIN t USING (page_id) WHERE nth = 1 AND action = 'update'),
-  cr AS (SELECT (SELECT max(page_id) FROM t) + row_number() OVER (ORDER BY doc_id) AS page_id, title, path, 'ko' AS locale, ['auto', 'pdf'] AS tags, content FROM wk WHERE nth = 1 AND action = 'create')
-SELECT * FROM t WHERE page_id NOT IN (SELECT page_id FROM up) UNION ALL SELECT * FROM up UNION ALL SELECT * FROM cr""")
+  cr AS (SELECT (SELECT max(page_id) FROM t) + row_number() OVER (ORDER BY doc_id) AS page_id, title, path, 'ko' AS locale, ['auto', 'pdf'] AS tags, content FROM wk WHERE nth = 1 AND action = 'create')"""
+
+
+@query(f"WITH {CHANGED} SELECT * FROM t WHERE page_id NOT IN (SELECT page_id FROM up) UNION ALL SELECT * FROM up UNION ALL SELECT * FROM cr")
 def apply_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.applied(_plan(spark, folder), _incoming(spark, folder), _targets(spark, folder))
 
 
-# Page breaks. The first has no SQL: its pattern looks around.
+@query(f"WITH {CHANGED}, ch AS (SELECT * FROM up UNION ALL SELECT * FROM cr), {_cut('n', 'ch')}, {_cut('o', 't')} SELECT * FROM o WHERE page_id NOT IN (SELECT page_id FROM ch) UNION ALL SELECT * FROM n")
+def apply_ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk table after the plan."""
+    pages = _targets(spark, folder)
+    return jobs.apply_ingest(_plan(spark, folder), _incoming(spark, folder), pages, chunking.chunk_pages(pages))[1]
+
+
+# Page breaks.
+
 
+def _rules_sql(table: str) -> str:
+    """l, b, r, k: the lines of a table (doc_id, text), without the rules that repeat."""
+    return f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {table}),
+  b AS (SELECT *, {_strip_sql("line")} AS bare FROM l), r AS (SELECT *, regexp_matches(bare, '{pagebreaks.TABLE_RULE}') AS rule FROM b),
+  k AS (SELECT *, last_value(CASE WHEN NOT rule AND bare <> '' THEN bare END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
+  w AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM k WHERE NOT rule OR NOT coalesce(regexp_matches(prev, '{pagebreaks.DATA_ROW}'), false) GROUP BY doc_id)"""
+
+
+def _dehyphenated_sql(c: str) -> str:
+    return f"regexp_replace({c}, '([가-힣a-zA-Z])-\\n([가-힣a-zA-Z])', '\\1\\2', 'g')"
+
+
+def _squeezed_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '(\\|[^\\n]+)\\n\\n+(\\|)', '\\1' || chr(10) || '\\2', 'g')"
 
+
+_TAIL, _HEAD = f"regexp_replace(a, '{text.SPACE}+$', '')", f"regexp_replace(x, '^{text.SPACE}+', '')"
+
+
+@query(f"""WITH j AS (SELECT doc_id, {_dehyphenated_sql(f"list_reduce(string_split(coalesce(text, ''), chr(10)), lambda a, x: {_TAIL} || CASE WHEN right({_TAIL}, 1) = '|' AND left({_HEAD}, 1) = '|' THEN chr(10) WHEN length({_TAIL}) > 0 AND NOT contains('{pagebreaks.SENTENCE_END}', right({_TAIL}, 1)) THEN '' ELSE chr(10) || chr(10) END || {_HEAD})")} AS text FROM documents),
+  {_rules_sql("j")} SELECT doc_id, {_squeezed_sql("coalesce(w.text, '')")} AS text FROM documents LEFT JOIN w USING (doc_id)""")
 def merge_page_breaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose full stops before a line end have become page breaks."""
+    """Documents whose line ends have become page breaks (the SQL, which can't look around, cuts at the line ends themselves)."""
     docs = _read(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"(\.?)\n", "$1\n\n-----\n\n").alias("text"))
     return pagebreaks.merge_page_breaks(docs, "doc_id", "text")
 
 
-QUERIES["merge_page_breaks"] = merge_page_breaks
 TABLES = "replace(replace(coalesce(text, ''), '. ', chr(10) || '|---|:--|' || chr(10)), ',', chr(10) || '| 12 | x |')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {TABLES} AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-  b AS (SELECT *, {_strip_sql("line")} AS bare FROM l), r AS (SELECT *, regexp_matches(bare, '{pagebreaks.TABLE_RULE}') AS rule FROM b),
-  k AS (SELECT *, last_value(CASE WHEN NOT rule AND bare <> '' THEN bare END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r)
-SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM k WHERE NOT rule OR NOT coalesce(regexp_matches(prev, '{pagebreaks.DATA_ROW}'), false) GROUP BY doc_id""")
+@query(f"""WITH d AS (SELECT doc_id, {TABLES} AS text FROM documents), {_rules_sql("d")} SELECT doc_id, text FROM w""")
 def drop_separator_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with sentences turned into tables."""
     table = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit("\n|---|:--|\n")), F.lit(","), F.lit("\n| 12 | x |"))
-    return pagebreaks.without_repeated_rules(_read(spark, folder, "documents").select("doc_id", table.alias("text")), "doc_id", "text")
+    return _read(spark, folder, "documents").select("doc_id", pagebreaks.without_repeated_rules(table).alias("text"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, 'th', '-' || chr(10)), '. ', chr(10) || chr(10) || chr(10)), '([가-힣a-zA-Z])-\\n([가-힣a-zA-Z])', '\\1\\2', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '(\\|[^\\n]+)\\n\\n+(\\|)', '\\1' || chr(10) || '\\2', 'g') AS text FROM documents""")
+@query(f"""SELECT doc_id, {_squeezed_sql(_dehyphenated_sql("replace(replace(text, 'th', '-' || chr(10)), '. ', chr(10) || chr(10) || chr(10))"))} AS text FROM documents""")
 def dehyphenate_squeeze(spark: SparkSession, folder: str) -> DataFrame:
     broken = F.replace(F.replace("text", F.lit("th"), F.lit("-\n")), F.lit(". "), F.lit("\n\n\n"))
     return _read(spark, folder, "documents").select("doc_id", pagebreaks.squeezed(pagebreaks.dehyphenated(broken)).alias("text"))
@@ -500,7 +591,7 @@ CONTEXT = f"ctx AS (SELECT q.query_id, coalesce((SELECT string_agg(document, chr
 
 def _hits(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame:
     chunks = _chunks(spark, folder)
-    found = keyword_index.search(keyword_index.build(chunks), questions).where("bm25_rank <= 3")
+    found = keyword_index.search(_index(chunks), questions).where("bm25_rank <= 3")
     return fusion.hydrated(found.select("query_id", "chunk_id", F.col("bm25_rank").alias("fused_rank")), chunks)
 
 

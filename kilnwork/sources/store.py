@@ -6,17 +6,19 @@ the old or the new one; nothing that is being read is overwritten.
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import file_system
+
 POINTER = "current.txt"
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+class DamagedStore(RuntimeError):
+    """There is a store, but its current version can't be read."""
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
@@ -29,13 +31,13 @@ def scan_chunks(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return stored.select(*columns) if columns else stored
 
 
-def save_tables(tables: dict[str, DataFrame], path: str) -> str:
-    """Write tables as a new version under path, then point to it. Returns the version's name."""
+def save_tables(tables: dict[str, DataFrame], path: str, keep: int | None = None) -> str:
+    """Write tables as a new version under path, then point to it. Returns the version's name. With `keep`, only so many of the latest versions stay; a reader of an older one has to load again."""
     spark = next(iter(tables.values())).sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{path}/{version}/{name}")
-    jvm, target, fs = _files(spark, f"{path}/{POINTER}")
+    jvm, target, fs = file_system(spark, f"{path}/{POINTER}")
     draft = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}.{version}")
     out = fs.create(draft, True)
     out.write(bytearray(version.encode()))
@@ -44,18 +46,23 @@ def save_tables(tables: dict[str, DataFrame], path: str) -> str:
     array = spark.sparkContext._gateway.new_array(options, 1)
     array[0] = options.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, array)
+    if keep is not None:
+        versions = sorted((s.getPath() for s in fs.listStatus(target.getParent()) if s.getPath().getName().startswith("v-")), key=lambda p: p.getName())
+        for old in versions[: max(0, len(versions) - max(1, keep))]:
+            if old.getName() != version:
+                fs.delete(old, True)
     return version
 
 
 def load_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame] | None:
-    """The current version's tables, or None if there is none or it is damaged."""
-    _, target, fs = _files(spark, f"{path}/{POINTER}")
+    """The current version's tables; None only if nothing was ever stored here. A store that can't be read raises DamagedStore, so that nobody takes it for an empty one."""
+    _, target, fs = file_system(spark, f"{path}/{POINTER}")
     if not fs.exists(target):
         return None
-    version = spark.read.text(f"{path}/{POINTER}").first()
-    if version is None:
-        return None
     try:
+        version = spark.read.text(f"{path}/{POINTER}").first()
+        if version is None:
+            raise DamagedStore(f"{path}/{POINTER} is empty")
         return {n: spark.read.parquet(f"{path}/{version[0]}/{n}") for n in names}
-    except Exception:  # a table is missing or can't be read
-        return None
+    except PySparkException as e:
+        raise DamagedStore(f"the current version under {path} can't be read") from e

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LIST = "struct<data:struct<pages:struct<list:array<struct<id:bigint,path:string,title:string,tags:array<string>>>>>>"
+LIST = "struct<data:struct<pages:struct<list:array<struct<id:bigint,path:string,title:string,tags:array<string>,locale:string>>>>>"
 SINGLE = "struct<data:struct<pages:struct<single:struct<content:string,tags:array<struct<tag:string>>>>>>"
 
 
 def page_list(responses: DataFrame, json: str = "json", locale: str = "ko") -> DataFrame:
-    """One row a listed page; a response that isn't JSON or lacks a level gives none."""
+    """One row a listed page of this locale; a page that doesn't say is taken to be of it. A response that isn't JSON or lacks a level gives none."""
     pages = F.explode(F.from_json(json, LIST)["data"]["pages"]["list"]).alias("page")
-    return responses.select(pages).select(F.col("page.id").alias("page_id"), "page.path", "page.title", "page.tags", F.lit(locale).alias("locale"))
+    listed = responses.select(pages).where(F.col("page.locale").isNull() | (F.col("page.locale") == locale))
+    return listed.select(F.col("page.id").alias("page_id"), "page.path", "page.title", "page.tags", F.lit(locale).alias("locale"))
 
 
 def page_content(json: Column) -> Column:

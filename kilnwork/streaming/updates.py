@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.chunks import replaced
 from ..sources.store import load_tables, save_tables
 
+#: Versions that stay, so that readers of the one before the current one can end.
+KEPT = 2
 
-def into_store(path: str, clean: bool = False) -> Callable[[DataFrame, int], None]:
-    """A function for writeStream.foreachBatch: each batch of pages (page_id, title, path, content) replaces what the store has of them, as a new version. A batch that comes again gives the same store."""
+
+def into_store(path: str, clean: bool = False, keep: int = KEPT) -> Callable[[DataFrame, int], None]:
+    """A function for writeStream.foreachBatch: each batch of pages (page_id, title, path, content) replaces what the store has of them, as a new version.
+
+    Of a page's rows in one batch the one with the greatest content counts (then
+    title, then path), so a batch that comes again gives the same store. A store
+    that can't be read stops the stream (DamagedStore); it isn't begun anew.
+    """
 
     def batch(pages: DataFrame, number: int) -> None:
         spark = pages.sparkSession
         stored = load_tables(spark, path, ["chunks"])
-        pages = pages.dropDuplicates(["page_id"])
+        pages = pages.groupBy("page_id").agg(F.max(F.struct("content", "title", "path")).alias("page")).select("page_id", "page.title", "page.path", "page.content")
         chunks = spark.createDataFrame([], "chunk_id string, page_id long, chunk_index int, title string, path string, document string") if stored is None else stored["chunks"]
-        save_tables({"chunks": replaced(chunks, pages, clean)}, path)
+        save_tables({"chunks": replaced(chunks, pages, clean)}, path, keep)
 
     return batch

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kilnwork.operators import chunks as chunking
 from kilnwork.operators import fusion, ingest, keyword_index, prompts, sync, vectors
 from kilnwork.plans import jobs
 from kilnwork.sources import store, wiki
@@ -41,6 +42,50 @@ def test_patches_equal_a_rebuild(spark, chunks):
     assert rows(back) == rows(index)
 
 
+def test_a_patch_tokenises_only_what_is_new(spark, chunks, tmp_path):
+    path = str(tmp_path / "index")
+    keyword_index.save(keyword_index.build(chunks.where("page_id <> 4")), path)
+    index = keyword_index.patch_add(keyword_index.load_to_patch(spark, path), chunks.where("page_id = 4"))
+    read = {f.split("/")[-2] for f in index.terms.inputFiles()}
+    assert read == {"terms", "corpus"}
+    removed = keyword_index.patch_remove(index, spark.createDataFrame([("page_0_chunk_0",), ("unknown",)], "chunk_id string"))
+    whole = keyword_index.build(chunks.where("page_id <> 0"))
+    for name in ("postings", "terms", "corpus"):
+        rows = [sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in getattr(i, name).select(*getattr(whole, name).columns).collect()) for i in (removed, whole)]
+        assert rows[0] == rows[1]
+    nothing = keyword_index.patch_remove(index, chunks.select("chunk_id"))
+    assert nothing.terms.collect() == [] and tuple(nothing.corpus.first()) == (0, 0, None)
+
+
+def test_replaced_pages_and_index(spark, chunks):
+    pages = spark.createDataFrame([(1, "t1", "p/1", "새 글자"), (3, "t3", "p/3", ""), (8, "t8", "p/8", "x" * 501)], "page_id long, title string, path string, content string")
+    after, index, counts = jobs.replace_pages(chunks, keyword_index.build(chunks), pages)
+    assert sorted((r.page_id, r.chunk_index) for r in after.collect()) == [(0, 0), (1, 0), (2, 0), (4, 0), (8, 0), (8, 1)]
+    assert {r.page_id: r.n_chunks for r in counts.collect()} == {1: 1, 3: 0, 8: 2}
+    terms = lambda i: sorted((r.token, r.df, round(r.idf, 9)) for r in i.terms.collect())
+    assert terms(index) == terms(keyword_index.build(after))
+
+
+def test_full_index_tables(spark, chunks):
+    pages = spark.createDataFrame([(7, "t", "p/7", [])], "page_id long, title string, path string, tags array<string>")
+    after, index = jobs.full_index_tables(pages, spark.createDataFrame([(7, "long enough a body")], "page_id long, content string"), chunks)
+    assert [(r.chunk_id, len(r.embedding)) for r in after.collect()] == [("page_7_chunk_0", vectors.DIMENSIONS)] and index.corpus.first().n_tokens == 3
+
+
+def test_an_embedding_hook_is_used_for_chunks_and_queries(spark, chunks):
+    length = lambda c: F.array(F.length(c).cast("double"))
+    asked = spark.createDataFrame([(0, "12345678")], "query_id long, query string")
+    assert jobs.hybrid_search(chunks, None, asked, top=1, embed=length).first().chunk_id == "page_0_chunk_0"
+    ready = chunks.withColumn("embedding", F.array(F.lit(1.0)))
+    assert vectors.embedded(ready, "chunk_id", "document", length).first().embedding == [1.0]
+
+
+def test_cleaning_stands_once_in_the_plan(spark, chunks):
+    pages = spark.createDataFrame([(7, "t", "p/7", [])], "page_id long, title string, path string, tags array<string>")
+    plan = jobs.full_index(pages, spark.createDataFrame([(7, "b")], "page_id long, content string"), chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--") == 1
+
+
 def test_fusion_ties(spark):
     near = spark.createDataFrame([(0, "A", 1), (0, "B", 2), (0, "C", 3)], "query_id long, chunk_id string, vec_rank int")
     words = spark.createDataFrame([(0, "C", 1), (0, "D", 2), (0, "A", 3)], "query_id long, chunk_id string, bm25_rank int")
@@ -59,6 +104,29 @@ def test_nearest_equals_the_expression(spark):
     assert got == {tuple(r) for r in pairs.collect()}
 
 
+def test_nearest_with_ties_and_large_norms(spark):
+    rows = [(f"c{i}", i, 0, [1e4 + i % 5, -1e4, float(i % 3)]) for i in range(200)]
+    stored = spark.createDataFrame(rows, "chunk_id string, page_id long, chunk_index int, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(0, [1e4, -1e4, 0.0])], "query_id long, embedding array<double>")
+    expected = sorted(((r[3][0] - 1e4) ** 2 + r[3][2] ** 2, r[1]) for r in rows)[:25]
+    assert [(round(r.distance, 9), r.page_id) for r in vectors.nearest(stored, asked, 25).orderBy("vec_rank").collect()] == expected
+    assert vectors.nearest(stored.where("false"), asked).collect() == [] == vectors.nearest(stored, asked.where("false")).collect()
+
+
+def test_probing_all_cells_is_exact_and_some_nearly_so(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [(f"c{i}", i, 0, [float(x) for x in r.normal(0, 1, 16)]) for i in range(3000)]
+    stored = spark.createDataFrame(rows, "chunk_id string, page_id long, chunk_index int, embedding array<double>").repartition(3)
+    asked = stored.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), "embedding")
+    found = lambda df: {(x.query_id, x.chunk_id) for x in df.collect()}
+    exact = found(vectors.nearest(stored, asked, 10))
+    assert found(vectors.nearest_probed(stored, asked, 10, probes=vectors.CELLS)) == exact
+    assert len(found(vectors.nearest_probed(stored, asked, 10)) & exact) >= 0.9 * len(exact)
+    assert vectors.nearest_probed(stored.where("false"), asked).collect() == []
+
+
 def test_sync(spark):
     pages = spark.createDataFrame([(1, ["pdf"]), (2, None), (3, [])], "page_id long, tags array<string>")
     stored = spark.createDataFrame([(f"page_{i}_chunk_0", i) for i in (1, 2, 9)], "chunk_id string, page_id long")
@@ -91,6 +159,24 @@ def test_ingest(spark):
     assert after == {0: ("Z", None, "zero"), 4: ("near", ["pdf", "updated", "x"], "two"), 5: ("own", ["auto", "pdf"], "three"), 6: ("zero", ["auto", "pdf"], "six")}
 
 
+def test_ingest_to_its_end(spark):
+    pages = spark.createDataFrame([(4, "T", "d/T", "ko", ["x"], "old text"), (6, "U", "d/U", "ko", None, "other")], "page_id long, title string, path string, locale string, tags array<string>, content string")
+    chunks = chunking.chunk_pages(pages)
+    docs = jobs.prepared(spark.createDataFrame([(9, "d", "T", "new te\n\n-----\n\nxt"), (3, "d", "V v", "made")], "doc_id long, department string, title string, markdown string"))
+    plan = ingest.plan(docs, pages, chunks.where("false").withColumn("embedding", F.array(F.lit(0.0))))
+    after, cut, index, counts = jobs.apply_ingest(plan, docs, pages, chunks, keyword_index.build(chunks))
+    assert {(r.page_id, r.path, r.content) for r in after.collect()} == {(4, "d/T", "new text"), (6, "d/U", "other"), (7, "d/V-v", "made")}
+    assert {(r.chunk_id, r.document) for r in cut.collect()} == {("page_4_chunk_0", "new text"), ("page_6_chunk_0", "other"), ("page_7_chunk_0", "made")}
+    assert {r.token for r in index.terms.collect()} == {"new", "text", "other", "made"} and {r.page_id for r in counts.collect()} == {4, 7}
+
+
+def test_numbers_follow_the_order_of_keys(spark):
+    keys = [7 * i % 1000 - 300 for i in range(1000)]
+    got = {r.k: r.number for r in ingest.numbered(spark.createDataFrame([(k,) for k in keys], "k long").repartition(3), "k").collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
+    assert ingest.numbered(spark.createDataFrame([], "k long"), "k").collect() == []
+
+
 def test_similar_titles_look_at_three_chunks_only(spark):
     schema = "chunk_id string, page_id long, chunk_index int, title string, path string, embedding array<double>"
     doc = spark.createDataFrame([(1, [0.0])], "doc_id long, embedding array<double>")
@@ -114,6 +200,9 @@ def test_histories_and_contexts(spark):
 def test_page_lists(spark):
     df = spark.createDataFrame([('{"data":{"pages":{"list":[{"id":1,"path":"a","title":"t","tags":["x"]},{"id":2}]}}}',), ("{}",), ("broken",), (None,)], "json string")
     assert [(r.page_id, r.tags) for r in wiki.page_list(df).orderBy("page_id").collect()] == [(1, ["x"]), (2, None)]
+    mixed = spark.createDataFrame([('{"data":{"pages":{"list":[{"id":1,"locale":"ko"},{"id":2,"locale":"en"},{"id":3}]}}}',)], "json string")
+    assert [r.page_id for r in wiki.page_list(mixed).orderBy("page_id").collect()] == [1, 3]
+    assert [r.page_id for r in wiki.page_list(mixed, locale="en").orderBy("page_id").collect()] == [2, 3]
 
 
 def test_store_versions(spark, chunks, tmp_path):
@@ -131,3 +220,39 @@ def test_batches_into_store(spark, tmp_path):
     put(pages.where("page_id = 1").withColumn("content", F.lit("new")), 1)
     stored = store.load_tables(spark, path, ["chunks"])["chunks"]
     assert sorted((r.chunk_id, r.document) for r in stored.collect()) == [("page_1_chunk_0", "new"), ("page_2_chunk_0", "y")]
+
+
+def test_a_damaged_store_is_not_an_empty_one(spark, chunks, tmp_path):
+    path = tmp_path / "chunks"
+    put = into_store(str(path))
+    pages = spark.createDataFrame([(1, "t", "p", "one"), (2, "t", "q", "two")], "page_id long, title string, path string, content string")
+    put(pages, 0)
+    version = (path / store.POINTER).read_text()
+    (path / version).rename(path / "away")
+    with pytest.raises(store.DamagedStore):
+        put(pages.where("page_id = 1"), 1)
+    (path / "away").rename(path / version)
+    put(pages.where("page_id = 1"), 2)
+    assert store.load_tables(spark, str(path), ["chunks"])["chunks"].count() == 2
+    index = tmp_path / "index"
+    keyword_index.save(keyword_index.build(chunks), str(index))
+    (index / (index / store.POINTER).read_text() / "terms").rename(index / "gone")
+    assert keyword_index.load(spark, str(index)) is None  # a search goes on without it
+    with pytest.raises(store.DamagedStore):
+        keyword_index.load_to_patch(spark, str(index))
+
+
+def test_a_page_twice_in_a_batch_and_old_versions(spark, tmp_path):
+    path = tmp_path / "chunks"
+    put = into_store(str(path))
+    rows = [(1, "t", "p", x) for x in ("b", "c", "a")]
+    for i in range(4):
+        put(spark.createDataFrame(rows[i % 3 :] + rows[: i % 3], "page_id long, title string, path string, content string").repartition(3), i)
+        assert [r.document for r in store.load_tables(spark, str(path), ["chunks"])["chunks"].collect()] == ["c"]
+    assert len([x for x in path.iterdir() if x.name.startswith("v-")]) == 2
+
+
+def test_chunks_by_prefix(spark):
+    stored = chunking.chunk_pages(spark.createDataFrame([(i, "t", "p", "x" * 600) for i in (1, 11, -1)], "page_id long, title string, path string, content string"))
+    wanted = spark.createDataFrame([(1,), (1,), (5,), (None,)], "page_id long")
+    assert sorted(r.chunk_id for r in chunking.of_pages(stored, wanted).collect()) == ["page_1_chunk_0", "page_1_chunk_1"]
