@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.shared import written  # noqa: F401  (the operators take it from here)
 
 #: Bytes of text that numpy works on at a time; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -23,23 +23,6 @@ BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64,
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="kilnwork-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return the table; lost executors don't lose it, and its lineage is short."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kilnwork-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, so that others, of whatever name, don't matter."""
     return df.select(*[df[c] for c in columns])

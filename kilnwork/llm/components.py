@@ -1,4 +1,4 @@
-"""Connected components of a graph of links, as Spark jobs."""
+"""Connected components of a graph of links, as Spark jobs, and joins that stand frequent keys."""
 
 from __future__ import annotations
 
@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: A key is frequent if it holds more than one in so many of the rows, so no more than that many are.
+SHARE = 1024
+
+
+def joined(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows with the columns of keyed (one row a key, `weight` rows of `rows` have it, `total` in all; weight is dropped). The rows of frequent keys, of which there are SHARE at most, aren't shuffled: their side is broadcast."""
+    others = [c for c in keyed.columns if c not in (key, weight)]
+    frequent = keyed.where(F.col(weight) * SHARE > total).select(key, F.struct(*others).alias("_frequent"))
+    marked = rows.join(F.broadcast(frequent), key, "left")
+    here = marked.where("_frequent is not null").select(*rows.columns, *[F.col("_frequent")[c].alias(c) for c in others])
+    there = marked.where("_frequent is null").drop("_frequent").join(keyed.where(F.col(weight) * SHARE <= total).select(key, *others), key)
+    return here.unionByName(there.select(*rows.columns, *others))
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Link each node's (larger, or no larger) neighbours to the least of its neighbours and itself."""
     pairs = links.select("a", "b").union(links.select("b", "a")) if large else links
-    least = pairs.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
-    joined = pairs.join(least, "a")
-    moved = joined.where(F.col("b") > F.col("a")) if large else joined
+    total = links.count() * (1 + large)
+    least = pairs.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("degree")).select("a", F.least("a", "least").alias("least"), "degree")
+    met = joined(pairs, least, "a", "degree", total)
+    moved = met.where(F.col("b") > F.col("a")) if large else met
     out = moved.select(F.col("b").alias("a"), F.col("least").alias("b"))
     if not large:
         out = out.union(least.select("a", F.col("least").alias("b")))
@@ -24,8 +37,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have links (a, b): the component is its least node.
 
-    Alternating large and small stars: each round halves paths, and each round's
-    table is written to the shared folder. Ends when a round changes nothing.
+    Alternating large and small stars: each round halves paths, and each star's
+    table is written to the shared folder. Ends when a round changes nothing. A hub's
+    links stay where they are; only its least neighbour travels.
     """
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
@@ -34,5 +48,5 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
-        links = written(_star(_star(links, True), False), "links")
+        links = written(_star(written(_star(links, True), "stars"), False), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())

@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
-Texts with equal sets of word shingles are one node. Each tree of the forest is
-read at one depth: nodes match where they share a prefix of their signature's part,
-as in banding. The depth follows from the constants, not from the data: it is the
-largest at which the chance that some tree matches a pair at the threshold reaches the target
-recall. Within a match, nodes are connected through leaders (the first node of its
-kind there), so that copies make rows in proportion to their number; a match of many
-nodes is dealt over blocks, and each two blocks meet in a task. The pairs of
-a connected group are verified exactly from their texts, in blocks of bounded size,
-and counted, not emitted.
+Texts with equal sets of word shingles are one node. A tree of the forest is a
+prefix trie: the tree's part of every node's signature is a path, and rows sorted
+by path lay the trie out. Nodes that share the shortest prefix worth a look meet
+(of many, each two blocks by themselves), sorted. The trie is then walked from the
+longest prefixes on: nodes below one of its points are compared by their whole
+signatures and, if they can be similar, grouped. A prefix is shortened only for
+points that still hold several groups, and at most until the chance that a pair at
+the threshold shares a prefix in some tree reaches the target recall. What the
+groups of all trees connect is verified exactly from the texts, in blocks of
+bounded size, and links are counted, not emitted.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, SPACED, U64, Rolling, mix, text_blocks, word_bounds, written
-from .components import components
+from .components import components, joined
 from .windows import identified
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 8
 #: Chance that a pair just at the threshold is found.
 RECALL = 0.9995
-#: Estimated similarity from which a node gathers around a leader instead of being one, and from which it is connected with a leader. Jaccard distances keep the triangle inequality, so of two nodes at the threshold one is this near to the other's leader.
-LEADER, NEAR = 0.7, 0.35
+#: Standard deviations of an estimated similarity that a candidate may lie below the threshold.
+SLACK = 5.5
 #: Nodes of a prefix in a block; two blocks meet in a task.
 GATHERED = 4096
+#: Rows of a trie that a task walks at a time, whole prefixes; and nodes of a point compared at once.
+WALKED, COMPARED = 32_768, 1024
 #: Nodes, and shingles, in a block; two blocks meet in a task.
 BLOCK, BLOCK_SHINGLES = 768, 1_000_000
 
@@ -41,7 +44,7 @@ _FLIPS, _FACTORS = _RANDOM[0], _RANDOM[1] | U64(1)
 
 
 def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix whose matches reach the recall at the threshold."""
+    """The longest prefix at which a pair at the threshold is found with the recall's chance: shortening ends there."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -65,8 +68,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return hashes[fresh], np.searchsorted(doc[fresh], np.arange(n + 1))
 
 
-def _signed(size: int, depth: int):
-    """(doc, tag, node, n, signature, prefixes) of each row: the node is the hash of its set of shingles."""
+def _signed(size: int):
+    """(doc, tag, node, n, signature) of each row: the node is the hash of its set of shingles; the signature 16 bits a value, so that a tree's path is a string of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,74 +82,115 @@ def _signed(size: int, depth: int):
                     node[some] = mix(np.add.reduceat(mix(hashes + U64(17)), begins[some]) ^ mix(np.diff(begins)[some].astype(U64)))
                     for i in range(TREES * DEPTH):
                         signature[some, i] = np.minimum.reduceat((hashes ^ _FLIPS[i]) * _FACTORS[i], begins[some])
-                trees = mix(signature).reshape(rows, TREES, DEPTH)
-                prefixes = np.zeros((rows, TREES), U64)
-                for level in range(depth):
-                    prefixes = mix(prefixes ^ trees[:, :, level]) + np.arange(TREES, dtype=U64)
-                small = (trees.reshape(rows, -1) >> U64(56)).astype(np.uint8)
+                small = (mix(signature) >> U64(48)).astype(">u2")
                 mask = np.diff(begins) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(node.astype(np.int64), mask=mask), pa.array(np.diff(begins).astype(np.int64)),
-                        pa.array([x.tobytes() for x in small], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * TREES), pa.array(prefixes.astype(np.int64).ravel())),
-                    ],
-                    ["doc", "tag", "node", "n", "signature", "prefixes"],
-                )
+                    [batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(node.astype(np.int64), mask=mask), pa.array(np.diff(begins).astype(np.int64)), pa.array([x.tobytes() for x in small], pa.binary())],
+                    ["doc", "tag", "node", "n", "signature"],
+                )
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): edges that connect what can be similar, from rows (prefix, a, b, node, signature) sorted by prefix, block pair and node. At most one edge a node and one a leader; only the leaders of a block pair are held."""
-    width = TREES * DEPTH
-    key, leaders, many, names, group = None, np.zeros((0, width), np.uint8), 0, [], np.zeros(0, int)
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys, nodes = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1), batch.column(3).to_numpy()
-        signatures = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(batch), -1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        out: list[tuple[list[int], list[int]]] = []
-        for a, b in zip(cuts, cuts[1:]):
-            if tuple(keys[a]) != key:
-                key, leaders, many, names, group = tuple(keys[a]), np.zeros((0, width), np.uint8), 0, [], np.zeros(0, int)
-            while a < b:
-                part = slice(a, min(b, a + 1024))
-                rows = signatures[part]
-                if many + len(rows) > len(leaders):
-                    leaders = np.concatenate([leaders, np.zeros((max(len(rows), many), width), np.uint8)])
-                # Leaders are found one after the other; all others are compared with all leaders at once.
-                alike = np.zeros((many + len(rows), len(rows)), np.uint8)
-                for i in range(many):
-                    alike[i] = (rows == leaders[i]).sum(axis=1)
-                led = (alike[:many] >= LEADER * width).any(axis=0)
-                while not led.all():
-                    i = int(np.argmin(led))
-                    leaders[many] = rows[i]
-                    alike[many] = (rows == rows[i]).sum(axis=1)
-                    led |= alike[many] >= LEADER * width
-                    names.append(int(nodes[a + i]))
-                    many += 1
-                group = np.append(group, np.arange(len(group), many))
-                near = alike[:many].T >= NEAR * width
-                first = near.argmax(axis=1)
-                out.append((nodes[part].tolist(), [names[i] for i in first]))
-                for row in np.unique(near, axis=0):  # leaders that some node is near to belong together
-                    joined = np.unique(group[row])
-                    for g in joined[1:]:
-                        out.append(([names[int(np.argmax(group == g))]], [names[int(np.argmax(group == joined[0]))]]))
-                        group[group == g] = joined[0]
-                a = part.stop
-        columns = [np.array([x for pair in out for x in pair[k]], np.int64) for k in range(2)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b"])
-
-
-def _met(nodes: DataFrame) -> DataFrame:
-    """(prefix, a, b, node, signature): nodes that share a prefix; of a prefix with many, each two blocks (a, b) by themselves, so that all pairs of nodes meet."""
-    matched = nodes.select("node", F.explode("prefixes").alias("prefix")).withColumn("many", F.count("*").over(Window.partitionBy("prefix"))).where("many > 1")
-    signed = matched.join(nodes.select("node", "signature"), "node")
+def _least_connected(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each a place that has itself as label) after the places a and b have been joined pair by pair."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def walked(point: np.ndarray, paths: np.ndarray, signatures: np.ndarray, shortest: int, threshold: float) -> np.ndarray:
+    """For each row of a trie (point: its shortest prefix, paths sorted within it) the row that its group is named by."""
+    n, width = signatures.shape
+    near = threshold - SLACK * (threshold * (1 - threshold) / width) ** 0.5
+    equal = paths[1:] == paths[:-1]
+    shared = np.concatenate([[-1], np.where(point[1:] != point[:-1], -1, np.where(equal.all(axis=1), paths.shape[1], equal.argmin(axis=1)))])
+    label = np.arange(n)
+    for depth in range(paths.shape[1], shortest - 1, -1):
+        heads = np.flatnonzero(shared < depth)
+        sizes = np.diff(np.append(heads, n))
+        head = np.repeat(heads, sizes)
+        other = np.flatnonzero(label != label[head])
+        if not len(other):
+            continue  # each point holds one group: nothing to find here
+        alike = np.concatenate([(signatures[x] == signatures[head[x]]).mean(axis=1) for x in np.array_split(other, -(-len(other) // COMPARED))])
+        close = other[alike >= near]
+        label = _least_connected(label, close, head[close])
+        apart = np.unique(head[label != label[head]])
+        size_of = dict(zip(heads.tolist(), sizes.tolist()))
+        a, b = [], []
+        for h in apart.tolist():
+            m = size_of[h]
+            if m < 3:
+                continue
+            members = np.arange(h, h + m)
+            signs = _signs(signatures[members])
+            groups = label[members]
+            for i in range(0, m, COMPARED):
+                part = slice(i, i + COMPARED)
+                found = (signs[part] @ signs.T >= near * signs.shape[1]) & (groups[part, None] != groups[None])
+                # One link a row and group is enough: the first to each other group that it is near to.
+                x, y = np.nonzero(found)
+                _, once = np.unique(groups[x + i] * n + groups[y], return_index=True)
+                a.append(members[x[once] + i])
+                b.append(members[y[once]])
+        if a:
+            label = _least_connected(label, np.concatenate(a), np.concatenate(b))
+    return label
+
+
+def _signs(signatures: np.ndarray) -> np.ndarray:
+    """Four signs for each value: products of two rows' signs estimate how many of their values are equal."""
+    bits = np.stack([(signatures >> k) & 1 for k in range(4)], 2).reshape(len(signatures), -1)
+    return bits.astype(np.float32) * 2 - 1
+
+
+def _grouped(shortest: int, threshold: float):
+    """(a, b): an edge from each row's node to the node that its group is named by; from rows (prefix, a, b, path, node, signature) sorted by these."""
+
+    def edges(table: pa.Table) -> pa.RecordBatch:
+        keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        point = np.cumsum(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        as_matrix = lambda k: np.frombuffer(b"".join(table.column(k).to_pylist()), ">u2").astype(np.uint16).reshape(len(table), -1)
+        node = table.column(4).to_numpy()
+        name = node[walked(point, as_matrix(3), as_matrix(5), shortest, threshold)]
+        some = name != node
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(name[some])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) > WALKED:
+                table = pa.Table.from_batches(held)
+                keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+                cut = len(keys) - int((keys == keys[-1]).all(axis=1)[::-1].argmin()) if not (keys == keys[-1]).all() else 0
+                if cut:  # the last prefix may go on in the next batch
+                    yield edges(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+        if sum(map(len, held)):
+            yield edges(pa.Table.from_batches(held))
+
+    return run
+
+
+def _met(nodes: DataFrame, shortest: int) -> DataFrame:
+    """(prefix, a, b, path, node, signature): nodes that share a tree's shortest prefix; of a prefix with many, each two blocks (a, b) by themselves, so that all pairs of nodes meet."""
+    step = 2 * DEPTH
+    paths = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("signature", t * step + 1, F.lit(step)).alias("path")))
+    rows = nodes.select("node", F.explode(paths).alias("way")).select("node", "way.path", F.xxhash64("way.tree", F.substring("way.path", 1, 2 * shortest)).alias("prefix"))
+    many = written(rows.groupBy("prefix").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("many", F.col("rows")), "prefixes")
+    total = many.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    signed = joined(rows, many, "prefix", "rows", total).join(nodes.select("node", "signature"), "node")
     blocks = F.ceil(F.col("many") / GATHERED).cast("int")
-    return signed.select("prefix", "node", "signature", F.explode(_units(F.pmod(F.xxhash64("node"), blocks).cast("int"), blocks)).alias("unit")).select("prefix", "unit.a", "unit.b", "node", "signature")
+    return signed.select("prefix", "path", "node", "signature", F.explode(_units(F.pmod(F.xxhash64("node"), blocks).cast("int"), blocks)).alias("unit")).select("prefix", "unit.a", "unit.b", "path", "node", "signature")
 
 
 def _units(side: Column, blocks: Column) -> Column:
@@ -236,46 +280,58 @@ def _verified(threshold: float, size: int):
     return run
 
 
+def _classed(docs: DataFrame, threshold: float, size: int, recall: float, key: str, text: str) -> DataFrame:
+    """(doc, tag, component, copy_of, class_id, n_links) of each row; the component names the class and is null without words."""
+    source = identified(docs, key, text)
+    shortest = prefix_depth(threshold, recall)
+    rows = written(source.mapInArrow(_signed(size), "doc long, tag long, node long, n long, signature binary"), "signatures")
+    first = F.min(F.struct("doc", "tag", "n", "signature")).alias("first")
+    nodes = written(rows.where("node is not null").groupBy("node").agg(first, F.count("*").alias("copies")).select("node", "first.*", "copies"), "nodes")
+
+    edges = _met(nodes, shortest).repartition("prefix", "a", "b").sortWithinPartitions("prefix", "a", "b", "path", "node").mapInArrow(_grouped(shortest, threshold), "a long, b long")
+    members = written(components(edges).join(nodes.select("node", "n", "doc", "tag"), "node"), "members")
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(members.groupBy("component").agg(F.count("*").alias("many"), blocks.alias("blocks")), "sizes")
+    placed = joined(members, sizes, "component", "many", members.count()).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    wanted = placed.select("doc", "tag", "node", "component", "side", _units(F.col("side"), F.col("blocks")).alias("units"))
+    texts = source.join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"])  # a repeated row once
+    texts = texts.select("component", F.explode("units").alias("unit"), "side", "node", "text")
+    paired = texts.select("component", "unit.a", "unit.b", "side", "node", "text").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
+    verified = written(paired.mapInArrow(_verified(threshold, size), "node long, links long, root long"), "verified")
+
+    links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
+    parts = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    named = written(nodes.select("node", "doc", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    classes = named.groupBy("component").agg(F.min("doc").alias("class_id"), F.count("*").alias("many"))
+    about = joined(named, classes, "component", "many", named.count()).join(links, "node", "left")
+    about = written(about.select("node", "component", F.col("doc").alias("copy_of"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"), "about")
+    worded = joined(rows.where("node is not null").select("doc", "tag", "node"), about, "node", "copies", rows.count())
+    wordless = rows.where("node is null").select("doc", "tag", F.lit(None).cast("long"), "doc", "doc", F.lit(0).cast("long"))
+    return worded.select("doc", "tag", "component", "copy_of", "class_id", "n_links").union(wordless)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: key, tag (its text's CRC-32), copy_of, class_id, n_links, worded (whether it has words).
+    """One row a document: key, tag (by which rows of equal keys are told apart, see `identified`), copy_of, class_id, n_links, worded (whether it has words).
 
     copy_of: the least key of the documents with the same set of shingles.
     n_links: how many other sets of shingles are similar to its own by the
     threshold or more. class_id: the least key of all that these links and copies
     connect. A text without words (or null) is its own class without links; one
     with fewer words than a shingle has all of them as its only shingle. Repeated
-    rows are copies of each other. A null key is returned as the least long.
+    rows are copies of each other. A null key is returned as the least long; an
+    empty table gives an empty result; other columns don't matter. Runs Spark jobs
+    when it is called, and writes tables to the shared folder.
     """
-    source = identified(docs, key, text)
-    rows = written(source.mapInArrow(_signed(size, prefix_depth(threshold, recall)), "doc long, tag long, node long, n long, signature binary, prefixes array<long>"), "signatures")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc", "tag", "n", "signature", "prefixes")).alias("first")).select("node", "first.*"), "nodes")
-
-    edges = _met(nodes).repartition("prefix", "a", "b").sortWithinPartitions("prefix", "a", "b", "node").mapInArrow(_gathered, "a long, b long")
-    members = components(edges)
-
-    sizes = members.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = placed.join(nodes.select("node", "doc", "tag"), "node").select("doc", "tag", "node", "component", "side", _units(F.col("side"), F.col("blocks")).alias("units"))
-    texts = source.join(wanted, ["doc", "tag"]).select("component", F.explode("units").alias("unit"), "side", "node", "text")
-    paired = texts.select("component", "unit.a", "unit.b", "side", "node", "text").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
-    verified = written(paired.mapInArrow(_verified(threshold, size), "node long, links long, root long"), "verified")
-
-    links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
-    parts = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.select("node", "doc").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = named.groupBy("component").agg(F.min("doc").alias("class_id"))
-    about = named.join(classes, "component").join(links, "node", "left").select("node", F.col("doc").alias("copy_of"), "class_id", "n_links")
-    return rows.select("doc", "tag", "node").join(about, "node", "left").select(
-        F.col("doc").alias(key), "tag", F.coalesce("copy_of", "doc").alias("copy_of"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("node").isNotNull().alias("worded")
-    )
+    classed = _classed(docs, threshold, size, recall, key, text)
+    return classed.select(F.col("doc").alias(key), "tag", "copy_of", "class_id", "n_links", F.col("component").isNotNull().alias("worded"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each class of near duplicates the document with the least key (of equal keys the one whose text has the least CRC-32), with all its columns; documents without words all stay."""
-    classes = near_duplicates(docs, threshold, size, recall, key, text)
-    first = classes.where("worded").groupBy("class_id").agg(F.min(F.struct(F.col(key).alias("doc"), "tag")).alias("first")).select("first.doc", "first.tag")
-    kept = first.union(classes.where("not worded").select(F.col(key), "tag").distinct())
+    """Of each class of near duplicates the document with the least key (of equal keys the one whose text has the least tag), with all its columns; documents without words all stay."""
+    classes = _classed(docs, threshold, size, recall, key, text)
+    first = classes.where("component is not null").groupBy("component").agg(F.min(F.struct("doc", "tag")).alias("first")).select("first.doc", "first.tag")
+    kept = first.union(classes.where("component is null").select("doc", "tag")).distinct()
     rows = identified(docs, key, text, F.struct(*[docs[c] for c in docs.columns]).alias("row")).drop("text")
-    joined = rows.join(kept.distinct(), ["doc", "tag"]).dropDuplicates(["doc", "tag"])
-    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    joined_ = rows.join(kept, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
+    return joined_.select(*[F.col("row")[c].alias(c) for c in docs.columns])

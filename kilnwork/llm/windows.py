@@ -328,9 +328,15 @@ def _compared(grain: Grain, method: Callable[[Contexts, int], np.ndarray]) -> Ca
 
 
 def identified(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    """(doc, tag, text): the key as a long (null: the least), the text's CRC-32 (so that rows with equal keys are told apart), the text (null: empty); and more columns."""
+    """(doc, tag, text): the key as a long (null: the least; a key that isn't a number is an error), a tag by which rows with equal keys are told apart, the text (null: empty); and more columns.
+
+    The tag is the text's CRC-32 and, behind it, 31 bits of another hash, so that it
+    orders rows as the CRC-32 does, and different texts under one key (or without
+    any, which is one key) hardly ever share it: among n of them with a chance of n^2 / 2^64.
+    """
     whole = F.coalesce(docs[text], F.lit(""))
-    return docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(whole).alias("tag"), whole.alias("text"), *more)
+    tag = F.shiftleft(F.crc32(whole), 31).bitwiseOR(F.xxhash64(whole).bitwiseAND(F.lit((1 << 31) - 1)))
+    return docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))).alias("doc"), tag.alias("tag"), whole.alias("text"), *more)
 
 
 def repeated_spans(source: DataFrame, grain: Grain, method: Callable[[Contexts, int], np.ndarray], anywhere: bool, giant: int = GIANT, share: int = SHARE, rare: int = RARE) -> DataFrame:

@@ -1,9 +1,12 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kilnwork.llm import ngram_join
-from kilnwork.llm.components import components
+from kilnwork.llm.components import components, joined
 from tests.llm import brute
 
 
@@ -34,14 +37,63 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, block):
 def test_a_hot_prefix_meets_in_blocks(spark, monkeypatch):
     """Thousands of nodes of one prefix: no unit has more than two blocks, and every two nodes meet in one."""
     monkeypatch.setattr(ngram_join, "GATHERED", 256)
-    nodes = spark.range(2000).selectExpr("id AS node", "CAST('x' AS BINARY) AS signature", "CASE WHEN id % 100 = 0 THEN array(1L, id + 10, 7L) ELSE array(1L, id + 10) END AS prefixes")
+    trees = [lambda i: (5).to_bytes(16, "big"), lambda i: (7 if i % 100 == 0 else i + 1000).to_bytes(8, "big") + bytes(8)]
+    rows = [(i, bytearray(b"".join(t(i) for t in trees) + b"".join(((t << 32) + i).to_bytes(8, "big") + bytes(8) for t in range(2, 16)))) for i in range(2000)]
     units = {}
-    for r in ngram_join._met(nodes).collect():
+    for r in ngram_join._met(spark.createDataFrame(rows, "node long, signature binary"), 4).collect():
         units.setdefault((r.prefix, r.a, r.b), set()).add(r.node)
-    assert {u[0] for u in units} == {1, 7} and [u for u in units if u[0] == 7] == [(7, 0, 0)] and max(map(len, units.values())) <= 2 * 1.3 * 256
+    small = [u for u in units if (u[1], u[2]) == (0, 0) and len(units[u]) == 20]
+    assert len({u[0] for u in units}) == 2 and len(small) == 1 and max(map(len, units.values())) <= 2 * 1.3 * 256
     assert {(x, y) for u in units.values() if len(u) > 20 for x in u for y in u if x < y} == {(x, y) for y in range(2000) for x in range(y)}
 
 
+def test_the_trie_is_walked_until_groups_are_one():
+    """Groups are what likeness connects within a prefix, whatever the order; nothing is grouped across prefixes."""
+    r = np.random.default_rng(5)
+    n, width = 400, ngram_join.TREES * ngram_join.DEPTH
+    base = r.integers(0, 1 << 16, (12, width)).astype(np.uint16)
+    kind = r.integers(0, 12, n)
+    signatures = base[kind].copy()
+    change = r.random((n, width)) < 0.12
+    signatures[change] = r.integers(0, 1 << 16, int(change.sum()))
+    signatures[:, :4] = 9  # one shortest prefix, shared by all
+    point = np.sort(r.integers(0, 2, n))
+    order = np.lexsort((*signatures[:, 7::-1].T, point))
+    kind, signatures = kind[order], signatures[order]
+    label = ngram_join.walked(point, signatures[:, :8], signatures, 4, 0.8)
+    first = {}
+    for i in range(n):
+        first.setdefault((point[i], kind[i]), i)
+    assert [first[point[i], kind[i]] for i in range(n)] == label.tolist()
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """2,000 pairs at a similarity of 81 / 99, and for each a text at 70 / 90, which is no link."""
+    r, rows = random.Random(21), []
+    for i in range(2000):
+        words = [f"w{r.randrange(10**9)}" for _ in range(94)]
+        other = words[:]
+        other[47:52] = [f"w{r.randrange(10**9)}" for _ in range(5)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(other)), (3 * i + 2, " ".join(words[:74]))]
+    got = {x.doc_id: x.n_links for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[3 * i] <= 1 and got[3 * i + 1] <= 1 and got[3 * i + 2] == 0 for i in range(2000))
+    assert sum(got[3 * i] == 1 == got[3 * i + 1] for i in range(2000)) >= 0.999 * 2000
+
+
+def test_equal_crcs_under_one_key(spark):
+    seen = {}
+    r = random.Random(1)
+    while True:
+        text = " ".join(f"w{r.randrange(10**6)}" for _ in range(8))
+        crc = zlib.crc32(text.encode())
+        if crc in seen:
+            break
+        seen[crc] = text
+    rows = [(None, text), (None, seen[crc])]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({x.tag for x in got}) == 2 and sorted(x.text for x in ngram_join.one_of_each(spark.createDataFrame([(1, text), (1, seen[crc]), (1, text)], "doc_id long, text string")).collect()) == sorted([text, seen[crc]])
+
+
 def test_documents_that_share_half_their_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GATHERED", 256)
     r = random.Random(9)
@@ -64,6 +116,12 @@ def test_prefixes_shorten_until_the_recall():
     assert ngram_join.prefix_depth(0.99, 0.9) == 8
 
 
+def test_frequent_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(3000)], "k long, v long").repartition(3)
+    keyed = rows.groupBy("k").count().withColumn("twice", 2 * F.col("k"))
+    assert {tuple(r) for r in joined(rows, keyed, "k", "count", 3000).collect()} == {(0 if i % 2 else i, i, 0 if i % 2 else 2 * i) for i in range(3000)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 40), (40, 70), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
