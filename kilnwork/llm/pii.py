@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from .common import require
 
 ROUNDS = 10
+#: Letters and digits of a value from which it isn't read as one number, whose arithmetic takes the square of its length.
+LONG = 64
 _DIGITS, _LETTERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
 _GAP = r"[ \t.|#*$%&!-]{0,6}"
@@ -93,9 +96,14 @@ class Feistel:
     def __init__(self, key: bytes):
         self.key = key
 
-    def _round(self, tweak: bytes, i: int, value: int) -> int:
+    def _round(self, tweak: bytes, i: int, value: int, modulus: int) -> int:
+        """A number that depends on all of value, 128 bits wider than the modulus at least."""
         size = (value.bit_length() + 7) // 8
-        return int.from_bytes(hashlib.blake2b(b"%d|%b|%d" % (i, tweak, size) + value.to_bytes(size, "big"), key=self.key, digest_size=64).digest(), "big")
+        told = b"%d|%b|%d" % (i, tweak, size) + value.to_bytes(size, "big")
+        digest = hashlib.blake2b(told, key=self.key, digest_size=64).digest()
+        for part in range(1, -(-(modulus.bit_length() + 128) // 512)):
+            digest += hashlib.blake2b(b"%d|" % part + told, key=self.key, digest_size=64).digest()
+        return int.from_bytes(digest, "big")
 
     def __call__(self, value: int, n: int, tweak: bytes) -> int:
         if n < 2:
@@ -105,12 +113,24 @@ class Feistel:
         while True:
             left, right = divmod(value, b)
             for i in range(0, ROUNDS, 2):
-                left = (left + self._round(tweak, i, right)) % a
-                right = (right + self._round(tweak, i + 1, left)) % b
+                left = (left + self._round(tweak, i, right, a)) % a
+                right = (right + self._round(tweak, i + 1, left, b)) % b
             value = left * b + right
             if value < n:
                 return value
 
+    def long(self, values: list[int], radix: list[int], tweak: bytes) -> list[int]:
+        """The same over lists of digits, each of its own radix, in time by their length: a half's digits move by a stream of numbers that depends on all of the other half."""
+        cut = len(values) // 2
+        halves, sizes = [values[:cut], values[cut:]], [radix[:cut], radix[cut:]]
+        for i in range(ROUNDS):
+            own, other = i % 2, 1 - i % 2
+            told = hashlib.blake2b(b"%d|%b|%d|%d|" % (i, tweak, len(values), cut) + bytes(halves[other]), key=self.key, digest_size=64).digest()
+            stream = hashlib.shake_256(self.key + told).digest(4 * len(halves[own]))
+            steps = (int.from_bytes(stream[k : k + 4], "big") for k in range(0, len(stream), 4))
+            halves[own] = [(v + s) % r for v, s, r in zip(halves[own], steps, sizes[own])]
+        return halves[0] + halves[1]
+
 
 def _luhn(digits: str) -> int:
     """The check digit that the digits before it ask for."""
@@ -128,6 +148,11 @@ class Pseudonyms:
     def _characters(self, value: str, tweak: bytes, hexadecimal: bool = False) -> str:
         """Letters for letters (in their case), digits for digits, hexadecimal digits for such; other characters stay."""
         radix = [(_HEX if hexadecimal else _DIGITS if c in _DIGITS else _LETTERS) if c.isascii() and c.isalnum() else "" for c in value]
+        if sum(map(bool, radix)) > LONG:
+            digits = [(c, alphabet) for c, alphabet in zip(value, radix) if alphabet]
+            moved = iter(self.permuted.long([a.index(c.lower()) for c, a in digits], [len(a) for _, a in digits], tweak + b" long"))
+            capital = lambda c: value.isupper() if hexadecimal else c.isupper()
+            return "".join((alphabet[next(moved)].upper() if capital(c) else alphabet[next(moved)]) if alphabet else c for c, alphabet in zip(value, radix))
         number, n = 0, 1
         for c, alphabet in zip(value, radix):
             if alphabet:
@@ -233,12 +258,14 @@ class Pseudonyms:
 
         def take(kind: str, start: int, end: int) -> bool:
             """Whether the find is valid and free of others."""
-            if any(start < e and s < end for s, e, _ in spans):
+            # The spans are sorted and don't overlap, so only the neighbours matter.
+            at = bisect_left(spans, (start,))
+            if at < len(spans) and spans[at][0] < end or at and spans[at - 1][1] > start:
                 return False
             new = self.of(kind, text[start:end])
             if new is None:
                 return False
-            spans.append((start, end, new))
+            insort(spans, (start, end, new))
             found[kind] += 1
             return True
 
@@ -262,7 +289,6 @@ class Pseudonyms:
                     long.append((start, m["value"]))
         for start, value in long:  # what follows a number may be a card, so after these
             any(take("phone_abroad", start, start + e) for _, e in _shorter(value))
-        spans.sort()
         out, at = [], 0
         for start, end, new in spans:
             out += [text[at:start], new]
@@ -270,12 +296,14 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), found
 
 
-def pseudonymised(docs: DataFrame, key: bytes = b"kilnwork", id: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS), keep_columns: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, id: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS), keep_columns: bool = False) -> DataFrame:
     """Each row once: id, the text with pseudonyms, n_replaced, and `kinds` found (sorted, comma-joined); with keep_columns all columns of docs, and only the text changed.
 
     A null text stays null, an empty one empty; whatever fails its validation
-    stays as it is; rows with equal or null ids are treated each by itself. Give a
-    secret `key` of your own: with it, and only with it, pseudonyms can be linked.
+    stays as it is; rows with equal or null ids are treated each by itself; an
+    empty table gives an empty result. A text of any length is looked through whole,
+    in time by its length. The `key` is a secret of your own: with it, and only with it,
+    pseudonyms can be linked. Other columns don't matter, or stay as they are.
     """
     if isinstance(key, str):
         key = key.encode()

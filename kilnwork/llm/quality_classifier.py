@@ -30,6 +30,8 @@ PARTS = 32
 BINS, LOW, HIGH = 512, -2.0, 2.0
 #: Of the labelled rows one in so many serves the calibration alone.
 FOLDS = 5
+#: Rows that each pool of the calibration has more than it counts.
+PRIOR = 1.0
 
 _CLASSES = {
     "upper": bytes(range(65, 91)),
@@ -126,27 +128,32 @@ def _summed(df: DataFrame, label: str, of_rows) -> np.ndarray | None:
     return np.sum(parts, axis=0) if parts else None
 
 
-def _isotonic(counts: list[tuple[int, float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over (bin, ones, rows); the bins' centres and values, which rise."""
-    pools: list[list[float]] = []  # ones, rows, first bin, last bin
+def isotonic(counts: list[tuple[int, float, float]], prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators over (bin, ones, rows): places of raw scores and their values, which rise.
+
+    A pool's value is its share of ones with `prior` rows more at the share of all;
+    between the pools' centres (of rows) values are interpolated, and beyond the
+    outermost they go half the way to 0 or 1, so that scores still rank within a pool.
+    """
+    share = sum(c[1] for c in counts) / sum(c[2] for c in counts)
+    centre = lambda b: LOW + (b + 0.5) * (HIGH - LOW) / BINS
+    pools: list[list[float]] = []  # ones, rows, sum of centres
     for b, ones, rows in sorted(counts):
-        pools.append([ones, rows, b, b])
+        pools.append([ones, rows, rows * centre(b)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            ones_, rows_, _, end = pools.pop()
-            pools[-1][0] += ones_
-            pools[-1][1] += rows_
-            pools[-1][3] = end
-    centre = lambda b: LOW + (b + 0.5) * (HIGH - LOW) / BINS
-    x = [centre(b) for p in pools for b in ([p[2], p[3]] if p[3] > p[2] else [p[2]])]
-    y = [p[0] / p[1] for p in pools for _ in ([0, 1] if p[3] > p[2] else [0])]
-    return np.array(x), np.array(y)
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+    x, y = [p[2] / p[1] for p in pools], [(p[0] + prior * share) / (p[1] + prior) for p in pools]
+    y = np.maximum.accumulate(y).tolist()  # small pools lean more to the share of all
+    return np.array([min(LOW, x[0]) - 1, *x, max(HIGH, x[-1]) + 1]), np.array([y[0] / 2, *y, (1 + y[-1]) / 2])
 
 
 def fitted(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", features: int = FEATURES, ridge: float = RIDGE) -> Callable[[np.ndarray], np.ndarray]:
     """A function from statistics to scores, learnt from a table of `document_statistics` and the labels of rows that aren't held out."""
     marks = labels.where(F.col(label).isNotNull() & ~held_out(key)).select(F.col(key), (F.col(label) >= 1).cast("int").alias("mark"))
     usable = table.join(marks, key).withColumn("fold", F.crc32(F.concat(F.lit("fold "), F.col(key).cast("string")).cast("binary")) % FOLDS)
-    usable = written(usable.select("statistics", "mark", "fold").repartition(PARTS, F.xxhash64("statistics")), "labelled")
+    # Dealt by the key, as equal texts, of which there may be many, have equal statistics.
+    usable = written(usable.select(key, "statistics", "mark", "fold").repartition(PARTS, F.xxhash64(key)).drop(key), "labelled")
     fit = usable.where("fold <> 0").coalesce(PARTS)
 
     moments = _summed(fit, "mark", lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]))
@@ -174,7 +181,7 @@ def fitted(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     counts = usable.where("fold = 0").select("statistics", "mark").mapInArrow(binned, "bin int, mark int").groupBy("bin").agg(F.sum("mark").alias("ones"), F.count("*").alias("rows")).collect()
     if not counts:
         return lambda x: np.clip((raw(x) + 1) / 2, 0, 1)
-    at, value = _isotonic([(r.bin, float(r.ones), float(r.rows)) for r in counts])
+    at, value = isotonic([(r.bin, float(r.ones), float(r.rows)) for r in counts])
     return lambda x: np.interp(raw(x), at, value)
 
 
@@ -190,8 +197,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     are never read. Of labels with equal keys all count; null labels don't. An
     empty or null text is scored like any other. Without any usable label every
     score is 0.5; without calibration rows the raw score is cut to 0..1; with one
-    class only, its rate is the score. Rows with a null key are scored, not
-    held out, and never learnt from. An empty table gives an empty result.
+    class only, scores lie on its side of 0.5. Rows with a null key are scored, not
+    held out, and never learnt from. Repeated rows get equal scores; very long texts
+    are scored whole. An empty table gives an empty result; other columns don't
+    matter. Runs Spark jobs when it is called, and writes tables to the shared folder.
     """
     table = written(document_statistics(docs, key, text), "statistics")
     predict = fitted(table, labels, key, label, features, ridge)

@@ -33,7 +33,7 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.pseudonymised(_table(spark, folder, "documents"))
+    return pii.pseudonymised(_table(spark, folder, "documents"), b"a key for the query alone")
 
 
 def op5_media(spark: SparkSession, folder: str) -> DataFrame:
