@@ -77,8 +77,9 @@ def _halved(items: list[tuple[int, int, int]], longest: int) -> list[tuple[int,
 def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY, slack: float = SLACK, longest: int | None = None) -> tuple[list[list[tuple[int, int, int]]], int]:
     """Windows of at most `capacity` from items (document, start, length), none longer than the capacity; and the greatest length that items were left.
 
-    The number of windows is the least possible one; exceeded, it rises to what
-    the slack allows; exceeded again, items over half the length are halved.
+    The number of windows is the least possible one (no two items over half the
+    capacity share a window); whenever the capacity is exceeded it rises by one, to
+    what the slack allows; beyond that, items over half the length are halved.
     """
     total = sum(x[2] for x in items)
     longest = capacity if longest is None else min(longest, capacity)
@@ -90,7 +91,7 @@ def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY, slack: flo
         items = _halved(items, longest)
     while True:
         sizes = np.array([x[2] for x in items], np.int64)
-        for k in sorted({least, most}):
+        for k in range(max(least, int((2 * sizes > capacity).sum())), most + 1):
             sums, window = differencing(sizes, k)
             if sums[0] <= capacity:
                 windows: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
@@ -102,14 +103,22 @@ def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY, slack: flo
 
 
 def _ranks(path: str) -> dict[bytes, int] | None:
-    """A byte-level BPE vocabulary as ranks of byte strings, if its merges come in the order of their ids."""
+    """A byte-level BPE vocabulary as ranks of byte strings, if its merges come in the order of their ids and nothing else in the file changes texts or ids."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    if any(t[k] for t in file.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
     byte_of = {chr(c): b for b, c in [*((b, b) for b in printable), *((b, 256 + i) for i, b in enumerate(rest))]}
     vocabulary = model["vocab"]
-    if any(c not in byte_of for x in vocabulary for c in x if x not in ("<|endoftext|>",)):
+    added = {t["content"] for t in file.get("added_tokens") or []}
+    if any(c not in byte_of for x in vocabulary for c in x if x not in added) or any(c.isspace() for x in added for c in x):
         return None
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     ids = [vocabulary.get("".join(m), -1) for m in merges]
@@ -138,6 +147,8 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         ranks = _ranks(path)
         self.fast = None
+        self.added = sorted(self.tokenizer.get_added_tokens_decoder().values(), key=str)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.added) or r"(?!)")
         if ranks is not None:
             import public_tokenizers
             import tiktoken
@@ -151,7 +162,7 @@ class Ids:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> None:
-        odd = [u for u in units if "<|" in u or u[-1:].isspace() or u[:1] == "\n" or not u]
+        odd = [u for u in units if self.special.search(u) or u[-1:].isspace() or u[:1] == "\n" or not u]
         if odd:
             self.known.update(zip(odd, self._encode(odd)))
             odd_ = set(odd)

@@ -29,14 +29,59 @@ INDEXED, LONG = 1 << 19, 64
 SLICE = 1 << 20
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def unsupported(path: str) -> str | None:
+    """What in a model file this module can't do, if anything. The numbers of the fields of a model file."""
+    with open(path, "rb") as f:
+        fields = list(_fields(f.read()))
+    inside = lambda number: {k: v for n, part in fields if n == number for k, v in _fields(part)}
+    trainer, normaliser = inside(2), inside(3)
+    kinds = {dict(_fields(part)).get(3, 1) for n, part in fields if n == 1}
+    if trainer.get(3, 1) != 2:
+        return "the model isn't a BPE model"
+    if trainer.get(24, 0):
+        return "spaces are pieces' ends"
+    if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        return "the model normalises texts"
+    if 4 in kinds:
+        return "the model has pieces that users defined"
+    return None
+
+
 class Model:
-    """A SentencePiece BPE model's vocabulary, encoder and decoder."""
+    """A SentencePiece BPE model's vocabulary, encoder and decoder. A model of another kind, or one that normalises texts, is refused (ValueError), as its ids would differ."""
 
     _units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def __init__(self, path: str):
         import sentencepiece
 
+        if why := unsupported(path):
+            raise ValueError(f"{path}: {why}")
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
         n = processor.get_piece_size()
         self.pieces = [processor.id_to_piece(i) for i in range(n)]
@@ -244,7 +289,9 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """One row a document: key, ids, n_ids, and whether decoding them gives the text back (round_trip).
 
     A null or empty text has no ids and comes back as empty. Rows with equal or
-    null keys are encoded each by itself; an empty table gives an empty result.
+    null keys are encoded each by itself; an empty table gives an empty result; other
+    columns don't matter. Texts are indexed about a million characters at a time, cut
+    at spaces; a text without any is indexed whole, at some 100 bytes a character.
     """
     kind = docs.schema[key].dataType.simpleString()
 

@@ -27,21 +27,40 @@ SHALLOW = 3
 
 
 def multikey(symbols: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order rows by group and their first `depth` symbols; returns the order and, in it, the number of the class of rows still equal."""
+    """Multikey quicksort of rows by group and their first `depth` symbols; returns the order and, in it, the number of the class of rows still equal.
+
+    All segments that are still open are parted at once, each by its own pivot (the
+    median of three), into rows with less, the same and more at the symbol where
+    the segment stands; those with the same go on at the next symbol.
+    """
+    depth = min(depth, symbols.shape[1])
     order, of = np.argsort(group, kind="stable"), np.sort(group)
     cut = np.concatenate([[True], of[1:] != of[:-1]])
-    for level in range(min(depth, symbols.shape[1])):
-        of = np.cumsum(cut) - 1
-        open_ = np.bincount(of)[of] > 1  # only rows that aren't alone
-        if not open_.any():
-            break
-        places = np.flatnonzero(open_)
-        values = symbols[order[places], level]
-        inner = np.lexsort((values, of[places]))
-        order[places] = order[places[inner]]
-        values, of_ = values[inner], of[places]
-        cut[places[1:]] |= (values[1:] != values[:-1]) & (of_[1:] == of_[:-1])
-    return order, np.cumsum(cut) - 1
+    level = np.zeros(len(order), np.int64)
+    while True:
+        first = np.flatnonzero(cut)
+        size = np.diff(np.append(first, len(order)))
+        open_ = (size > 1) & (level[first] < depth)
+        first, size = first[open_], size[open_]
+        if not len(first):
+            return order, np.cumsum(cut) - 1
+        begin = np.cumsum(size) - size  # of each segment among the open rows
+        segment = np.repeat(np.arange(len(first)), size)
+        place = np.arange(len(segment)) - begin[segment] + first[segment]
+        value = symbols[order[place], level[place]]
+        x, y, z = value[begin], value[begin + size // 2], value[begin + size - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[segment]
+        less, same = value < pivot, value == pivot
+        new = np.empty(len(place), np.int64)
+        start = first.copy()
+        for part in (less, same, ~(less | same)):
+            before = np.cumsum(part) - part
+            count = np.add.reduceat(part.astype(np.int64), begin)
+            new[part] = (start[segment] + before - before[begin][segment])[part]
+            cut[start[count > 0]] = True
+            start = start + count
+        order[new] = order[place]
+        level[new] = level[place] + same
 
 
 def blind_trie(strings: list[int], length: int) -> tuple[list[int], list[int]]:

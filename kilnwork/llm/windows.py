@@ -20,7 +20,9 @@ to compare windows that share an anchor; a document yields about 2 anchors to
 3. The representatives' symbols are fetched from the documents, and the contexts
    of an anchor are compared with each other by the operator's own method.
 4. An anchor with more than `giant` contexts isn't held in one task: its windows
-   become rows of their own, partitioned by their whole content (step 2 again).
+   are split by their distance to the anchor, a few distances at a time, and by all the
+   symbols that such windows have in common, a longer gram around the anchor. The
+   parts go the same way (steps 2 and 3).
 
 Nothing is capped, and no task holds more than `giant` contexts of an anchor.
 """
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, SPACED, U64, Rolling, mix, text_blocks, word_bounds, written
 
-#: Contexts of one anchor that a task compares; beyond them the windows are shuffled one by one.
-GIANT = 20_000
+#: Contexts of one anchor that a task compares; beyond them they are split, by so many distances to the anchor at first, then by each.
+GIANT, SPLITS = 20_000, (8, 1)
 #: Contexts that a task compares at a time, whole anchors.
 COMPARED = 32_768
 #: Symbols of one document that are looked at at a time.
@@ -224,8 +226,24 @@ def _resolved(rows: DataFrame, anywhere: bool) -> DataFrame:
 _CONTEXT = "anchor long, doc long, tag long, lo int, n int, rel int, symbols binary"
 
 
-def _fetched(grain: Grain, giant: bool) -> Callable:
-    """From documents with the places of their contexts: the contexts' symbols, or (giant) each of their windows by its content."""
+def _parted(grain: Grain, step: int, rolling: Rolling, anchor: np.ndarray, starts: np.ndarray, n: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts cut up by windows' distances to the anchor, `step` of them at a time: which context, first window within it, windows, anchor less first window; the part's anchor (the hash of what all such windows hold) and its context's hash."""
+    low, high = (rel - n + 1) // step, rel // step
+    count = high - low + 1
+    which = np.repeat(np.arange(len(n)), count)
+    part = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+    far = np.minimum(part * step + step - 1, rel[which])
+    first, windows = rel[which] - far, far - np.maximum(part * step, (rel - n + 1)[which]) + 1
+    place = starts[which] + rel[which]
+    common = rolling.hash(place - part * step, place - (part * step + step - 1) + grain.width)
+    begin = starts[which] + first
+    key = mix(common ^ mix(anchor[which].astype(U64) + part.astype(U64) * U64(11)))
+    context = mix(rolling.hash(begin, begin + windows - 1 + grain.width) ^ mix((far * 65536 + windows - 1).astype(U64) + U64(7)))
+    return which, first, windows, far, key, context
+
+
+def _fetched(grain: Grain, step: int) -> Callable:
+    """From documents with the places of their contexts: the contexts' symbols, or (with a step) their parts as anchors of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,21 +252,18 @@ def _fetched(grain: Grain, giant: bool) -> Callable:
             bounds, fields = lists.offsets.to_numpy(), lists.values
             anchor, lo, n, rel = (fields.field(k).to_numpy() for k in range(4))
             for first, rows, data, offsets in text_blocks(batch.column(2)):
-                symbols, begins = grain.symbols(data, offsets) if grain.words or giant else (data, offsets)
+                symbols, begins = grain.symbols(data, offsets) if grain.words or step else (data, offsets)
                 of = np.repeat(np.arange(rows), np.diff(bounds[first : first + rows + 1]))
                 these = slice(bounds[first], bounds[first + rows])
                 a, lo_, n_, rel_ = anchor[these], lo[these], n[these], rel[these]
                 starts = begins[of] + lo_
                 row = pa.array(of + first)
-                if giant:
-                    window = np.repeat(np.arange(len(of)), n_)
-                    step = np.arange(len(window)) - np.repeat(np.cumsum(n_) - n_, n_)
-                    begin = starts[window] + step
-                    content = Rolling(symbols).hash(begin, begin + grain.width)
-                    key = mix(content ^ mix(a[window].astype(U64) ^ U64(11)))
-                    place = row.take(pa.array(window))
-                    columns = [pa.array(key.astype(np.int64)), pa.array(content.astype(np.int64)), doc.take(place), tag.take(place), pa.array((lo_[window] + step).astype(np.int32)), pa.array(np.ones(len(window), np.int32)), pa.array(np.zeros(len(window), np.int32)), pa.array(np.zeros(len(window), bool))]
-                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ANCHOR.split(", ")])
+                if step:
+                    which, at, windows, far, key, context = _parted(grain, step, Rolling(symbols), a, starts, n_.astype(np.int64), rel_.astype(np.int64))
+                    place = row.take(pa.array(which))
+                    whole = [key.astype(np.int64), context.astype(np.int64), (lo_[which] + at).astype(np.int32), windows.astype(np.int32), far.astype(np.int32), np.zeros(len(which), bool)]
+                    key_, context_, lo__, n__, rel__, sure = map(pa.array, whole)
+                    yield pa.RecordBatch.from_arrays([key_, context_, doc.take(place), tag.take(place), lo__, n__, rel__, sure], [x.split()[0] for x in _ANCHOR.split(", ")])
                 else:
                     ends = starts + n_ + grain.width - 1
                     texts = [symbols[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
@@ -344,18 +359,22 @@ def repeated_spans(source: DataFrame, grain: Grain, method: Callable[[Contexts,
     listed = source.mapInArrow(_listed(grain, anywhere, frequent_grams(source, grain, share, rare)), _ANCHOR)
     resolved = written(_resolved(listed, anywhere), "resolved")
     gone = lambda df: df.where("gone").select("doc", "tag", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("n") - 1 + grain.width).cast("long").alias("end"))
-    several = resolved.where("several")
 
-    def fetched(which: DataFrame, as_windows: bool) -> DataFrame:
+    def fetched(which: DataFrame, step: int) -> DataFrame:
         places = which.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "lo", "n", "rel")).alias("places"))
-        return source.join(places, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_fetched(grain, as_windows), _ANCHOR if as_windows else _CONTEXT)
-
-    contexts = fetched(several.where(F.col("kinds") <= giant), False).repartition("anchor").sortWithinPartitions("anchor")
-    spans = gone(resolved).unionByName(contexts.mapInArrow(_compared(grain, method), _SPAN))
-    most = resolved.agg(F.max("kinds")).first()[0]
-    if most is not None and most > giant:
-        windows = fetched(several.where(F.col("kinds") > giant), True)
-        spans = spans.unionByName(gone(_resolved(windows, anywhere)))
+        return source.join(places, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_fetched(grain, step), _ANCHOR if step else _CONTEXT)
+
+    spans = gone(resolved)
+    for step in SPLITS:
+        several = resolved.where("several")
+        contexts = fetched(several.where(F.col("kinds") <= giant), 0).repartition("anchor").sortWithinPartitions("anchor")
+        spans = spans.unionByName(contexts.mapInArrow(_compared(grain, method), _SPAN))
+        most = resolved.agg(F.max("kinds")).first()[0]
+        if most is None or most <= giant:
+            break
+        # After the last split the windows of a part are one and the same, so none is left to compare.
+        resolved = written(_resolved(fetched(several.where(F.col("kinds") > giant), step), anywhere), "parts")
+        spans = spans.unionByName(gone(resolved))
     return spans
 
 

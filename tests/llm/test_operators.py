@@ -301,6 +301,54 @@ def test_sentencepiece(spark):
     assert sorted(r.text for r in back) == sorted((t or "").replace("▁", " ") for t in rows)
 
 
+def test_sentencepiece_refuses_models_that_it_would_encode_wrongly(tmp_path):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        whole = f.read()
+    # Fields that come again count: a unigram model, one with a map of characters, one that removes spaces, one with a piece of a user's.
+    for more in (b"\x12\x02\x18\x01", b"\x1a\x03\x12\x01x", b"\x1a\x02\x20\x01", b"\x0a\x05\x0a\x01x\x18\x04"):
+        path = tmp_path / "other.model"
+        path.write_bytes(whole + more)
+        with pytest.raises(ValueError, match="model|pieces"):
+            sentencepiece.Model(str(path))
+
+
+def test_packing_leaves_other_vocabularies_to_the_tokenizer(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        file = json.load(f)
+    assert packing.Ids(VOCABULARY).fast is not None
+    changes = [
+        lambda x: x.update(normalizer={"type": "Lowercase"}),
+        lambda x: x["pre_tokenizer"].update(add_prefix_space=True),
+        lambda x: x["added_tokens"].append({"id": 50257, "content": "two words", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}),
+        lambda x: x["added_tokens"].append({"id": 50257, "content": "@@", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}),
+    ]
+    for change in changes:
+        other = json.loads(json.dumps(file))
+        change(other)
+        path = str(tmp_path / "other.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(other, f)
+        ids, tokenizer = packing.Ids(path), Tokenizer.from_file(path)
+        for text in ("Some TWO Words", "two words here", "a@@b @@", "x <|endoftext|> y"):
+            assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_windows_rise_one_by_one(monkeypatch):
+    tried, plain = [], packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: tried.append(k) or plain(sizes, k))
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        tried.clear()
+        windows, longest = packing.pack([(i, 0, int(n)) for i, n in enumerate(r.integers(200, 500, 256))], 1024)
+        assert all(sum(x[2] for x in w) <= 1024 for w in windows)
+        if longest == 1024:
+            assert tried == list(range(tried[0], tried[0] + len(tried))) and len(windows) == tried[-1]
+
+
 def test_fingerprints_find_excerpts(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(0, 0.125, 64)]) for i in range(60)] + [(100, None), (101, []), (102, [0.1])]

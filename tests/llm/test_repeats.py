@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -85,3 +86,28 @@ def test_suffix_order_sorts():
     for i in range(1, 300):
         expected = next((d for d in range(60) if rows[i][1][d] != rows[i - 1][1][d]), 60) if rows[i][0] == rows[i - 1][0] else 0
         assert common[i] == expected
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 9])
+def test_multikey_quicksort_sorts(depth):
+    r = np.random.default_rng(depth)
+    symbols, group = r.integers(0, 3, (500, 6)).astype(np.uint64) << np.uint64(62), r.integers(0, 4, 500)
+    order, of = suffix_dedup.multikey(symbols, group, depth)
+    rows = [(group[i], *symbols[i, :depth].tolist()) for i in order]
+    assert rows == sorted(rows) and [a == b for a, b in zip(rows, rows[1:])] == (of[1:] == of[:-1]).tolist()
+
+
+def test_equal_crcs_under_one_key(spark):
+    """A text and another of the same CRC-32 keep their own spans."""
+    r, seen = random.Random(3), {}
+    for _ in range(400_000):
+        end = f"{r.randrange(10**9)}"
+        seen[zlib.crc32(("x" * 150 + end).encode())] = end
+    while True:
+        other = f"{r.randrange(10**9)}"
+        hit = seen.get(zlib.crc32(("y" * 350 + other).encode()))
+        if hit is not None:
+            break
+    rows = [(None, "x" * 150 + hit), (None, "y" * 350 + other)]
+    assert len({r.tag for r in identified(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}) == 2
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute.suffix_dedup(rows)
