@@ -126,3 +126,25 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 40), (40, 70), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 70: 40, 100: 40}
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    dice = random.Random(3)
+    path = list(range(1000, 1060))
+    dice.shuffle(path)
+    links = list(zip(path, path[1:])) + [(2000, x) for x in range(1900, 1990)] + [(x, 3000) for x in range(3001, 3050)]
+    links += [(dice.randrange(4000, 4300), dice.randrange(4000, 4300)) for _ in range(200)]
+    root = {x: x for link in links for x in link}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in rows) == sorted((x, top(x)) for x in linked)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
