@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lz_dedup, media, ngram_join, packing, pii, quality_classifier, quality_rules, sentencepiece, suffix_dedup
+from . import lexical, license_scan, lz_dedup, media, ngram_join, packing, pii, quality_classifier, quality_rules, repair, sentencepiece, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_lz_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lz_dedup.lz_dedup(_table(spark, folder, "documents"))
 
 
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.report(repair.damaged(_table(spark, folder, "conversations")))
+
+
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(_table(spark, folder, "documents")).drop("text")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +83,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_pii, op5_media, op6_suffix_dedup, op7_license_scan, op8_sentencepiece, op9_ngram_join, op10_lz_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_quality_classifier, op4_pii, op5_media, op6_suffix_dedup, op7_license_scan, op8_sentencepiece, op9_ngram_join, op10_lz_dedup, op11_repair, op12_lexical, op13_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
