@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,14 @@ DIMENSIONS = 64
 RANKED = 9
 #: Vectors in a block, and bytes of query blocks that are broadcast; more are joined without.
 BLOCK, BROADCAST_BYTES = 4096, 8 << 20
-#: Cells of an index, vectors that their centres are fitted on (a bounded sample), and rounds of fitting.
-CELLS, SAMPLE, ROUNDS = 64, 20_000, 8
-#: Cells that a query looks into. At 64 cells and 20 of them, recall of the 20 nearest is 0.9 and more on the given vectors (a test measures it).
-PROBES = 20
+#: Vectors that a level of centres is fitted on at most for each centre, and rounds of fitting.
+SAMPLE, ROUNDS = 32, 8
+#: Vectors of a leaf in a large table (in a small one, the root of their number), and the most cells of the first level.
+LEAF, CELLS = 2048, 1024
+#: Blocks of a leaf that meet a query block under one key; a leaf with more is dealt over several keys.
+BLOCKS_A_KEY = 16
+#: Cells whose leaves a query ranks; queries of a sample whose exact neighbours tell how many leaves to look into; share of these neighbours that must be covered.
+NEAR_CELLS, ASKED, COVERED = 32, 64, 0.95
 
 
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -151,13 +156,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, candidates: int = 20) -> Data
     return _ranked(_compared(pairs, kinds, candidates), candidates)
 
 
-def fitted_cells(chunks: DataFrame, cells: int = CELLS, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
-    """Centres of cells by k-means on `sample` of the vectors (those with the least hashes of their chunk ids), so nothing that grows with the table reaches the driver."""
-    rows = chunks.where("embedding is not null").select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id")).limit(sample).toArrow()
-    if not len(rows):
-        return np.zeros((0, 0))
-    x = _matrix(rows.column("embedding").combine_chunks())
-    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+def _means(x: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Centres by k-means, begun at vectors all over the list."""
+    centres = x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)]
     for _ in range(rounds):
         of = _nearest_cells(x, centres, 1)[:, 0]
         count = np.bincount(of, minlength=len(centres))
@@ -167,7 +168,11 @@ def fitted_cells(chunks: DataFrame, cells: int = CELLS, sample: int = SAMPLE, ro
 
 
 def _nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    return np.argsort((centres**2).sum(axis=1) - 2 * (x @ centres.T), axis=1, kind="stable")[:, :n]
+    rough = (centres**2).sum(axis=1) - 2 * (x @ centres.T)
+    if n < len(centres):
+        some = np.argpartition(rough, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(rough, some, 1), axis=1, kind="stable"), 1)
+    return np.argsort(rough, axis=1, kind="stable")
 
 
 def _celled(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
@@ -180,27 +185,9 @@ def _celled(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
             if len(batch):
                 cells = _nearest_cells(_matrix(batch.column("embedding")), centres, n)
                 rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), cells.shape[1])))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells.ravel().astype(np.int32))], [*names, "cell"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells.ravel().astype(np.int64))], [*names, "cell"])
 
-    return df.select(*names).where("embedding is not null").mapInArrow(run, f"{schema}, cell int")
-
-
-def nearest_probed(chunks: DataFrame, queries: DataFrame, candidates: int = 20, centres: np.ndarray | None = None, probes: int = PROBES) -> DataFrame:
-    """Like `nearest`, but a query looks only into the `probes` cells whose centres are nearest to it: approximate, and no product of all with all.
-
-    Every chunk is indexed, in the cell of its nearest centre; the centres are fitted
-    on a bounded sample (or given). Cells are cut into blocks, and queries meet the
-    blocks of their cells by an equi-join, so a cell that holds many chunks is many
-    rows, not one task. With as many probes as cells the result is exact.
-    """
-    centres = fitted_cells(chunks) if centres is None else centres
-    kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema, *queries.schema)}
-    if not len(centres):
-        return nearest(chunks, queries, candidates)
-    kept = ["embedding", "cell"]
-    stored = _cell_blocks(_celled(chunks.select(*_NAMES[1:], "embedding"), centres, 1).select(*_NAMES[1:], *kept), _NAMES[1:], "c_")
-    asked = _cell_blocks(_celled(queries.select("query_id", "embedding"), centres, probes).select("query_id", *kept).repartition("cell"), ["query_id"], "q_")
-    return _ranked(_compared(stored.join(asked, "cell"), kinds, candidates), candidates)
+    return df.select(*names).where("embedding is not null").mapInArrow(run, f"{schema}, cell long")
 
 
 def _cell_blocks(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
@@ -229,5 +216,135 @@ def _cell_blocks(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
         if sum(map(len, held)):
             yield from blocks()
 
-    schema = "cell int, " + ", ".join(f"`{prefix}{n}` array<{fields[n]}>" for n in names) + f", {prefix}matrix binary"
-    return df.mapInArrow(run, schema)
+    schema = "cell long, " + ", ".join(f"`{prefix}{n}` array<{fields[n]}>" for n in names) + f", {prefix}matrix binary"
+    return df.select("cell", *names, "embedding").mapInArrow(run, schema)
+
+
+@dataclass
+class CellTree:
+    """Vectors in leaves of cells. centres: of the first level, at most CELLS; leaves(cell, first, centres): of each cell, `first` being the number of its first leaf; placed(chunk_id, page_id, chunk_index, embedding, leaf): every vector; keys(leaf, salts): over how many keys a leaf is dealt; blocks: the vectors by key; rows: how many vectors."""
+
+    centres: np.ndarray
+    leaves: DataFrame
+    placed: DataFrame
+    keys: DataFrame
+    blocks: DataFrame
+    rows: int
+
+
+def cell_tree(chunks: DataFrame, leaf: int | None = None) -> CellTree | None:
+    """Every vector of chunks(chunk_id, page_id, chunk_index, embedding) in a leaf, of which there are as many as the table asks for; None without vectors.
+
+    Both levels' centres are fitted on bounded samples (those with the least hashes of
+    their ids: SAMPLE a centre, of all vectors and of each cell). A leaf that holds
+    many (copies, say) is dealt over several keys, so that no key grows. Runs Spark
+    jobs, and writes the vectors to the shared folder.
+    """
+    vectors = chunks.where("embedding is not null").select(*_NAMES[1:], "embedding")
+    rows = vectors.count()
+    if not rows:
+        return None
+    many = -(-rows // (leaf or max(8, min(LEAF, int(rows**0.5)))))
+    top = min(CELLS, int(np.ceil(many**0.5)))
+    each = -(-many // top)
+    first = vectors.orderBy(F.xxhash64("chunk_id")).limit(SAMPLE * top).select("embedding").toArrow()
+    centres = _means(_matrix(first.column(0).combine_chunks()), top)
+    celled = written(_celled(vectors, centres, 1), "cells")
+
+    def fit(cell: pa.Table) -> pa.Table:
+        number = cell.column("cell")[0].as_py()
+        found = _means(_matrix(cell.column("embedding").combine_chunks()), each)
+        return pa.table({"cell": pa.array([number]), "first": pa.array([number * each]), "centres": pa.array([found.tobytes()], pa.binary())})
+
+    by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("chunk_id"), "chunk_id")
+    sample = celled.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= SAMPLE * each).select("cell", "embedding")
+    leaves = written(sample.groupBy("cell").applyInArrow(fit, "cell long, first long, centres binary"), "leaves")
+
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                lists = [row["c_" + n].values for n in _NAMES[1:]]
+                x = np.frombuffer(row["c_matrix"].as_buffer()).reshape(len(lists[0]), -1)
+                at = _nearest_cells(x, np.frombuffer(row["centres"].as_buffer()).reshape(-1, x.shape[1]), 1)[:, 0]
+                embedding = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*lists, embedding, pa.array(at + row["first"].as_py())], [*_NAMES[1:], "embedding", "leaf"])
+
+    schema = ", ".join(f"{n} {kinds[n]}" for n in _NAMES[1:]) + ", embedding array<double>, leaf long"
+    placed = written(_cell_blocks(celled, _NAMES[1:], "c_").join(leaves, "cell").mapInArrow(place, schema), "placed")
+    keys = written(placed.groupBy("leaf").agg(F.ceil(F.count("*") / (BLOCK * BLOCKS_A_KEY)).cast("int").alias("salts")), "keys")
+    salted = placed.join(keys, "leaf").withColumn("cell", _key(F.col("leaf"), F.pmod(F.xxhash64("chunk_id"), F.col("salts"))))
+    blocks = written(_cell_blocks(salted.repartition("cell"), _NAMES[1:], "c_"), "blocks")
+    return CellTree(centres, leaves, placed, keys, blocks, rows)
+
+
+def _key(leaf: Column, salt: Column) -> Column:
+    return F.shiftleft(leaf, 20) + salt
+
+
+def _leaves(tree: CellTree, queries: DataFrame, leaves: int | None, cells: int) -> DataFrame:
+    """(query_id, leaf, place): the nearest leaves of the nearest cells of each query, in order; all of them if `leaves` is None."""
+    asked = _cell_blocks(_celled(queries.select("query_id", "embedding"), tree.centres, min(cells, len(tree.centres))), ["query_id"], "q_")
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                ids, first = row["q_query_id"].values, row["first"].as_py()
+                q = np.frombuffer(row["q_matrix"].as_buffer()).reshape(len(ids), -1)
+                centres = np.frombuffer(row["centres"].as_buffer()).reshape(-1, q.shape[1])
+                at = _nearest_cells(q, centres, len(centres) if leaves is None else min(leaves, len(centres)))
+                gap = np.take_along_axis((centres**2).sum(axis=1) - 2 * (q @ centres.T), at, 1)  # less the query's own length
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(q)), at.shape[1]))), pa.array(at.ravel() + first), pa.array(gap.ravel())], ["query_id", "leaf", "gap"])
+
+    near = asked.join(tree.leaves, "cell").mapInArrow(run, f"query_id {kind}, leaf long, gap double")
+    found = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "leaf")))
+    return (found if leaves is None else found.where(F.col("place") <= leaves)).select("query_id", "leaf", "place")
+
+
+def leaves_to_probe(tree: CellTree, queries: DataFrame, candidates: int = 20, covered: float = COVERED, asked: int = ASKED) -> tuple[int, int]:
+    """(leaves, cells) that a query has to look into so that `covered` of the neighbours are found, measured: `asked` of the queries (a bounded sample) are answered exactly, in one pass over the vectors, and the places of their neighbours' leaves tell. Runs Spark jobs."""
+    sample = written(queries.where("embedding is not null").orderBy(F.xxhash64("query_id")).limit(asked), "asked")
+    exact = nearest(tree.placed, sample, candidates).select("query_id", "chunk_id")
+    hits = written(exact.join(tree.placed.select("chunk_id", "leaf"), "chunk_id"), "hits")  # `asked` times `candidates` rows at most, but for repeated ids
+    total, cells = hits.count(), min(NEAR_CELLS, len(tree.centres))
+    while True:
+        ranked = hits.join(_leaves(tree, sample, None, cells), ["query_id", "leaf"]).select("place")
+        wanted = int(np.ceil(covered * total))
+        if ranked.count() >= wanted or cells >= len(tree.centres):
+            break
+        cells = min(2 * cells, len(tree.centres))
+    places = ranked.groupBy("place").count().orderBy("place").collect()  # as many as there are hits at most
+    seen = 0
+    for place, n in places:
+        seen += n
+        if seen >= wanted:
+            return place, cells
+    return 1, cells
+
+
+def nearest_probed(chunks: DataFrame, queries: DataFrame, candidates: int = 20, tree: CellTree | None = None, leaves: int | None = None, covered: float = COVERED) -> DataFrame:
+    """Like `nearest`, but a query looks only into the leaves near to it: approximate, and no product of all with all.
+
+    The tree is built, or given (kept with a store). How many leaves are looked into is
+    given, or measured on some of these queries (`leaves_to_probe`), so that recall
+    doesn't rest on what vectors are like: where they lie in clusters a few leaves do,
+    where they don't most of them are read. Queries meet the blocks of their leaves by
+    an equi-join; no key holds more than BLOCKS_A_KEY full blocks. With all leaves the
+    result is exact. Query ids must be distinct.
+    """
+    tree = tree or cell_tree(chunks)
+    if tree is None:
+        return nearest(chunks, queries, candidates)
+    queries = queries.where("embedding is not null").select("query_id", "embedding")
+    cells = len(tree.centres)
+    if leaves is None:
+        leaves, cells = leaves_to_probe(tree, queries, candidates, covered)
+    kinds = {f.name: f.dataType.simpleString() for f in (*tree.placed.schema, *queries.schema)}
+    probes = _leaves(tree, queries, leaves, cells).join(tree.keys, "leaf")
+    probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("query_id", _key(F.col("leaf"), F.col("salt")).alias("cell"))
+    asked = _cell_blocks(probes.join(queries, "query_id").repartition("cell"), ["query_id"], "q_")
+    return _ranked(_compared(tree.blocks.join(asked, "cell"), kinds, candidates), candidates)

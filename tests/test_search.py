@@ -113,20 +113,66 @@ def test_nearest_with_ties_and_large_norms(spark):
     assert vectors.nearest(stored.where("false"), asked).collect() == [] == vectors.nearest(stored, asked.where("false")).collect()
 
 
-def test_probing_all_cells_is_exact_and_some_nearly_so(spark):
+def test_probing_all_leaves_is_exact_and_some_nearly_so(spark):
     import numpy as np
 
     r = np.random.default_rng(2)
     rows = [(f"c{i}", i, 0, [float(x) for x in r.normal(0, 1, 16)]) for i in range(3000)]
+    rows += [(f"d{i}", 5000 + i, 0, [1.0] * 16) for i in range(500)]  # copies
     stored = spark.createDataFrame(rows, "chunk_id string, page_id long, chunk_index int, embedding array<double>").repartition(3)
     asked = stored.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), "embedding")
     found = lambda df: {(x.query_id, x.chunk_id) for x in df.collect()}
     exact = found(vectors.nearest(stored, asked, 10))
-    assert found(vectors.nearest_probed(stored, asked, 10, probes=vectors.CELLS)) == exact
-    assert len(found(vectors.nearest_probed(stored, asked, 10)) & exact) >= 0.9 * len(exact)
+    tree = vectors.cell_tree(stored)
+    assert tree.placed.count() == 3500 and tree.leaves.count() > 4
+    assert found(vectors.nearest_probed(stored, asked, 10, tree, leaves=10_000)) == exact
+    assert len(found(vectors.nearest_probed(stored, asked, 10, tree)) & exact) >= 0.9 * len(exact)
     assert vectors.nearest_probed(stored.where("false"), asked).collect() == []
 
 
+def test_a_hot_leaf_is_dealt_over_keys(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "BLOCKS_A_KEY", 2)
+    stored = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.col("id").alias("page_id"), F.lit(0).alias("chunk_index"), F.array(F.lit(1.0), F.when(F.col("id") < 1500, 0.0).otherwise(F.rand(1))).alias("embedding"))
+    tree = vectors.cell_tree(stored)
+    assert tree.keys.agg(F.max("salts")).first()[0] > 20 and tree.blocks.groupBy("cell").agg(F.sum(F.size("c_chunk_id")).alias("n")).agg(F.max("n")).first()[0] < 100
+    got = vectors.nearest_probed(stored, spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>"), 5, tree)
+    assert [r.page_id for r in got.orderBy("vec_rank").collect()] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    import os
+
+    from kilnwork import queries
+
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    stored = queries._vectors(spark, folder)
+    asked = stored.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), "embedding")
+    found = lambda df: {(x.query_id, x.chunk_id) for x in df.collect()}
+    exact = found(vectors.nearest(stored, asked))
+    assert len(found(queries.QUERIES["vector_search_probed"](spark, folder).select("query_id", "chunk_id")) & exact) >= 0.9 * len(exact)
+
+
+def test_leaves_spare_most_of_a_table_in_clusters(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 1, (60, 24))
+    rows = [(f"c{i}", i, 0, [float(x) for x in centres[i % 60] + r.normal(0, 0.15, 24)]) for i in range(6000)]
+    stored = spark.createDataFrame(rows, "chunk_id string, page_id long, chunk_index int, embedding array<double>").repartition(3)
+    asked = stored.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), "embedding")
+    tree = vectors.cell_tree(stored)
+    leaves, cells = vectors.leaves_to_probe(tree, asked, 20)
+    sizes = tree.placed.groupBy("leaf").count()
+    read = vectors._leaves(tree, asked, leaves, cells).join(sizes, "leaf").agg(F.sum("count")).first()[0] / (120 * 6000)
+    found = lambda df: {(x.query_id, x.chunk_id) for x in df.collect()}
+    exact = found(vectors.nearest(stored, asked))
+    assert read < 0.1 and len(found(vectors.nearest_probed(stored, asked, 20, tree)) & exact) >= 0.9 * len(exact)
+
+
 def test_sync(spark):
     pages = spark.createDataFrame([(1, ["pdf"]), (2, None), (3, [])], "page_id long, tags array<string>")
     stored = spark.createDataFrame([(f"page_{i}_chunk_0", i) for i in (1, 2, 9)], "chunk_id string, page_id long")
