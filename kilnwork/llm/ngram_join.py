@@ -328,10 +328,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each class of near duplicates the document with the least key (of equal keys the one whose text has the least tag), with all its columns; documents without words all stay."""
-    classes = _classed(docs, threshold, size, recall, key, text)
-    first = classes.where("component is not null").groupBy("component").agg(F.min(F.struct("doc", "tag")).alias("first")).select("first.doc", "first.tag")
-    kept = first.union(classes.where("component is null").select("doc", "tag")).distinct()
-    rows = identified(docs, key, text, F.struct(*[docs[c] for c in docs.columns]).alias("row")).drop("text")
-    joined_ = rows.join(kept, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
-    return joined_.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """Of each class of near duplicates one document with all its columns: the one with the least key, of equal keys the one whose text has the least tag, of rows that are equal in both the one with the least hash of its other columns. Documents without words all stay, each distinct row once."""
+    some = F.coalesce(F.length(F.btrim(docs[text], F.lit(" \t\n\v\f\r"))) > 0, F.lit(False))
+    worded, wordless = docs.where(some), docs.where(~some).distinct()
+    classes = _classed(worded, threshold, size, recall, key, text)
+    first = classes.groupBy("component").agg(F.min(F.struct("doc", "tag")).alias("first")).select("first.doc", "first.tag")
+    others = F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns if c != text], F.lit(0).alias("end")))).alias("others")
+    rows = identified(worded, key, text, F.struct(*[docs[c] for c in docs.columns]).alias("row"), others).drop("text")
+    kept = rows.join(first, ["doc", "tag"]).groupBy("doc", "tag").agg(F.min_by("row", "others").alias("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(wordless)

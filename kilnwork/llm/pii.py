@@ -30,20 +30,28 @@ ROUNDS = 10
 LONG = 64
 _DIGITS, _LETTERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
+#: Days (from the first) that are written month first and can't be read otherwise: those over the 12th.
+_LATE_DAYS = [d for d in range(_DAYS) if datetime.date.fromordinal(_FIRST_DAY + d).day > 12]
 _GAP = r"[ \t.|#*$%&!-]{0,6}"
 
+
+def _compiled(pattern: str) -> re.Pattern:
+    r"""ASCII alone counts as letters and digits (\w, \d), so a find may stand right beside letters of other scripts, as in those that don't put spaces between words."""
+    return re.compile(pattern, re.ASCII)
+
+
 #: What is looked for, in order of precedence where finds overlap.
 PATTERNS = {
-    "secret": re.compile(r"""(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9+/_\-]{6,}={0,2})"""),
-    "access_key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<value>[A-Z0-9]{16})(?![A-Za-z0-9])"),
-    "email": re.compile(r"(?<![\w.+-])(?P<value>[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)\.[A-Za-z]{2,}(?![A-Za-z0-9])"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])(?P<value>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
-    "phone": re.compile(rf"(?<![\w.])(?:\+\d{{1,2}}{_GAP})?(?P<value>\(\d{{3}}\){_GAP}\d{{3}}[-. ]\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\d)"),
-    "phone_abroad": re.compile(r"(?<![\w.])\+(?P<value>\d{1,3}(?:[ -]?\d{2,4}){2,5})(?!\d)"),
-    "ip": re.compile(r"(?<![\w.])(?P<value>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"),
-    "ssn": re.compile(r"(?<![\w-])(?P<value>\d{3}-\d{2}-\d{4})(?![\w-])"),
-    "date": re.compile(r"(?<![\w./-])(?P<value>\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\w/-]|\.\d)"),
-    "card": re.compile(r"(?<![A-Za-z0-9])(?P<value>\d(?:[ -]?\d){12,})(?![A-Za-z0-9])"),
+    "secret": _compiled(r"""(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9+/_\-]{6,}={0,2})"""),
+    "access_key": _compiled(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<value>[A-Z0-9]{16})(?![A-Za-z0-9])"),
+    "email": _compiled(r"(?<![\w.+-])(?P<value>[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)\.[A-Za-z]{2,}(?![A-Za-z0-9])"),
+    "iban": _compiled(r"(?<![A-Za-z0-9])(?P<value>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
+    "phone": _compiled(rf"(?<![\w.])(?:\+\d{{1,2}}{_GAP})?(?P<value>\(\d{{3}}\){_GAP}\d{{3}}[-. ]\d{{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\d)"),
+    "phone_abroad": _compiled(r"(?<![\w.])\+(?P<value>\d{1,3}(?:[ -]?\d{2,4}){2,5})(?!\d)"),
+    "ip": _compiled(r"(?<![\w.])(?P<value>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"),
+    "ssn": _compiled(r"(?<![\w-])(?P<value>\d{3}-\d{2}-\d{4})(?![\w-])"),
+    "date": _compiled(r"(?<![\w./-])(?P<value>\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\w/-]|\.\d)"),
+    "card": _compiled(r"(?<![A-Za-z0-9])(?P<value>\d(?:[ -]?\d){12,})(?![A-Za-z0-9])"),
 }
 #: Lengths of IBANs by country; of other countries any from 15 to 34 may be valid.
 IBAN_LENGTHS = {
@@ -203,11 +211,13 @@ class Pseudonyms:
         return value[0] + self._digits(value[1:], b"phone abroad") if 8 <= digits <= 15 else None
 
     def _ip(self, value: str) -> str | None:
-        parts = [int(x) for x in value.split(".")]
+        written_ = value.split(".")
+        parts = [int(x) for x in written_]
         if max(parts) > 255:
             return None
         new = self.permuted(int.from_bytes(bytes(parts), "big"), 1 << 32, b"ip")
-        return ".".join(map(str, new.to_bytes(4, "big")))
+        padded = any(len(x) > 1 and x[0] == "0" for x in written_)
+        return ".".join(f"{x:03d}" if padded else str(x) for x in new.to_bytes(4, "big"))
 
     def _ssn(self, value: str) -> str | None:
         area, group, serial = map(int, value.split("-"))
@@ -235,7 +245,11 @@ class Pseudonyms:
             return None
         if not 0 <= day < _DAYS:
             return None
-        new = datetime.date.fromordinal(_FIRST_DAY + self.permuted(day, _DAYS, b"date"))
+        if order == (2, 0, 1):  # stays among the dates that only this layout can hold, so no day-first date comes out alike
+            new = _LATE_DAYS[self.permuted(bisect_left(_LATE_DAYS, day), len(_LATE_DAYS), b"date month first")]
+        else:
+            new = self.permuted(day, _DAYS, b"date")
+        new = datetime.date.fromordinal(_FIRST_DAY + new)
         padded = any(len(p) == 2 and p[0] == "0" for p in parts) or all(len(p) > 1 for p in parts)
         out = [""] * 3
         for i, x in zip(order, (new.year, new.month, new.day)):

@@ -148,3 +148,13 @@ def test_components_of_paths_stars_and_random_graphs(spark):
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r.node, r.component) for r in rows) == sorted((x, top(x)) for x in linked)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_keeps_distinct_rows(spark):
+    text = "one two three four five six"
+    rows = [(None, None, "a", 1), (None, "", "b", 2), (1, "", "x", 3), (1, "", "y", 4), (1, "", "y", 4), (2, " \n", "z", 5), (7, text, "q", 9), (7, text, "p", 9), (7, text, "p", 9), (8, text, "r", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string, node int")
+    kept = [sorted(map(str, ngram_join.one_of_each(df.repartition(n)).collect())) for n in (1, 3)]
+    assert kept[0] == kept[1] and len(kept[0]) == 6
+    assert {r.tag for r in ngram_join.one_of_each(df).collect()} >= {"a", "b", "x", "y", "z"}
+    assert ngram_join.one_of_each(df.where("false")).collect() == []

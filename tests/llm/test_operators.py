@@ -252,6 +252,31 @@ def test_pseudonyms_equal_a_plain_network():
     assert p.of("ip", "10.0.200.7") == ".".join(map(str, plain_feistel(number, 1 << 32, "ip", key).to_bytes(4, "big")))
 
 
+NEIGHBOURS = ["메일{}에서", "邮箱{}的", "адрес{}есть", "é{}ü", "عنوان{}في", "メール{}です"]
+
+
+@pytest.mark.parametrize("around", NEIGHBOURS)
+@pytest.mark.parametrize("kind", sorted(FOUND))
+def test_pseudonyms_beside_letters_of_other_scripts(around, kind):
+    p = pii.Pseudonyms(b"k")
+    got, found = p.replaced(around.format(FOUND[kind]), pii.PATTERNS)
+    alone, _ = p.replaced(FOUND[kind], pii.PATTERNS)
+    assert got == around.format(alone) and alone != FOUND[kind] and set(found) == {kind}
+
+
+def test_dates_never_share_a_pseudonym():
+    p, first = pii.Pseudonyms(b"k"), datetime.date(1900, 1, 1).toordinal()
+    for layouts in (["%d/%m/%Y", "%m/%d/%Y"], ["%Y-%m-%d"]):
+        values = {datetime.date.fromordinal(first + d).strftime(x) for d in range(73_049) for x in layouts}
+        new = {v: p._date(v) for v in values}
+        assert None not in new.values() and len(set(new.values())) == len(new)
+
+
+def test_padded_addresses_stay_padded():
+    p = pii.Pseudonyms(b"k")
+    assert [int(x) for x in p.of("ip", "010.000.200.007").split(".")] == [int(x) for x in p.of("ip", "10.0.200.7").split(".")] and len(p.of("ip", "010.000.200.007")) == 15
+
+
 def test_many_finds_in_one_text():
     import time
 
