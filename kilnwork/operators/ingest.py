@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CREATED_TAGS, merged_tags
-from .vectors import nearest
+from .vectors import nearest_within
 
 THRESHOLD, NEIGHBOURS = 0.2, 3
 #: Ranges of keys that are numbered apart.
@@ -26,7 +26,7 @@ def exact_paths(docs: DataFrame, pages: DataFrame, locale: str = "ko") -> DataFr
 
 def similar_titles(docs: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, path, title, distance, place): of the nearest chunks of each document's `embedding` those within the threshold, the first of each path."""
-    near = nearest(chunks, docs.select(F.col("doc_id").alias("query_id"), "embedding"), neighbours).where(F.round("distance", 9) <= threshold)
+    near = nearest_within(chunks, docs.select(F.col("doc_id").alias("query_id"), "embedding"), threshold, neighbours)
     named = near.join(chunks.select("chunk_id", "title", "path"), "chunk_id").where("path is not null")
     first = Window.partitionBy("query_id", "path").orderBy("vec_rank")
     kept = named.withColumn("nth", F.row_number().over(first)).where("nth = 1")
@@ -42,10 +42,12 @@ def plan(docs: DataFrame, pages: DataFrame, chunks: DataFrame, policy: str = "ov
     with "create" a page is made at the document's own path. An update whose path
     no page has is an "error".
     """
+    if policy == "create":  # nothing that exists matters
+        return docs.select("doc_id", F.lit("create").alias("action"), "path", F.lit(None).cast("long").alias("page_id"), "title")
     exact = exact_paths(docs, pages).select("doc_id", "title", "path", "is_existing")
     best = similar_titles(docs, chunks, threshold).where("place = 1").select("doc_id", F.col("path").alias("similar_path"))
     joined = exact.join(best, "doc_id", "left").withColumn("candidate", F.when(F.col("is_existing"), F.col("path")).otherwise(F.col("similar_path")))
-    update = F.col("candidate").isNotNull() & F.lit(policy == "overwrite")
+    update = F.col("candidate").isNotNull()
     chosen = joined.select("doc_id", "title", F.when(update, F.col("candidate")).otherwise(F.col("path")).alias("path"), update.alias("update"))
     found = exact_paths(chosen, pages)
     action = F.when(~F.col("update"), "create").when(F.col("is_existing"), "update").otherwise("error")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,94 @@ def nearest(chunks: DataFrame, queries: DataFrame, candidates: int = 20) -> Data
     return _ranked(_compared(pairs, kinds, candidates), candidates)
 
 
+#: Entries other than 0 that a vector has on average at most for the join by shared dimensions to be worth it.
+SPARSE = 24
+_SLACK = 1e-9
+
+
+def _shared_keys(order: list[int], dot: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(vector, embedding) to (vector, embedding, key): two unit vectors whose product is `dot` or more have a key in common.
+
+    Dimensions are looked at in `order`. Of a pair that shares three dimensions or more,
+    the first three lie in either vector's prefix: if at most two of a vector's entries
+    before some place are shared, the product can't exceed the root of the two largest
+    squares there and all squares behind it, and the prefix ends where that is under
+    `dot`. A pair that shares fewer needs two entries in either vector that make up
+    `dot`; such vectors also have the single dimensions of the prefix behind which less
+    than `dot` is left. A vector of zeros is near to zeros alone.
+    """
+    limit = dot * dot - _SLACK
+    many = len(order)
+
+    def keys(x: np.ndarray) -> Iterator[int]:
+        some = np.flatnonzero(x)
+        if not len(some):
+            yield -1
+            return
+        square = x[some] ** 2
+        left = 1 - np.cumsum(square)
+        top = np.sort(square)[::-1]
+        end, largest, second = len(some), 0.0, 0.0
+        for k, v in enumerate(square):
+            largest, second = (v, largest) if v > largest else (largest, max(second, v))
+            if largest + second + left[k] < limit:
+                end = k + 1
+                break
+        for a, b, c in combinations(some[:end].tolist(), 3):
+            yield ((a * many + b) * many + c) * 2
+        if top[:2].sum() >= limit:
+            for k, d in enumerate(some.tolist()):
+                yield d * 2 + 1
+                if left[k] < limit:
+                    break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                own = [list(keys(x)) for x in _matrix(batch.column(1))[:, order]]
+                rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), [len(k) for k in own])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([k for x in own for k in x], pa.int64())], ["vector", "embedding", "key"])
+
+    return run
+
+
+def nearest_within(chunks: DataFrame, queries: DataFrame, threshold: float, candidates: int) -> DataFrame:
+    """Like `nearest`, but only what lies within the threshold (by the rounded distance); exact, and for sparse vectors of unit length (hash embeddings) or of zeros without a product of all with all.
+
+    Equal vectors are looked at once, whoever has them; of a vector's chunks the first
+    `candidates` can be among the nearest. Vectors then meet by dimensions that two
+    within the threshold must share (see `_shared_keys`), rare ones first, and the
+    distance decides. Other vectors (dense ones of a model, say, or those not of unit
+    length) are compared by `nearest`. Runs Spark jobs when it is called, and writes the
+    distinct vectors to the shared folder.
+    """
+    whole = lambda df: df.where("embedding is not null").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    stored, asked = whole(chunks.select(*_NAMES[1:], "embedding")), whole(queries.select("query_id", "embedding"))
+    first = Window.partitionBy("embedding").orderBy("page_id", "chunk_index", "chunk_id")
+    members = stored.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= candidates).drop("nth")
+    distinct = lambda df, name: written(df.select("embedding").distinct().withColumn("vector", F.monotonically_increasing_id()), name)
+    theirs, ours = distinct(members, "vectors"), distinct(asked, "asked")
+    both = theirs.unionByName(ours)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    entries = F.size(F.filter("embedding", lambda x: x != 0))
+    odd = F.count_if(~((F.abs(norm - 1) < _SLACK) | (norm == 0)) | norm.isNull())
+    about = both.agg(odd.alias("odd"), F.avg(entries).alias("entries"), F.max(F.size("embedding")).alias("size"), F.min(F.size("embedding")).alias("least")).first()
+    dot = 1 - (threshold + 1e-9) / 2
+    if about.odd or about.size != about.least or about.entries is None or about.entries > SPARSE or dot <= 0.5:
+        return nearest(stored, asked, candidates).where(F.round("distance", RANKED) <= threshold)
+    rare = theirs.select(F.posexplode("embedding").alias("at", "x")).where("x <> 0").groupBy("at").count().collect()  # a row a dimension
+    often = dict(rare)
+    run = _shared_keys(sorted(range(about.size), key=lambda d: (often.get(d, 0), d)), dot)
+    keyed = lambda df: df.select("vector", "embedding").mapInArrow(run, "vector long, embedding array<double>, key long")
+    pairs = keyed(ours).select(F.col("vector").alias("asked"), F.col("embedding").alias("q"), "key").join(keyed(theirs), "key")
+    near = pairs.select("asked", "vector", squared_distance(F.col("q"), F.col("embedding")).alias("distance")).where(F.round("distance", RANKED) <= threshold).dropDuplicates(["asked", "vector"])
+    named = near.join(members.join(theirs, "embedding").select("vector", *_NAMES[1:]), "vector")
+    best = Window.partitionBy("asked").orderBy(F.round("distance", RANKED), "page_id", "chunk_index")
+    ranked = named.withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= candidates)
+    found = asked.join(ours, "embedding").select("query_id", F.col("vector").alias("asked")).join(ranked, "asked")
+    return found.select(*_NAMES, "distance", "vec_rank")
+
+
 def _means(x: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centres by k-means, begun at vectors all over the list."""
     centres = x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)]

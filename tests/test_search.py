@@ -173,6 +173,40 @@ def test_leaves_spare_most_of_a_table_in_clusters(spark):
     assert read < 0.1 and len(found(vectors.nearest_probed(stored, asked, 20, tree)) & exact) >= 0.9 * len(exact)
 
 
+def _hashed(spark, titles, key):
+    return vectors.embedded(spark.createDataFrame([(i, t) for i, t in enumerate(titles)], f"{key} long, title string"), key, "title")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_within_equals_nearest(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    words = [f"word{i}" for i in range(60)]
+    titles = [" ".join(r.choices(words, k=r.choice([0, 1, 2, 3, 6, 9, 14]))) for _ in range(300)]
+    titles += [t + " " + r.choice(words) for t in titles[:150]] + ["same title here"] * 40
+    heads = _hashed(spark, titles, "page_id").select(F.concat(F.lit("c"), "page_id").alias("chunk_id"), "page_id", F.lit(0).alias("chunk_index"), "embedding")
+    asked = _hashed(spark, r.sample(titles, 200) + ["same title here", ""], "query_id")
+    rows = lambda df: sorted((x.query_id, x.chunk_id, round(x.distance, 6), x.vec_rank) for x in df.collect())
+    for threshold in (0.2, 0.05, 0.6):
+        got = vectors.nearest_within(heads, asked, threshold, 3)
+        assert rows(got) == rows(vectors.nearest(heads, asked, 3).where(F.round("distance", 9) <= threshold)) and rows(got)
+        assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_within_of_other_vectors(spark):
+    rows = [(f"c{i}", i, 0, [float(i), 1.0]) for i in range(30)]
+    stored = spark.createDataFrame(rows, "chunk_id string, page_id long, chunk_index int, embedding array<double>")
+    asked = spark.createDataFrame([(0, [3.0, 1.2]), (1, None)], "query_id long, embedding array<double>")
+    assert [(r.page_id, r.vec_rank) for r in vectors.nearest_within(stored, asked, 1.5, 3).orderBy("vec_rank").collect()] == [(3, 1), (2, 2), (4, 3)]
+    assert vectors.nearest_within(stored.where("false"), asked, 1.5, 3).collect() == []
+
+
+def test_a_plan_that_only_creates_searches_for_nothing(spark):
+    docs = spark.createDataFrame([(1, "d/T", "T", [1.0])], "doc_id long, path string, title string, embedding array<double>")
+    assert [tuple(r) for r in ingest.plan(docs, None, None, "create").collect()] == [(1, "create", "d/T", None, "T")]
+
+
 def test_sync(spark):
     pages = spark.createDataFrame([(1, ["pdf"]), (2, None), (3, [])], "page_id long, tags array<string>")
     stored = spark.createDataFrame([(f"page_{i}_chunk_0", i) for i in (1, 2, 9)], "chunk_id string, page_id long")
