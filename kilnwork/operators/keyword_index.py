@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,12 @@ from ..sources.store import DamagedStore, load_tables, save_tables
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Decimals on which scores are ranked, as sums come in any order.
 RANKED = 9
-#: Asked tokens (rows of query, token, count and idf) that are broadcast; more are joined without.
+#: Asked tokens (rows of query, token, count and idf) that are broadcast; more are joined without, or searched in groups of queries.
 BROADCAST_ASKED = 200_000
+#: Chunks of a block that is searched as one.
+BLOCK = 4096
+#: What rounding may add to a sum of bounds.
+SLACK = 1e-6
 
 
 @dataclass
@@ -69,11 +77,10 @@ def build(chunks: DataFrame) -> KeywordIndex:
 
 
 def stored(index: KeywordIndex) -> KeywordIndex:
-    """The index with its postings and terms written to the shared folder (Spark jobs), so that a search doesn't tokenise chunks again. Tokens, which only patches read, stay as they are."""
-    posted = written(index.postings, "postings")
-    sums = index.tokens.agg(F.count("*").alias("n_chunks")).crossJoin(posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")))  # one row each
-    corpus = written(_corpus(sums), "corpus")
-    return KeywordIndex(index.tokens, posted, written(term_stats(_frequencies(posted), corpus), "terms"), corpus)
+    """The index with its tokens and terms written to the shared folder (Spark jobs), so that a search doesn't tokenise chunks again. Postings are counted within a row of tokens, so these aren't written a second time."""
+    tokens = written(index.tokens, "tokens")
+    posted, corpus = postings(tokens), written(corpus_stats(tokens), "corpus")
+    return KeywordIndex(tokens, posted, written(term_stats(_frequencies(posted), corpus), "terms"), corpus)
 
 
 def save(index: KeywordIndex, path: str) -> str:
@@ -134,8 +141,172 @@ def scores(index: KeywordIndex, queries: DataFrame, k1: float = K1, b: float = B
     return hits.groupBy("query_id", "chunk_id", "page_id", "chunk_index").agg(F.sum(part).alias("score"))
 
 
-def search(index: KeywordIndex, queries: DataFrame, candidates: int = 20) -> DataFrame:
-    """The best `candidates` by score (ties by place in the index) with a score over 0, and their bm25_rank."""
+def _blocks(tokens: DataFrame) -> DataFrame:
+    """Chunks in blocks: their ids, dl, the block's own vocabulary, and entries (row, place of the token in it, tf) by row."""
+
+    def block(part: pa.Table) -> pa.RecordBatch:
+        lists = part.column("tokens").combine_chunks().fill_null([])
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        many = max(1, len(coded.dictionary))
+        pair, tf = np.unique(np.repeat(np.arange(len(part)), sizes) * many + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        numbers = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (sizes, pair // many, pair % many, tf)]
+        return pa.RecordBatch.from_arrays([*(one(part.column(c).combine_chunks()) for c in _CHUNK), one(coded.dictionary), *numbers], [*_CHUNK, "vocabulary", "dl", "row", "term", "tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= BLOCK:
+                yield block(pa.Table.from_batches(held))
+                held.clear()
+        if sum(map(len, held)):
+            yield block(pa.Table.from_batches(held))
+
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    schema = ", ".join(f"{c} array<{kinds[c]}>" for c in _CHUNK) + ", vocabulary array<string>, dl binary, row binary, term binary, tf binary"
+    return tokens.select(*_CHUNK, "tokens").mapInArrow(run, schema)
+
+
+_CHUNK = ["chunk_id", "page_id", "chunk_index"]
+
+
+class Asked:
+    """Queries as lists of tokens (places in a common vocabulary) and weights (count times idf), and the best scores that each has got so far."""
+
+    def __init__(self, rows: pa.Table, candidates: int):
+        coded = rows.column("token").combine_chunks().dictionary_encode()
+        asked = rows.column("query_id").combine_chunks().dictionary_encode()
+        self.vocabulary, self.ids, self.candidates = coded.dictionary, asked.dictionary, candidates
+        of, term = asked.indices.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+        weight = rows.column("qtf").to_numpy() * rows.column("idf").to_numpy()
+        order = np.lexsort((term, of))
+        cuts = np.flatnonzero(np.diff(of[order])) + 1
+        self.queries = list(zip(np.split(term[order], cuts), np.split(weight[order], cuts))) if len(of) else []
+        self.best = [np.zeros(0) for _ in self.queries]
+
+    def threshold(self, query: int) -> float:
+        """The least score that can still be among the best."""
+        best = self.best[query]
+        return best[0] if len(best) == self.candidates else -np.inf
+
+    def got(self, query: int, scores: np.ndarray) -> None:
+        self.best[query] = np.sort(np.concatenate([self.best[query], scores]))[-self.candidates :]
+
+
+class Postings:
+    """A block's entries that some query asks for: what each adds to a score before its weight, by row and by token, and the most that a token adds here."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, part: np.ndarray, rows: int, terms: int):
+        self.row, self.term, self.part, self.terms = row, term, part, terms
+        self.first = np.searchsorted(row, np.arange(rows + 1))
+        by_term = np.argsort(term, kind="stable")
+        self.rows = row[by_term]
+        self.bounds = np.searchsorted(term[by_term], np.arange(terms + 1))
+        self.most = np.zeros(terms)
+        np.maximum.at(self.most, term, part)
+        self.weights = np.zeros(terms)
+        self.scored = 0
+
+    def having(self, terms: np.ndarray) -> np.ndarray:
+        """Rows with any of these tokens."""
+        return np.unique(np.concatenate([np.zeros(0, self.rows.dtype), *(self.rows[self.bounds[t] : self.bounds[t + 1]] for t in terms)]))
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        self.scored += len(rows)
+        if not len(rows):
+            return np.zeros(0)
+        sizes = self.first[rows + 1] - self.first[rows]
+        ends = np.cumsum(sizes)
+        entry = np.arange(ends[-1]) + np.repeat(self.first[rows] - (ends - sizes), sizes)
+        return np.add.reduceat(self.weights[self.term[entry]] * self.part[entry], ends - sizes)
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, asked: Asked, query: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores): all rows of this block that may be among the query's best.
+
+        Rows with the rarest token that is enough of them come first and raise the
+        threshold. Tokens whose greatest contributions together stay under it can't
+        lift a row that has none of the others, so only rows with one of the others
+        are scored.
+        """
+        there = self.bounds[terms + 1] > self.bounds[terms]
+        terms, weights = terms[there], weights[there]
+        self.weights[terms] = weights
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        if (weights < 0).any():  # nothing bounds a sum then
+            rows = self.having(terms)
+            scores = self.score(rows)
+        else:
+            most = weights * self.most[terms]
+            order = np.argsort(-most, kind="stable")
+            sizes = np.cumsum((self.bounds[terms + 1] - self.bounds[terms])[order])
+            early = self.having(terms[order[: 1 + np.searchsorted(sizes, asked.candidates)]])
+            found = self.score(early)
+            asked.got(query, found)
+            rest = np.cumsum(most[order][::-1])[::-1]  # of a token and all that add less
+            needed = order[rest + SLACK >= asked.threshold(query)]
+            late = np.setdiff1d(self.having(terms[needed]), early, assume_unique=True)
+            scores = self.score(late)
+            asked.got(query, scores)
+            rows, scores = np.concatenate([early, late]), np.concatenate([found, scores])
+        self.weights[terms] = 0
+        kept = (scores + SLACK >= asked.threshold(query)) & (np.round(scores, RANKED) > 0)
+        return rows[kept], scores[kept]
+
+
+def _block(batch: pa.RecordBatch, i: int, asked: Asked, avgdl: float, k1: float, b: float) -> Postings:
+    numbers = lambda c: np.frombuffer(batch.column(c)[i].as_buffer(), np.int32).astype(np.int64)
+    dl, row, term, tf = map(numbers, ("dl", "row", "term", "tf"))
+    place = pc.index_in(batch.column("vocabulary")[i].values, asked.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+    known = place[term] >= 0 if len(term) else np.zeros(0, bool)
+    row, term, tf = row[known], place[term[known]], tf[known]
+    return Postings(row, term, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl)), len(dl), len(asked.vocabulary))
+
+
+def _searched(blocks: DataFrame, rows: pa.Table, avgdl: float, candidates: int, k1: float, b: float) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    query = rows.schema.field("query_id").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = Asked(rows, candidates)
+        for batch in batches:
+            for i in range(len(batch)):
+                entries = _block(batch, i, asked, avgdl, k1, b)
+                found = [(q, *entries.best(terms, weights, asked, q)) for q, (terms, weights) in enumerate(asked.queries)]
+                found = [f for f in found if len(f[1])]
+                if found:
+                    take = pa.array(np.concatenate([r for _, r, _ in found]))
+                    ids = asked.ids.take(pa.array(np.repeat([q for q, *_ in found], [len(r) for _, r, _ in found]))).cast(query)
+                    yield pa.RecordBatch.from_arrays([ids, *(batch.column(c)[i].values.take(take) for c in _CHUNK), pa.array(np.concatenate([s for *_, s in found]))], ["query_id", *_CHUNK, "score"])
+
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    schema = f"query_id {from_arrow_type(query).simpleString()}, " + ", ".join(f"{c} {kinds[c].removeprefix('array<')[:-1]}" for c in _CHUNK) + ", score double"
+    return blocks.mapInArrow(run, schema)
+
+
+def search(index: KeywordIndex, queries: DataFrame, candidates: int = 20, k1: float = K1, b: float = B) -> DataFrame:
+    """The best `candidates` by score (ties by place in the index) with a score over 0, and their bm25_rank.
+
+    Chunks are searched in blocks; a task keeps each query's best scores so far, and
+    leaves out the chunks that can't reach the last of them (see `Postings.best`).
+    What a block yields are whole scores of chunks that may be among the best, and a
+    window picks these. Queries are taken in groups of some BROADCAST_ASKED tokens, each in one
+    pass over the blocks, so what tasks hold of them is bounded. Runs Spark jobs when it is called.
+    """
+    corpus = index.corpus.first()
+    asked = query_tokens(queries).join(index.terms.select("token", "idf"), "token").select("query_id", "token", "qtf", "idf")
+    groups = max(1, -(-asked.count() // BROADCAST_ASKED))
+    blocks = _blocks(index.tokens)
+    parts = []
+    for g in range(groups):
+        rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else asked).toArrow()
+        parts.append(_searched(blocks, rows, corpus.avgdl or 1.0, candidates, k1, b))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
     best = Window.partitionBy("query_id").orderBy(F.col("ranked").desc(), "page_id", "chunk_index")
-    ranked = scores(index, queries).withColumn("ranked", F.round("score", RANKED)).withColumn("bm25_rank", F.row_number().over(best))
-    return ranked.where(F.col("bm25_rank") <= candidates).where("ranked > 0").select("query_id", "chunk_id", "page_id", "chunk_index", "score", "bm25_rank")
+    ranked = found.withColumn("ranked", F.round("score", RANKED)).withColumn("bm25_rank", F.row_number().over(best))
+    return ranked.where(F.col("bm25_rank") <= candidates).where("ranked > 0").select("query_id", *_CHUNK, "score", "bm25_rank")

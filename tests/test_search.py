@@ -28,6 +28,49 @@ def test_bm25(spark, chunks):
     }
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_search_equals_the_ranked_scores(spark, monkeypatch, seed):
+    import random
+
+    monkeypatch.setattr(keyword_index, "BLOCK", 64)
+    r = random.Random(seed)
+    words = [f"word{i}" for i in range(80)]
+    often = [1 / (i + 1) for i in range(80)]
+    rows = [(f"c{i}", i // 3, i % 3, "t", "p", " ".join(r.choices(words, often, k=r.randint(0, 40)))) for i in range(900)]
+    rows += [(f"d{i}", 500 + i, 0, "t", "p", rows[7][5]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, CHUNK).repartition(4)
+    queries = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(1, 25)))) for i in range(30)] + [(90, rows[7][5]), (91, "nothing"), (92, "")], "query_id long, query string")
+    index = keyword_index.build(chunks)
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "page_id", "chunk_index")
+    expected = keyword_index.scores(index, queries).withColumn("bm25_rank", F.row_number().over(order)).where("bm25_rank <= 20 and round(score, 9) > 0")
+    told = lambda df: sorted((x.query_id, x.chunk_id, round(x.score, 6), x.bm25_rank) for x in df.collect())
+    assert told(keyword_index.search(index, queries)) == told(expected)
+    monkeypatch.setattr(keyword_index, "BROADCAST_ASKED", 50)
+    assert told(keyword_index.search(index, queries)) == told(expected)
+
+
+def test_a_search_leaves_most_chunks_unscored():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    often = 1 / np.arange(1, 401)
+    pairs = np.unique(np.repeat(np.arange(8000), 30) * 400 + r.choice(400, 240_000, p=often / often.sum()))
+    row, term = np.divmod(pairs, 400)
+    rows = pa.table({"query_id": pa.array([0] * 12), "token": pa.array([str(t) for t in (0, 1, 2, 3, 5, 8, 13, 40, 90, 180, 250, 399)]), "qtf": pa.array([1] * 12), "idf": pa.array(np.log(8000 / np.bincount(term, minlength=400)[[0, 1, 2, 3, 5, 8, 13, 40, 90, 180, 250, 399]]))})
+    asked = keyword_index.Asked(rows, 20)
+    place = np.full(400, -1)
+    place[[int(t) for t in asked.vocabulary.to_pylist()]] = np.arange(12)
+    known = place[term] >= 0
+    block = keyword_index.Postings(row[known], place[term[known]], np.ones(known.sum()), 8000, 12)
+    terms, weights = asked.queries[0]
+    found, scores = block.best(terms, weights, asked, 0)
+    whole = np.bincount(row[known], weights[np.argsort(terms)][place[term[known]]], 8000)
+    assert np.allclose(np.sort(scores)[-20:], np.sort(whole)[-20:]) and block.scored < 0.5 * (whole > 0).sum()
+
+
 def test_empty_index(spark, chunks):
     queries = spark.createDataFrame([(0, "수강 기간")], "query_id long, query string")
     assert keyword_index.search(keyword_index.build(chunks.where("false")), queries).collect() == []
