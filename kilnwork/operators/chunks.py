@@ -31,7 +31,6 @@ def of_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     return chunks.withColumn("prefix", prefix).join(wanted, "prefix", "left_semi").drop("prefix")
 
 
-def replaced(chunks: DataFrame, pages: DataFrame, clean: bool = False) -> DataFrame:
-    """The chunk table with these pages' chunks instead of what it had of them. Raw text unless `clean`."""
-    new = chunk_pages(cleaned(pages) if clean else pages)
+def replaced(chunks: DataFrame, pages: DataFrame, new: DataFrame) -> DataFrame:
+    """The chunk table with these new chunks of pages instead of what it had of them."""
     return chunks.join(pages.select("page_id").distinct(), "page_id", "left_anti").select(*new.columns).unionByName(new)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import runs, tokenize
 from ..sources.shared import written
-from ..sources.store import DamagedStore, load_tables, save_tables
+from ..sources.store import DamagedStore, Table, Version, commit, current, current_name, new_name, write_table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Decimals on which scores are ranked, as sums come in any order.
@@ -83,8 +84,81 @@ def stored(index: KeywordIndex) -> KeywordIndex:
     return KeywordIndex(tokens, posted, written(term_stats(_frequencies(posted), corpus), "terms"), corpus)
 
 
-def save(index: KeywordIndex, path: str) -> str:
-    return save_tables(vars(index), path)
+#: Segments of a stored index from which a patch merges them.
+SEGMENTS = 8
+_PARTS = ("tokens", "gone", "df", "sums")
+
+
+def _segments(version: Version) -> list[int]:
+    return sorted(int(n.removeprefix("sums-")) for n in version.tables if n.startswith("sums-"))
+
+
+def _sums(tokens: DataFrame) -> DataFrame:
+    return corpus_stats(tokens).select("n_chunks", "n_tokens")
+
+
+def _no_ids(df: DataFrame) -> DataFrame:
+    return df.select("chunk_id").where("false")
+
+
+def _write_segment(path: str, name: str, number: int, tokens: DataFrame, gone: DataFrame, df: DataFrame, sums: DataFrame) -> dict[str, Table]:
+    return {f"{part}-{number}": write_table(rows, path, name, f"{part}-{number}") for part, rows in zip(_PARTS, (tokens, gone, df, sums))}
+
+
+def whole_segment(index: KeywordIndex, path: str, name: str, number: int = 0) -> dict[str, Table]:
+    """The tables of a version that holds an index as one segment."""
+    sums = index.corpus.select("n_chunks", "n_tokens")
+    return _write_segment(path, name, number, index.tokens, _no_ids(index.tokens), index.terms.select("token", "df"), sums)
+
+
+def save(index: KeywordIndex, path: str, keep: int | None = None) -> str:
+    """A new version that holds this index alone, as one segment."""
+    spark, name = index.tokens.sparkSession, new_name()
+    before = current_name(spark, path)
+    commit(spark, path, Version(name, before, whole_segment(index, path, name)), keep)
+    return name
+
+
+def patch_segment(spark: SparkSession, path: str, version: Version | None, name: str, added: DataFrame, removed: DataFrame, most: int = SEGMENTS) -> dict[str, Table]:
+    """The index tables of a version that follows: chunks with the ids `removed` go, then the chunks `added` come. Only a segment of what changes is written (its tokens, the ids that are gone, and what both do to frequencies and sums); with `most` segments they are merged into one."""
+    numbers = [] if version is None else _segments(version)
+    new = token_table(added)
+    if not numbers:
+        return whole_segment(of_tokens(new), path, name)
+    old = opened(spark, path, version)
+    ids = removed.select("chunk_id").distinct()
+    if len(numbers) >= most:
+        return whole_segment(patch_add(patch_remove(old, ids), added), path, name, numbers[-1] + 1)
+    out = old.tokens.join(ids, "chunk_id", "left_semi")
+    signed = lambda tokens, sign: _frequencies(postings(tokens)).select("token", (sign * F.col("df")).alias("df"))
+    df = signed(new, 1).unionByName(signed(out, -1)).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+    sums = _sums(new).unionByName(_sums(out).select((-F.col("n_chunks")).alias("n_chunks"), (-F.col("n_tokens")).alias("n_tokens")))
+    kept = {n: t for n, t in version.tables.items() if n.rpartition("-")[0] in _PARTS}
+    return kept | _write_segment(path, name, numbers[-1] + 1, new, ids, df, sums)
+
+
+def save_patch(spark: SparkSession, path: str, added: DataFrame, removed: DataFrame, keep: int | None = None, most: int = SEGMENTS) -> str:
+    """A new version of a stored index, without the chunks `removed` and with those `added`. What doesn't change isn't written; a damaged index raises, and another writer's version meanwhile is a StaleStore."""
+    version, name = current(spark, path), new_name()
+    commit(spark, path, Version(name, version and version.name, patch_segment(spark, path, version, name, added, removed, most)), keep)
+    return name
+
+
+def opened(spark: SparkSession, path: str, version: Version) -> KeywordIndex:
+    """The index that a version's segments make up: a chunk counts unless a later segment says that it is gone."""
+    numbers = _segments(version)
+    if not numbers:
+        raise DamagedStore(f"{path}/{version.name} holds no index")
+    parts = {part: [version.tables[f"{part}-{k}"].read(spark, path) for k in numbers] for part in _PARTS}
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    tokens = parts["tokens"][0]
+    if len(numbers) > 1:
+        gone = union([g.withColumn("last", F.lit(k)) for g, k in zip(parts["gone"], numbers)]).groupBy("chunk_id").agg(F.max("last").alias("last"))
+        numbered = union([t.withColumn("segment", F.lit(k)) for t, k in zip(parts["tokens"], numbers)])
+        tokens = numbered.join(gone, "chunk_id", "left").where("last is null or last <= segment").drop("last", "segment")
+    corpus = _corpus(union(parts["sums"]).agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")))
+    df = parts["df"][0] if len(numbers) == 1 else union(parts["df"]).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    return KeywordIndex(tokens, postings(tokens), term_stats(df, corpus), corpus)
 
 
 def load(spark: SparkSession, path: str) -> KeywordIndex | None:
@@ -97,8 +171,8 @@ def load(spark: SparkSession, path: str) -> KeywordIndex | None:
 
 def load_to_patch(spark: SparkSession, path: str) -> KeywordIndex | None:
     """The stored index; None if there is none. A damaged one raises."""
-    tables = load_tables(spark, path, ["tokens", "postings", "terms", "corpus"])
-    return None if tables is None else KeywordIndex(**tables)
+    version = current(spark, path)
+    return None if version is None else opened(spark, path, version)
 
 
 def _patched(index: KeywordIndex, tokens: DataFrame, posted: DataFrame, delta: DataFrame, sign: int) -> KeywordIndex:

@@ -51,6 +51,17 @@ def embedded(df: DataFrame, key: str, text: str, embed: Callable[[Column], Colum
     return df if "embedding" in df.columns else df.withColumn("embedding", (embed or hash_embedding)(F.col(text)))
 
 
+def embedded_once(new: DataFrame, stored: DataFrame, text: str = "document", embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """`new` with the `embedding` that `stored` has for an equal text (by its hash); each other text goes to the model once. Runs Spark jobs when it is called, and writes the texts' embeddings to the shared folder."""
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    texts = new.select(key.alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text_")).groupBy("text_key").agg(F.first("text_").alias("text_"))
+    known = stored.where("embedding is not null").select(key.alias("text_key"), "embedding").join(texts.select("text_key"), "text_key", "left_semi")
+    known = written(known.groupBy("text_key").agg(F.first("embedding").alias("embedding")), "known")
+    unseen = texts.join(known, "text_key", "left_anti").select("text_key", (embed or hash_embedding)(F.col("text_")).alias("embedding"))
+    made = written(unseen, "embedded")
+    return new.withColumn("text_key", key).join(known.unionByName(made), "text_key").drop("text_key")
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
 

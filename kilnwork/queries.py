@@ -19,6 +19,7 @@ from .operators import fusion, ingest, keyword_index, prompts, sync, vectors
 from .plans import jobs
 from .sources import store, wiki
 from .sources.shared import scratch, spread, written
+from .streaming import updates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,12 +311,14 @@ def patch_remove(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {ADDED}, {_scores_sql()} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank::int AS bm25_rank FROM bm")
 def patched_search(spark: SparkSession, folder: str) -> DataFrame:
-    """A search in an index that was stored, loaded and patched."""
+    """A search in a stored index with two more segments: one with chunks that aren't wanted, and one that takes these out and brings others."""
     path = scratch(spark, "index")
     keyword_index.save(keyword_index.build(_stored(spark, folder)), path)
     new = chunking.chunk_pages(_pages(spark, folder).where("source = 'src7'"))
-    index = keyword_index.patch_add(keyword_index.load_to_patch(spark, path), new)
-    return keyword_index.search(index, _questions(spark, folder)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
+    wrong = new.withColumn("document", F.upper("document"))
+    keyword_index.save_patch(spark, path, wrong, wrong.where("false"))
+    keyword_index.save_patch(spark, path, new, wrong)
+    return keyword_index.search(keyword_index.load_to_patch(spark, path), _questions(spark, folder)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
 
 
 @query(f"WITH {CHUNKS}, {_index_sql('c')} SELECT token, df, round(idf, 6) AS idf, n_chunks, round(avgdl, 6) AS avgdl FROM terms, corp")
@@ -420,7 +423,7 @@ def full_index(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {FULL} SELECT (SELECT count(*) FROM w) AS n_pages, (SELECT count(*) FROM w WHERE NOT coalesce(list_contains(tags, 'pdf'), false)) AS n_reindexed, (SELECT count(*) FROM w WHERE list_contains(tags, 'pdf')) AS n_pdf, (SELECT count(DISTINCT page_id) FROM s WHERE page_id NOT IN (SELECT page_id FROM w)) AS n_orphans, (SELECT count(*) FROM s) AS n_before, (SELECT count(*) FROM a) AS n_after")
 def index_report(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.index_report(*_full_index(spark, folder))
+    return jobs.index_report(*_full_index(spark, folder))[1]
 
 
 @query(f"WITH {CHUNKS} SELECT page_id, count(*) AS n_chunks, sum(length(document))::bigint AS n_chars FROM c GROUP BY page_id")
@@ -434,6 +437,26 @@ def replace_pages(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.replace_pages(_stored(spark, folder), None, pages)[0].select("chunk_id", "page_id", "chunk_index", "title", "path", "document")
 
 
+@query(f"WITH {STORED}, n_ AS (SELECT * REPLACE ('updated ' || content AS content) FROM p WHERE source IN ('src7', 'src5')), {_cut('n', 'n_')}, a AS (SELECT chunk_id, document FROM s WHERE page_id NOT IN (SELECT page_id FROM n_) UNION ALL SELECT chunk_id, document FROM n), {_embedding_sql('v', 'a', 'chunk_id', 'document')} SELECT chunk_id, document, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM a JOIN v USING (chunk_id)")
+def replace_pages_embedded(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that keep their embeddings, and new ones that get theirs."""
+    pages = _pages(spark, folder).where("source in ('src7', 'src5')").withColumn("content", F.concat(F.lit("updated "), "content"))
+    stored = written(vectors.embedded(_stored(spark, folder), "chunk_id", "document"), "chunks")
+    return jobs.replace_pages(stored, None, pages)[0].select("chunk_id", "document", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query(f"WITH {STORED}, n_ AS (SELECT * REPLACE ('updated ' || content AS content) FROM p WHERE source IN ('src7', 'src5')), {_cut('n', 'n_')}, a AS (SELECT chunk_id, page_id, document FROM s WHERE page_id NOT IN (SELECT page_id FROM n_) UNION ALL SELECT chunk_id, page_id, document FROM n) SELECT chunk_id, document FROM a JOIN (SELECT page_id FROM p WHERE lang = 'fr') USING (page_id)")
+def batches_into_store(spark: SparkSession, folder: str) -> DataFrame:
+    """A chunk store that two batches have made, read for some pages alone."""
+    path, pages = scratch(spark, "store"), _pages(spark, folder)
+    put = updates.into_store(path, stream="query")
+    put(pages.where("source <> 'src7'"), 0)
+    later = pages.where("source in ('src7', 'src5')").withColumn("content", F.concat(F.lit("updated "), "content"))
+    put(later, 1)
+    put(pages.withColumn("content", F.lit("a batch that the store has already")), 1)
+    return store.chunks_of(spark, path, pages.where("lang = 'fr'")).select("chunk_id", "document")
+
+
 @query(f"WITH {STORED}, n_ AS (SELECT * REPLACE ('updated ' || content AS content) FROM p WHERE source IN ('src7', 'src5')), {_cut('n', 'n_')}, a AS (SELECT * FROM s WHERE page_id NOT IN (SELECT page_id FROM n_) UNION ALL SELECT * FROM n), {_index_sql('a')} SELECT token, df, round(idf, 6) AS idf, n_chunks, round(avgdl, 6) AS avgdl FROM terms, corp")
 def replace_pages_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index after the pages' chunks have been patched out and in."""

@@ -4,29 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.chunks import replaced
-from ..sources.store import load_tables, save_tables
+from ..operators import keyword_index, vectors
+from ..operators.chunks import chunk_pages, cleaned, replaced
+from ..sources.store import BUCKETS, Version, bucket, commit, current, new_name, replace_buckets
 
 #: Versions that stay, so that readers of the one before the current one can end.
 KEPT = 2
+_CHUNKS = "chunk_id string, page_id long, chunk_index int, title string, path string, document string"
 
 
-def into_store(path: str, clean: bool = False, keep: int = KEPT) -> Callable[[DataFrame, int], None]:
+def into_store(path: str, clean: bool = False, keep: int = KEPT, buckets: int = BUCKETS, stream: str | None = None, index: bool = False, embed: Callable[[Column], Column] | None = None) -> Callable[[DataFrame, int], None]:
     """A function for writeStream.foreachBatch: each batch of pages (page_id, title, path, content) replaces what the store has of them, as a new version.
 
+    Chunks lie in buckets by page, and only the buckets of the batch's pages are written
+    again. With `embed` chunks keep embeddings, of which only unseen texts' are made; with
+    `index` the keyword index gets a segment (`keyword_index.opened` reads it). All
+    of a batch is one version: after a failure the store is as it was before.
     Of a page's rows in one batch the one with the greatest content counts (then
-    title, then path), so a batch that comes again gives the same store. A store
-    that can't be read stops the stream (DamagedStore); it isn't begun anew.
+    title, then path), so a batch that comes again gives the same chunks. With `stream`
+    (a name that stays when the stream is started again) the version tells its batch, and
+    a number that it has already changes nothing. A store that can't be read stops the
+    stream (DamagedStore), as does another writer (StaleStore); it isn't begun anew.
+    `buckets` holds for a new store; one that exists keeps its own.
     """
 
     def batch(pages: DataFrame, number: int) -> None:
         spark = pages.sparkSession
-        stored = load_tables(spark, path, ["chunks"])
+        version, name = current(spark, path), new_name()
+        notes = {} if version is None else version.notes
+        if stream is not None and notes.get("streams", {}).get(stream, -1) >= number:
+            return
+        many = notes.get("buckets", buckets)
         pages = pages.groupBy("page_id").agg(F.max(F.struct("content", "title", "path")).alias("page")).select("page_id", "page.title", "page.path", "page.content")
-        chunks = spark.createDataFrame([], "chunk_id string, page_id long, chunk_index int, title string, path string, document string") if stored is None else stored["chunks"]
-        save_tables({"chunks": replaced(chunks, pages, clean)}, path, keep)
+        of = {r[0] for r in pages.select(bucket(F.col("page_id"), many)).distinct().collect()}  # as many as there are buckets at most
+        table = None if version is None else version.tables["chunks"]
+        if table is None:
+            stored = spark.createDataFrame([], _CHUNKS + (", embedding array<double>" if embed else ""))
+        else:
+            stored = table.read(spark, path, [f for f in table.files if int(f.split("/")[-2].removeprefix("bucket=")) in of])
+        cut = chunk_pages(cleaned(pages) if clean else pages)
+        new = vectors.embedded_once(cut, stored, "document", embed) if "embedding" in stored.columns else cut
+        tables = {"chunks": replace_buckets(spark, path, version, name, "chunks", of, replaced(stored, pages, new), many)}
+        if index:
+            gone = stored.join(pages.select("page_id"), "page_id", "left_semi").select("chunk_id")
+            tables |= keyword_index.patch_segment(spark, path, version, name, cut, gone)
+        told = {"buckets": many, "streams": notes.get("streams", {}) | ({stream: number} if stream is not None else {})}
+        commit(spark, path, Version(name, version and version.name, tables, told), keep)
 
     return batch

@@ -90,7 +90,7 @@ def test_a_patch_tokenises_only_what_is_new(spark, chunks, tmp_path):
     keyword_index.save(keyword_index.build(chunks.where("page_id <> 4")), path)
     index = keyword_index.patch_add(keyword_index.load_to_patch(spark, path), chunks.where("page_id = 4"))
     read = {f.split("/")[-2] for f in index.terms.inputFiles()}
-    assert read == {"terms", "corpus"}
+    assert read == {"df-0", "sums-0"}
     removed = keyword_index.patch_remove(index, spark.createDataFrame([("page_0_chunk_0",), ("unknown",)], "chunk_id string"))
     whole = keyword_index.build(chunks.where("page_id <> 0"))
     for name in ("postings", "terms", "corpus"):
@@ -359,7 +359,7 @@ def test_a_damaged_store_is_not_an_empty_one(spark, chunks, tmp_path):
     assert store.load_tables(spark, str(path), ["chunks"])["chunks"].count() == 2
     index = tmp_path / "index"
     keyword_index.save(keyword_index.build(chunks), str(index))
-    (index / (index / store.POINTER).read_text() / "terms").rename(index / "gone")
+    (index / (index / store.POINTER).read_text() / "df-0").rename(index / "gone")
     assert keyword_index.load(spark, str(index)) is None  # a search goes on without it
     with pytest.raises(store.DamagedStore):
         keyword_index.load_to_patch(spark, str(index))
