@@ -174,7 +174,7 @@ _SLACK = 1e-9
 
 
 def _shared_keys(order: list[int], dot: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(vector, embedding) to (vector, embedding, key): two unit vectors whose product is `dot` or more have a key in common.
+    """(vector, embedding) to (vector, embedding, norm, key), norm being the squared length: two unit vectors whose product is `dot` or more have a key in common.
 
     Dimensions are looked at in `order`. Of a pair that shares three dimensions or more,
     the first three lie in either vector's prefix: if at most two of a vector's entries
@@ -212,9 +212,10 @@ def _shared_keys(order: list[int], dot: float) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                own = [list(keys(x)) for x in _matrix(batch.column(1))[:, order]]
-                rows = batch.take(pa.array(np.repeat(np.arange(len(batch)), [len(k) for k in own])))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([k for x in own for k in x], pa.int64())], ["vector", "embedding", "key"])
+                x = _matrix(batch.column(1))
+                own = [list(keys(v)) for v in x[:, order]]
+                at = np.repeat(np.arange(len(batch)), [len(k) for k in own])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array((x**2).sum(axis=1)[at]), pa.array([k for v in own for k in v], pa.int64())], ["vector", "embedding", "norm", "key"])
 
     return run
 
@@ -246,9 +247,13 @@ def nearest_within(chunks: DataFrame, queries: DataFrame, threshold: float, cand
     rare = theirs.select(F.posexplode("embedding").alias("at", "x")).where("x <> 0").groupBy("at").count().collect()  # a row a dimension
     often = dict(rare)
     run = _shared_keys(sorted(range(about.size), key=lambda d: (often.get(d, 0), d)), dot)
-    keyed = lambda df: df.select("vector", "embedding").mapInArrow(run, "vector long, embedding array<double>, key long")
-    pairs = keyed(ours).select(F.col("vector").alias("asked"), F.col("embedding").alias("q"), "key").join(keyed(theirs), "key")
-    near = pairs.select("asked", "vector", squared_distance(F.col("q"), F.col("embedding")).alias("distance")).where(F.round("distance", RANKED) <= threshold).dropDuplicates(["asked", "vector"])
+    keyed = lambda df: df.select("vector", "embedding").mapInArrow(run, "vector long, embedding array<double>, norm double, key long")
+    # The distance by the product over the few entries that aren't 0.
+    entries = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda e: e["x"] != 0)
+    pairs = keyed(ours).select(F.col("vector").alias("asked"), entries.alias("entries"), F.col("norm").alias("own"), "key").join(keyed(theirs), "key")
+    product = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["x"] * F.get(F.col("embedding"), e["at"]))
+    near = pairs.select("asked", "vector", F.greatest(F.lit(0.0), F.col("own") + F.col("norm") - 2 * product).alias("distance"))
+    near = near.where(F.round("distance", RANKED) <= threshold).dropDuplicates(["asked", "vector"])
     named = near.join(members.join(theirs, "embedding").select("vector", *_NAMES[1:]), "vector")
     best = Window.partitionBy("asked").orderBy(F.round("distance", RANKED), "page_id", "chunk_index")
     ranked = named.withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= candidates)
