@@ -6,8 +6,8 @@ windows go straight into sequences of their own; what remains of it is an item.
 Differencing takes the two partial partitions that are the least balanced and
 merges them fullest window with emptiest, until one partition of the block into
 near-equal windows is left. If its fullest window exceeds the capacity, the
-number of windows rises and the block is partitioned anew; if that costs more
-than the allowed slack, the larger items are halved first.
+number of windows rises and the block is partitioned anew; where whole items would
+cost more windows than the allowed slack, an item of each window that is too full is cut.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import require
 
 CAPACITY = 1024
-#: Share of windows that a block may have over the least possible number before its items are halved.
+#: Share of windows that a block may have over the least possible number before items are cut.
 SLACK = 0.03
 #: Items to a block: the differencing of a block takes about items x windows steps.
 BLOCK_ITEMS = 256
@@ -65,41 +65,48 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sums, np.array([x[0] for x in labels[:n]])
 
 
-def _halved(items: list[tuple[int, int, int]], longest: int) -> list[tuple[int, int, int]]:
-    out = []
-    for d, start, length in items:
-        parts = -(-length // longest)
-        cuts = [length * p // parts for p in range(parts + 1)]
-        out += [(d, start + a, b - a) for a, b in zip(cuts, cuts[1:])]
+def _eased(items: list[tuple[int, int, int]], window: np.ndarray, k: int, capacity: int) -> list[tuple[int, int, int]]:
+    """The items, the longest one of each window that is over the capacity cut in two, by what is over (an eighth of it at least, a half at most)."""
+    sizes = np.array([x[2] for x in items], np.int64)
+    over = np.bincount(window, sizes, k).astype(np.int64) - capacity
+    order = np.lexsort((-sizes, window))
+    longest = order[np.unique(window[order], return_index=True)[1]]
+    out, cut = [], {int(i): int(over[window[i]]) for i in longest if over[window[i]] > 0}
+    for i, (d, start, length) in enumerate(items):
+        if i in cut and length > 1:
+            part = length - max(1, min(max(cut[i], length // 8), length // 2))
+            out += [(d, start, part), (d, start + part, length - part)]
+        else:
+            out.append((d, start, length))
     return out
 
 
-def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY, slack: float = SLACK, longest: int | None = None) -> tuple[list[list[tuple[int, int, int]]], int]:
-    """Windows of at most `capacity` from items (document, start, length), none longer than the capacity; and the greatest length that items were left.
+def pack(items: list[tuple[int, int, int]], capacity: int = CAPACITY, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
+    """Windows of at most `capacity` from items (document, start, length), none longer than the capacity.
 
     The number of windows is the least possible one (no two items over half the
     capacity share a window); whenever the capacity is exceeded it rises by one, to
-    what the slack allows; beyond that, items over half the length are halved.
+    what the slack allows. Where that is not enough, whole items would leave more
+    padding than the slack, so one item of each window that is still too full is cut, and
+    the block partitioned anew.
     """
     total = sum(x[2] for x in items)
-    longest = capacity if longest is None else min(longest, capacity)
     if not total:
-        return [], longest
+        return []
     least = -(-total // capacity)
     most = max(least + (least > 1), int(least * (1 + slack)))
-    if longest < capacity:
-        items = _halved(items, longest)
+    sizes = np.array([x[2] for x in items], np.int64)
+    counts = range(min(most, max(least, int((2 * sizes > capacity).sum()))), most + 1)
     while True:
-        sizes = np.array([x[2] for x in items], np.int64)
-        for k in range(max(least, int((2 * sizes > capacity).sum())), most + 1):
+        for k in counts:
             sums, window = differencing(sizes, k)
             if sums[0] <= capacity:
                 windows: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
                 for x, w in zip(items, window):
                     windows[w].append(x)
-                return [w for w in windows if w], longest
-        longest = max(1, longest // 2)
-        items = _halved(items, longest)
+                return [w for w in windows if w]
+        items, counts = _eased(items, window, most, capacity), range(most, most + 1)
+        sizes = np.array([x[2] for x in items], np.int64)
 
 
 def _ranks(path: str) -> dict[bytes, int] | None:
@@ -224,24 +231,24 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: flo
     Ids are the tokenizer's, then `end_id`; a null or empty text is just that
     id. Rows with the same key are separate documents; a null key stays null; an
     empty table gives an empty result. `sequence_id` is unique over the table:
-    the partition's number and a number within it.
+    the partition's number and a number within it. A text of any length is tokenised
+    whole and cut freely; other columns, of whatever name, don't matter.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sequence, longest = ids_by(tokenizer), TaskContext.get().partitionId() << 40, capacity
+        ids, sequence = ids_by(tokenizer), TaskContext.get().partitionId() << 40
         tokens: list[bytes] = []
         keys: list = []
         items: list[tuple[int, int, int]] = []
         full: list[tuple[int, int, int]] = []
 
         def flush(key_type: pa.DataType) -> pa.RecordBatch:
-            nonlocal sequence, longest
+            nonlocal sequence
             rows: list[tuple] = []
-            windows, longest = pack(items, capacity, slack, 2 * longest)
-            for window in [*[[x] for x in full], *windows]:
+            for window in [*[[x] for x in full], *pack(items, capacity, slack)]:
                 offset = 0
                 for d, start, length in window:
                     piece = tokens[d][4 * start : 4 * (start + length)]

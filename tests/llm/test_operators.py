@@ -61,7 +61,7 @@ def test_packing(spark):
 
 def test_packing_nothing(spark):
     assert packing.packed(table(spark, []), VOCABULARY).collect() == []
-    assert packing.pack([], 10)[0] == []
+    assert packing.pack([], 10) == []
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -362,16 +362,27 @@ def test_packing_leaves_other_vocabularies_to_the_tokenizer(tmp_path):
             assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_windows_rise_one_by_one(monkeypatch):
+@pytest.mark.parametrize("least, most", [(1, 1024), (200, 500), (300, 500), (520, 1000), (1000, 1024), (1, 40)])
+def test_windows_rise_and_few_items_are_cut(monkeypatch, least, most):
     tried, plain = [], packing.differencing
-    monkeypatch.setattr(packing, "differencing", lambda sizes, k: tried.append(k) or plain(sizes, k))
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: tried.append((len(sizes), k)) or plain(sizes, k))
     r = np.random.default_rng(3)
-    for _ in range(20):
+    for _ in range(4):
         tried.clear()
-        windows, longest = packing.pack([(i, 0, int(n)) for i, n in enumerate(r.integers(200, 500, 256))], 1024)
-        assert all(sum(x[2] for x in w) <= 1024 for w in windows)
-        if longest == 1024:
-            assert tried == list(range(tried[0], tried[0] + len(tried))) and len(windows) == tried[-1]
+        items = [(i, 7, int(n)) for i, n in enumerate(r.integers(least, most, 256))]
+        windows = packing.pack(items, 1024)
+        assert all(0 < sum(x[2] for x in w) <= 1024 for w in windows)
+        pieces = sorted(x for w in windows for x in w)
+        for i, _, length in items:
+            at = 7
+            for _, start, n in (x for x in pieces if x[0] == i):
+                assert start == at and n > 0
+                at += n
+            assert at == 7 + length
+        few = -(-sum(x[2] for x in items) // 1024)
+        assert len(windows) <= max(few + 1, int(1.03 * few)) and len(pieces) < 3 * 256 and len(tried) <= 40
+        whole = [k for n, k in tried if n == 256]
+        assert whole == list(range(whole[0], whole[0] + len(whole)))
 
 
 def test_fingerprints_find_excerpts(spark):
