@@ -97,7 +97,9 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     Words are runs of letters and digits after A-Z is lower-cased. `score` is the
     largest share of a template that a span covers (1 for a phrase, 0 without
     any hit). A null or empty text has no words and no labels; repeated rows and
-    rows with equal or null keys are scanned each by itself.
+    rows with equal or null keys are scanned each by itself. A text of any length is
+    scanned whole; an empty table gives an empty result; other columns, of whatever
+    name, don't matter.
     """
     wordings = [(t, label, True) for t, label in (PHRASES if phrases is None else phrases).items()]
     wordings += [(t, label, False) for t, label in (TEMPLATES if templates is None else templates).items()]

@@ -93,7 +93,9 @@ def lz_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a null text has none; a text under
     `width` words keeps all. Rows with equal keys are documents of their own (a
-    repeated row is a repetition). A null key is returned as the least long.
+    repeated row is a repetition). A null key is returned as the least long. A text of
+    any length is worked on whole; an empty table gives an empty result; other
+    columns, of whatever name, don't matter.
     """
     grain = Grain(True, width, GRAM)
     source = identified(docs, key, text)

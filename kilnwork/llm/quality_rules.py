@@ -90,7 +90,8 @@ def repetition_coverage(docs: DataFrame, ngram_limits: dict[int, int] | None = N
     found twice or more. `kept`: not base_failed, no n-gram length over its
     limit, and repeated lines within theirs. A null or empty text has no words
     and fails; rows with the same key are judged each by itself; an empty table
-    gives an empty result; a null key stays null.
+    gives an empty result; a null key stays null. A text of any length is measured
+    whole; other columns, of whatever name, don't matter.
     """
     limits = NGRAM_LIMITS if ngram_limits is None else dict(ngram_limits)
     lengths = tuple(sorted(limits))

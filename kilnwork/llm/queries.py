@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op9_ngram_join": OP9_SQL, "op10_lz_dedup": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op9_ngram_join": OP9_SQL, "op10_lz_dedup": OP10_SQL, "op12_lexical": OP12_SQL}
 
 
 def _op2_sql() -> str:
@@ -136,6 +137,20 @@ OP10_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_t
   k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
 SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
+
+
+def _terms_sql(c: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({c}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+OP12_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("text")} AS w FROM documents),
+  n AS MATERIALIZED (SELECT r, doc_id, len(w)::bigint AS n FROM d WHERE len(w) > 0), s AS (SELECT count(*) AS docs, sum(n)::bigint AS words FROM n),
+  i AS MATERIALIZED (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_terms_sql("text")}) AS t FROM benchmark)),
+  p AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t),
+  f AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint AS weight FROM p, s GROUP BY t, docs),
+  c AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))))::bigint AS score FROM i JOIN f USING (t) JOIN p USING (t) JOIN n USING (r), s GROUP BY item_id, doc_id, r)
+SELECT item_id, rank::int AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM c WHERE score > 0) WHERE rank <= {lexical.TOP}"""
+
 OP9_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
   g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {ngram_join.SHINGLE - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {ngram_join.SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
   k AS MATERIALIZED (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k, count(*) AS n FROM g GROUP BY doc_id),

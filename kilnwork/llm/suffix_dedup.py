@@ -184,7 +184,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text", giant: int = GIANT, rare: int = RARE) -> DataFrame:
-    """All rows and columns of docs, the text without the bytes that `suffix_dedup` removes (a null text becomes empty; characters broken by a cut go too)."""
+    """All rows and columns of docs, the text without the bytes that `suffix_dedup` removes (a null text becomes empty; characters broken by a cut go too). An empty table gives an empty one; columns may have any name."""
     source = identified(docs, key, text)
     spans = repeated_spans(source, Grain(False, width, GRAM), earlier_windows, anywhere=False, giant=giant, rare=rare)
     rows = identified(docs, key, text, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
@@ -201,6 +201,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text:
     them. A null key comes before all others and is returned as the least long.
     Of rows with equal keys, the one with the smaller CRC-32 of its text is
     earlier; equal rows aren't earlier than each other and get the same result.
+    A text of any length is worked on whole, in blocks of windows; an empty table
+    gives an empty result; other columns, of whatever name, don't matter.
     """
     grain = Grain(False, width, GRAM)
     source = identified(docs, key, text)

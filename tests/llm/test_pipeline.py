@@ -67,3 +67,29 @@ def test_empty(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.collect() == []
+
+
+def test_stages_on_odd_rows(spark, folder, tmp_path):
+    """Null and empty texts, null and equal ids, repeated rows, and columns that operators use names of."""
+    words = " ".join(f"word{i}" for i in range(70))
+    rows = [
+        (None, None, "a", 1, 0), (None, "", "b", 2, 0), (1, "", "x", 3, 0), (1, "", "y", 4, 0), (1, "", "y", 4, 0), (None, "short text", "n", 5, 9), (None, "other text", "n", 5, 9),
+        (7, words, "q", 6, 1), (7, words, "p", 7, 1), (7, words, "p", 7, 1), (8, words + " tail", "r", 8, 2), (9, "card 4111 1111 1111 1111", "s", 9, 3),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string, node int, n_chars long").repartition(3)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(stages["quality"](spark, docs, str(tmp_path))) == told(docs)
+    one = stages["near_duplicates"](spark, docs, str(tmp_path))
+    kept = [tuple(r) for r in one.collect()]
+    others = {r for r in rows if not (r[1] or "").startswith("word")}
+    assert one.columns == docs.columns and {r for r in kept if r in others} == others and len(kept) == len(others) + 1
+    assert [r[0] for r in kept if r not in others] == [7]
+    cut = stages["repeats"](spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in cut) == sorted(str(r[0]) for r in rows) and all(r.text is not None and r.n_chars == len(r.text) for r in cut)
+    assert {r.text for r in cut if r.doc_id == 7} == {words} and len(next(r.text for r in cut if r.doc_id == 8)) < 20
+    private = stages["personal_data"](spark, docs, str(tmp_path)).collect()
+    assert sum(r.text is None for r in private) == 1 and sum(r.text == "" for r in private) == 4 and not any("4111 1111" in (r.text or "") for r in private)
+    pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert sum(p.start == 0 for p in pieces) == len(rows) and sum(p.doc_id is None for p in pieces) == 4 and sum(p.doc_tokens == 1 for p in pieces) == 5
