@@ -39,8 +39,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates (five words, a similarity of 0.8): the one with the least id.
 
-    A null id is the least; of rows with equal ids the text's hash decides; a repeated
-    row stays once. Texts without words (null, empty) all stay, each distinct row once.
+    A null id is the least; of rows with equal ids the text's hash decides, then the
+    least hash of the other columns; a repeated row stays once. Texts without words
+    (null, empty) all stay, each distinct row once. A text of any length is compared
+    whole; an empty table gives an empty one.
     """
     from kilnwork.llm import ngram_join
 
