@@ -27,7 +27,7 @@ from .common import require
 
 CAPACITY = 1024
 #: Share of windows that a block may have over the least possible number before items are cut.
-SLACK = 0.03
+SLACK = 0.02
 #: Items to a block: the differencing of a block takes about items x windows steps.
 BLOCK_ITEMS = 256
 #: Distinct strings whose ids a task keeps, and as many that it has kept before.
