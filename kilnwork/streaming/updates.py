@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keyword_index, vectors
 from ..operators.chunks import chunk_pages, cleaned, replaced
+from ..sources.shared import written
 from ..sources.store import BUCKETS, Version, bucket, commit, current, new_name, replace_buckets
 
 #: Versions that stay, so that readers of the one before the current one can end.
@@ -38,7 +39,7 @@ def into_store(path: str, clean: bool = False, keep: int = KEPT, buckets: int =
         if stream is not None and notes.get("streams", {}).get(stream, -1) >= number:
             return
         many = notes.get("buckets", buckets)
-        pages = pages.groupBy("page_id").agg(F.max(F.struct("content", "title", "path")).alias("page")).select("page_id", "page.title", "page.path", "page.content")
+        pages = written(pages.groupBy("page_id").agg(F.max(F.struct("content", "title", "path")).alias("page")).select("page_id", "page.title", "page.path", "page.content"), "batch")
         of = {r[0] for r in pages.select(bucket(F.col("page_id"), many)).distinct().collect()}  # as many as there are buckets at most
         table = None if version is None else version.tables["chunks"]
         if table is None:

@@ -103,7 +103,7 @@ def test_a_pages_lookup_reads_its_bucket(spark, folder):
 def test_random_batches_equal_a_rebuild(spark, tmp_path):
     path, r = str(tmp_path / "store"), random.Random(3)
     put, now = into_store(path, index=True, embed=vectors.hash_embedding, buckets=4), {}
-    for number in range(10):
+    for number in range(9):
         batch = {r.randrange(12): " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=r.randint(0, 120))) for _ in range(r.randint(1, 4))}
         put(pages_of(spark, batch), number)
         now |= batch
@@ -161,6 +161,25 @@ def test_a_batch_that_fails_halfway_is_replayed(spark, tmp_path, monkeypatch):
     assert (corpus.n_chunks, corpus.n_tokens) == (2, 5) and store.current(spark, path).notes["streams"] == {"s": 1}
 
 
+def test_a_stream_of_files_goes_on_where_it_ended(spark, tmp_path):
+    import json
+
+    source, path = tmp_path / "pages", str(tmp_path / "store")
+    source.mkdir()
+
+    def run(name, contents):
+        (source / name).write_text("".join(json.dumps({"page_id": i, "title": "t", "path": f"p/{i}", "content": c}) + "\n" for i, c in contents.items()))
+        stream = spark.readStream.schema(PAGES).json(str(source)).writeStream.foreachBatch(into_store(path, stream="pages", index=True))
+        stream.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+
+    run("a.json", {1: "one", 2: "two two"})
+    run("b.json", {2: "second", 3: ""})
+    assert {r.page_id: r.document for r in stored(spark, path).collect()} == {1: "one", 2: "second"}
+    assert store.current(spark, path).notes["streams"] == {"pages": 1} and keyword_index.load_to_patch(spark, path).corpus.first().n_chunks == 2
+    into_store(path, stream="pages", index=True)(pages_of(spark, {}), 2)
+    assert stored(spark, path).count() == 2
+
+
 def test_only_new_texts_reach_the_model(spark):
     counted = spark.sparkContext.accumulator(0)
 
