@@ -103,7 +103,7 @@ def test_a_pages_lookup_reads_its_bucket(spark, folder):
 def test_random_batches_equal_a_rebuild(spark, tmp_path):
     path, r = str(tmp_path / "store"), random.Random(3)
     put, now = into_store(path, index=True, embed=vectors.hash_embedding, buckets=4), {}
-    for number in range(9):
+    for number in range(5):
         batch = {r.randrange(12): " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=r.randint(0, 120))) for _ in range(r.randint(1, 4))}
         put(pages_of(spark, batch), number)
         now |= batch
