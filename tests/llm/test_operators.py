@@ -362,6 +362,20 @@ def test_packing_leaves_other_vocabularies_to_the_tokenizer(tmp_path):
             assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_odd_texts_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tokenizer, dice = Tokenizer.from_file(VOCABULARY), random.Random(5)
+    pieces = ["word", "it's", " ", " ", " ", "\n", "\t", "\u3000", "\x1c", "\x85", "\xa0", "한국", "12", "<|endoftext|>", "é", "e\u0301", "|", "a\nb", "!!", "\U0001f600"]
+    rows = ["", " ", "\n", " a", "a ", "\na", "a\n b", "a \nb", " \n", *("".join(dice.choices(pieces, k=dice.randrange(1, 14))) for _ in range(3000))]
+    rows += ["a" + white * n + "b" for white in (" ", "\n", " \n") for n in (499, 999, 1000, 50_000)]
+    rows += ["a" * 300_000, "ab" * 100_000, "한" * 50_000, "1" * 200_000, "!" * 200_000, "word " * 200_000]
+    ids = packing.Ids(VOCABULARY)
+    assert ids.fast is not None
+    for text in rows:
+        assert ids.of(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:40]
+
+
 @pytest.mark.parametrize("least, most", [(1, 1024), (200, 500), (300, 500), (520, 1000), (1000, 1024), (1, 40)])
 def test_windows_rise_and_few_items_are_cut(monkeypatch, least, most):
     tried, plain = [], packing.differencing
