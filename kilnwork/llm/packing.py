@@ -30,8 +30,10 @@ CAPACITY = 1024
 SLACK = 0.02
 #: Items to a block: the differencing of a block takes about items x windows steps.
 BLOCK_ITEMS = 256
-#: White-space characters in a row from which a text goes to the tokenizer itself.
-LONG_RUN = 1000
+#: Distinct strings whose ids a task keeps, and as many that it has kept before.
+CACHE = 300_000
+#: Characters that are looked up at a time.
+SLICE = 1 << 20
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +137,13 @@ def _ranks(path: str) -> dict[bytes, int] | None:
 class Ids:
     """Ids of texts by a byte-level BPE tokenizer, little-endian unsigned 32-bit.
 
-    Whole texts are encoded by the vocabulary's ranks. Texts with special tokens, or
-    runs of white space of a length that the pattern's search may give up on, and all
-    texts where the vocabulary is of another kind go to the tokenizer itself.
+    The vocabulary's pattern never joins across a single white-space character,
+    so a text whose white space never doubles falls apart at its spaces without
+    any change of ids, and each distinct part is tokenised once. New parts are
+    strung together with line ends, which are tokens of their own, and encoded by
+    the same merges in one call. What this doesn't hold for (doubled white space,
+    special tokens, white space at a part's end, a vocabulary of another kind)
+    goes to the tokenizer itself.
     """
 
     _doubled = re.compile(r"\s\s")
@@ -148,18 +154,65 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         ranks = _ranks(path)
         self.fast = None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = sorted(self.tokenizer.get_added_tokens_decoder().values(), key=str)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.added) or r"(?!)")
         if ranks is not None:
             import public_tokenizers
             import tiktoken
 
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.line_end = ranks[b"\n"]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        odd = [u for u in units if self.special.search(u) or u[-1:].isspace() or u[:1] == "\n" or not u]
+        if odd:
+            self.known.update(zip(odd, self._encode(odd)))
+            odd_ = set(odd)
+            units = [u for u in units if u not in odd_]
+        for i in range(0, len(units), 50_000):
+            part = units[i : i + 50_000]
+            ids = np.array(self.fast.encode_ordinary("\n".join(part)), "<u4")
+            breaks = np.flatnonzero(ids == self.line_end)
+            lines = np.cumsum([u.count("\n") + 1 for u in part])[:-1] - 1
+            bounds = np.concatenate([[-1], breaks[lines], [len(ids)]])
+            raw = ids.tobytes()
+            self.known.update((u, raw[4 * a + 4 : 4 * b]) for u, a, b in zip(part, bounds[:-1].tolist(), bounds[1:].tolist()))
+
+    def _sliced(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > SLICE:
+            end = text.find(" ", start + SLICE)
+            if end < 0:
+                break
+            yield text[start:end]
+            start = end
+        yield text[start:]
 
     def of(self, text: str) -> bytes:
-        # A run of LONG_RUN white-space characters holds two neighbours of this sample.
-        if self.fast is None or self._doubled.search(text[:: LONG_RUN // 2]) or any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if self.fast is None or self._doubled.search(text):
+            return self._encode([text])[0]
+        out = []
+        for piece in self._sliced(text):
+            first, *units = piece.split(" ")
+            units = [" " + x for x in units]
+            if first:
+                units.insert(0, first)
+            known = self.known
+            missing = {u for u in units if u not in known}
+            if missing:
+                if len(known) > CACHE:
+                    self.older, self.known = known, {}
+                    known, missing = self.known, set(units)
+                again = missing & self.older.keys()
+                known.update((u, self.older[u]) for u in again)
+                self._learn(list(missing - again))
+            out += [known[u] for u in units]
+        return b"".join(out)
 
 
 _ids: dict[str, Ids] = {}
