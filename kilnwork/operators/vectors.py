@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, counts, tokenize
-from ..sources.shared import written
+from ..sources.shared import spread, written
 
 DIMENSIONS = 64
 RANKED = 9
@@ -170,6 +171,8 @@ def nearest(chunks: DataFrame, queries: DataFrame, candidates: int = 20) -> Data
 
 #: Entries other than 0 that a vector has on average at most for the join by shared dimensions to be worth it.
 SPARSE = 24
+#: Sets of entries that a vector may lose (see `_candidates`) up to which each gives a key.
+SETS = 1024
 _SLACK = 1e-9
 
 
@@ -220,18 +223,100 @@ def _shared_keys(order: list[int], dot: float) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _sets(square: np.ndarray, lost: float) -> tuple[np.ndarray, np.ndarray]:
+    """(how many entries each row can lose at most, how many sets of entries that is at most), of squares of the entries that aren't 0."""
+    most = (np.cumsum(np.sort(square, axis=1), axis=1) <= lost).sum(axis=1)
+    ways = np.cumsum([float(comb(square.shape[1], k)) for k in range(square.shape[1] + 1)])
+    return most, ways[most]
+
+
+def _by_size(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, places, squares) of the entries that aren't 0, for rows that have equally many."""
+    sizes = (x != 0).sum(axis=1)
+    for n in np.unique(sizes):
+        of = np.flatnonzero(sizes == n)
+        for rows in np.split(of, range(1024, len(of), 1024)):
+            places = np.nonzero(x[rows])[1].reshape(len(rows), n)
+            yield rows, places, np.take_along_axis(x[rows], places, 1) ** 2
+
+
+def _long(lost: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The (vector, embedding) that have more than SETS sets of entries to lose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                long = [rows[_sets(square, lost)[1] > SETS] for rows, _, square in _by_size(_matrix(batch.column(1)))]
+                yield batch.take(pa.array(np.concatenate(long)))
+
+    return run
+
+
+def _kept_keys(lost: float, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(vector, embedding) to (vector, key, kept): a key for each set of dimensions that is left of a vector when entries with squares of `lost` at most in all are taken away, and the sum of the squares that are left. Vectors with more than SETS of them have none."""
+    code = np.random.Generator(np.random.PCG64(7)).integers(-(2**63), 2**63 - 1, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            vector = batch.column(0).to_numpy()
+            for rows, places, square in _by_size(_matrix(batch.column(1))):
+                most, ways = _sets(square, lost)
+                short = ways <= SETS
+                # Zeros are near to zeros alone, and have lost nothing.
+                whole, codes = square.sum(axis=1) if places.shape[1] else np.ones(len(rows)), code[places]
+                for k in range(most[short].max(initial=0) + 1):
+                    some = np.flatnonzero(short & (most >= k))
+                    away = np.array(list(combinations(range(places.shape[1]), k)), np.int64).reshape(comb(places.shape[1], k), k)
+                    mass = square[some][:, away].sum(axis=2)
+                    i, j = np.nonzero(mass <= lost)
+                    key = codes[some].sum(axis=1)[i] - codes[some[i][:, None], away[j]].sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(vector[rows[some[i]]]), pa.array(key), pa.array(whole[some[i]] - mass[i, j])], ["vector", "key", "kept"])
+
+    return run
+
+
+def _candidates(ours: DataFrame, theirs: DataFrame, dot: float, size: int) -> DataFrame:
+    """(asked, vector), each once: pairs of vectors (vector, embedding; unit ones, or zeros) that hold all pairs whose product is `dot` or more.
+
+    The dimensions that two such vectors share hold so much of either that the product
+    of both parts' squared lengths is dot * dot or more (Cauchy and Schwarz). What a
+    vector has besides is therefore a small set of its entries; each set that it may
+    lose gives a key, of what is left, and the two meet at the key of what they share.
+    The few vectors of many entries that could lose more than SETS sets meet all
+    others by dimensions that both must have (`_shared_keys`). Runs Spark jobs.
+    """
+    limit = dot * dot - 10 * _SLACK
+    keyed = lambda df: df.select("vector", "embedding").mapInArrow(_kept_keys(1 - limit, size), "vector long, key long, kept double")
+    asked = keyed(ours).select(F.col("vector").alias("asked"), "key", F.col("kept").alias("own"))
+    pairs = asked.join(keyed(theirs), "key").where(F.col("own") * F.col("kept") >= limit).select("asked", "vector")
+    long = lambda df, name: written(df.select("vector", "embedding").mapInArrow(_long(1 - limit), "vector long, embedding array<double>"), name)
+    our_long, their_long = long(ours, "long"), long(theirs, "long")
+    sides = [(a, b) for some, a, b in ((our_long, our_long, theirs), (their_long, ours, their_long)) if not some.isEmpty()]
+    if sides:
+        rare = theirs.select(F.posexplode("embedding").alias("at", "x")).where("x <> 0").groupBy("at").count().collect()  # a row a dimension
+        often = dict(rare)
+        run = _shared_keys(sorted(range(size), key=lambda d: (often.get(d, 0), d)), dot)
+        shared = lambda df: df.select("vector", "embedding").mapInArrow(run, "vector long, embedding array<double>, norm double, key long").select("vector", "key")
+        for a, b in sides:
+            pairs = pairs.union(shared(a).withColumnRenamed("vector", "asked").join(shared(b), "key").select("asked", "vector"))
+    return pairs.distinct()
+
+
 def nearest_within(chunks: DataFrame, queries: DataFrame, threshold: float, candidates: int) -> DataFrame:
     """Like `nearest`, but only what lies within the threshold (by the rounded distance); exact, and for sparse vectors of unit length (hash embeddings) or of zeros without a product of all with all.
 
     Equal vectors are looked at once, whoever has them; of a vector's chunks the first
-    `candidates` can be among the nearest. Vectors then meet by dimensions that two
-    within the threshold must share (see `_shared_keys`), rare ones first, and the
-    distance decides. Other vectors (dense ones of a model, say, or those not of unit
-    length) are compared by `nearest`. Runs Spark jobs when it is called, and writes the
-    distinct vectors to the shared folder.
+    `candidates` can be among the nearest. Vectors then meet by the dimensions that two
+    within the threshold share (see `_candidates`), and the distance decides. Other
+    vectors (dense ones of a model, say, or those not of unit length) are compared by
+    `nearest`. Runs Spark jobs when it is called, and writes both sides' embeddings (so
+    that none is made twice), the distinct vectors and the pairs within the threshold
+    to the shared folder.
     """
     whole = lambda df: df.where("embedding is not null").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    stored, asked = whole(chunks.select(*_NAMES[1:], "embedding")), whole(queries.select("query_id", "embedding"))
+    stored, asked = written(whole(chunks.select(*_NAMES[1:], "embedding")), "chunks"), written(whole(queries.select("query_id", "embedding")), "queries")
     first = Window.partitionBy("embedding").orderBy("page_id", "chunk_index", "chunk_id")
     members = stored.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= candidates).drop("nth")
     distinct = lambda df, name: written(df.select("embedding").distinct().withColumn("vector", F.monotonically_increasing_id()), name)
@@ -244,16 +329,13 @@ def nearest_within(chunks: DataFrame, queries: DataFrame, threshold: float, cand
     dot = 1 - (threshold + 1e-9) / 2
     if about.odd or about.size != about.least or about.entries is None or about.entries > SPARSE or dot <= 0.5:
         return nearest(stored, asked, candidates).where(F.round("distance", RANKED) <= threshold)
-    rare = theirs.select(F.posexplode("embedding").alias("at", "x")).where("x <> 0").groupBy("at").count().collect()  # a row a dimension
-    often = dict(rare)
-    run = _shared_keys(sorted(range(about.size), key=lambda d: (often.get(d, 0), d)), dot)
-    keyed = lambda df: df.select("vector", "embedding").mapInArrow(run, "vector long, embedding array<double>, norm double, key long")
     # The distance by the product over the few entries that aren't 0.
-    entries = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda e: e["x"] != 0)
-    pairs = keyed(ours).select(F.col("vector").alias("asked"), entries.alias("entries"), F.col("norm").alias("own"), "key").join(keyed(theirs), "key")
+    sparse = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda e: e["x"] != 0)
+    pairs = _candidates(spread(ours), spread(theirs), dot, about.size)
+    pairs = pairs.join(ours.select(F.col("vector").alias("asked"), sparse.alias("entries"), norm.alias("own")), "asked").join(theirs.select("vector", "embedding", norm.alias("norm")), "vector")
     product = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["x"] * F.get(F.col("embedding"), e["at"]))
     near = pairs.select("asked", "vector", F.greatest(F.lit(0.0), F.col("own") + F.col("norm") - 2 * product).alias("distance"))
-    near = near.where(F.round("distance", RANKED) <= threshold).dropDuplicates(["asked", "vector"])
+    near = written(near.where(F.round("distance", RANKED) <= threshold), "near")
     named = near.join(members.join(theirs, "embedding").select("vector", *_NAMES[1:]), "vector")
     best = Window.partitionBy("asked").orderBy(F.round("distance", RANKED), "page_id", "chunk_index")
     ranked = named.withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= candidates)
