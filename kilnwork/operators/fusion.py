@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 RANKED = 12
 K, TOP = 60, 5
 
@@ -32,6 +34,7 @@ def fused_rankings(rankings: list[DataFrame], k: int = K, top: int = TOP) -> Dat
 
 
 def hydrated(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with document, title, path and page_id; a chunk that isn't stored has an empty document. The chunks are cut down to the hits' first."""
+    """Hits with document, title, path and page_id; a chunk that isn't stored has an empty document. The chunks are cut down to the hits' first. The hits are written once (a Spark job), so that a search isn't run for each use of them and few of them are broadcast rather than all chunks shuffled."""
+    hits = written(hits, "hits")
     wanted = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "document", "title", "path", "page_id")
     return hits.join(wanted, "chunk_id", "left").withColumn("document", F.coalesce("document", F.lit("")))

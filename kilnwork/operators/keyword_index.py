@@ -101,14 +101,21 @@ def _no_ids(df: DataFrame) -> DataFrame:
     return df.select("chunk_id").where("false")
 
 
-def _write_segment(path: str, name: str, number: int, tokens: DataFrame, gone: DataFrame, df: DataFrame, sums: DataFrame) -> dict[str, Table]:
-    return {f"{part}-{number}": write_table(rows, path, name, f"{part}-{number}") for part, rows in zip(_PARTS, (tokens, gone, df, sums))}
+def _write_segment(spark: SparkSession, path: str, name: str, number: int, tokens: DataFrame, gone: DataFrame, out: DataFrame | None = None) -> dict[str, Table]:
+    """A segment's tables. The tokens are written first, and frequencies and sums counted from what is written, so that no chunk is tokenised twice; those of the tokens `out` are taken off."""
+    made = {f"tokens-{number}": write_table(tokens, path, name, f"tokens-{number}")}
+    new = made[f"tokens-{number}"].read(spark, path)
+    df, sums = _frequencies(postings(new)), _sums(new)
+    if out is not None:
+        off = _frequencies(postings(out)).select("token", (-F.col("df")).alias("df"))
+        df = df.unionByName(off).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+        sums = sums.unionByName(_sums(out).select((-F.col("n_chunks")).alias("n_chunks"), (-F.col("n_tokens")).alias("n_tokens")))
+    return made | {f"{part}-{number}": write_table(rows, path, name, f"{part}-{number}") for part, rows in (("gone", gone), ("df", df), ("sums", sums))}
 
 
 def whole_segment(index: KeywordIndex, path: str, name: str, number: int = 0) -> dict[str, Table]:
-    """The tables of a version that holds an index as one segment."""
-    sums = index.corpus.select("n_chunks", "n_tokens")
-    return _write_segment(path, name, number, index.tokens, _no_ids(index.tokens), index.terms.select("token", "df"), sums)
+    """The tables of a version that holds an index as one segment. Only the index's tokens are read, once."""
+    return _write_segment(index.tokens.sparkSession, path, name, number, index.tokens, _no_ids(index.tokens))
 
 
 def save(index: KeywordIndex, path: str, keep: int | None = None) -> str:
@@ -126,15 +133,12 @@ def patch_segment(spark: SparkSession, path: str, version: Version | None, name:
     if not numbers:
         return whole_segment(of_tokens(new), path, name)
     old = opened(spark, path, version)
-    ids = removed.select("chunk_id").distinct()
+    ids = written(removed.select("chunk_id").distinct(), "gone")
     if len(numbers) >= most:
         return whole_segment(patch_add(patch_remove(old, ids), added), path, name, numbers[-1] + 1)
-    out = old.tokens.join(ids, "chunk_id", "left_semi")
-    signed = lambda tokens, sign: _frequencies(postings(tokens)).select("token", (sign * F.col("df")).alias("df"))
-    df = signed(new, 1).unionByName(signed(out, -1)).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
-    sums = _sums(new).unionByName(_sums(out).select((-F.col("n_chunks")).alias("n_chunks"), (-F.col("n_tokens")).alias("n_tokens")))
+    out = written(old.tokens.join(ids, "chunk_id", "left_semi"), "out")
     kept = {n: t for n, t in version.tables.items() if n.rpartition("-")[0] in _PARTS}
-    return kept | _write_segment(path, name, numbers[-1] + 1, new, ids, df, sums)
+    return kept | _write_segment(spark, path, name, numbers[-1] + 1, new, ids, out)
 
 
 def save_patch(spark: SparkSession, path: str, added: DataFrame, removed: DataFrame, keep: int | None = None, most: int = SEGMENTS) -> str:
@@ -215,32 +219,30 @@ def scores(index: KeywordIndex, queries: DataFrame, k1: float = K1, b: float = B
     return hits.groupBy("query_id", "chunk_id", "page_id", "chunk_index").agg(F.sum(part).alias("score"))
 
 
-def _blocks(tokens: DataFrame) -> DataFrame:
-    """Chunks in blocks: their ids, dl, the block's own vocabulary, and entries (row, place of the token in it, tf) by row."""
-
-    def block(part: pa.Table) -> pa.RecordBatch:
-        lists = part.column("tokens").combine_chunks().fill_null([])
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        many = max(1, len(coded.dictionary))
-        pair, tf = np.unique(np.repeat(np.arange(len(part)), sizes) * many + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        numbers = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (sizes, pair // many, pair % many, tf)]
-        return pa.RecordBatch.from_arrays([*(one(part.column(c).combine_chunks()) for c in _CHUNK), one(coded.dictionary), *numbers], [*_CHUNK, "vocabulary", "dl", "row", "term", "tf"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
+def _block_of(part: pa.Table) -> pa.RecordBatch:
+    """Chunks as a block, one row: their ids, dl, the block's own vocabulary, and entries (row, place of the token in it, tf) by row."""
+    lists = part.column("tokens").combine_chunks().fill_null([])
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    many = max(1, len(coded.dictionary))
+    pair, tf = np.unique(np.repeat(np.arange(len(part)), sizes) * many + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    numbers = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (sizes, pair // many, pair % many, tf)]
+    return pa.RecordBatch.from_arrays([*(one(part.column(c).combine_chunks()) for c in _CHUNK), one(coded.dictionary), *numbers], [*_CHUNK, "vocabulary", "dl", "row", "term", "tf"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows in blocks of BLOCK, made and used within one Python process, so that it never holds more than one and a batch of rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for first in range(0, len(batch), BLOCK):
+            held.append(batch.slice(first, BLOCK))
             if sum(map(len, held)) >= BLOCK:
-                yield block(pa.Table.from_batches(held))
-                held.clear()
-        if sum(map(len, held)):
-            yield block(pa.Table.from_batches(held))
-
-    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
-    schema = ", ".join(f"{c} array<{kinds[c]}>" for c in _CHUNK) + ", vocabulary array<string>, dl binary, row binary, term binary, tf binary"
-    return tokens.select(*_CHUNK, "tokens").mapInArrow(run, schema)
+                whole = pa.Table.from_batches(held)
+                yield _block_of(whole.slice(0, BLOCK))
+                held = whole.slice(BLOCK).to_batches()
+    if sum(map(len, held)):
+        yield _block_of(pa.Table.from_batches(held))
 
 
 _CHUNK = ["chunk_id", "page_id", "chunk_index"]
@@ -259,6 +261,15 @@ class Asked:
         cuts = np.flatnonzero(np.diff(of[order])) + 1
         self.queries = list(zip(np.split(term[order], cuts), np.split(weight[order], cuts))) if len(of) else []
         self.best = [np.zeros(0) for _ in self.queries]
+        self.terms, self.lifts, self.starts = term[order], np.maximum(weight[order], 0), np.concatenate([[0], cuts]).astype(np.int64)
+        self.thresholds = np.full(len(self.queries), -np.inf)
+
+    def hopeful(self, most: np.ndarray) -> np.ndarray:
+        """The queries for which a block may hold something, by the most that each token adds to a score there."""
+        if not len(self.queries):
+            return np.zeros(0, np.int64)
+        bound = np.add.reduceat(self.lifts * most[self.terms], self.starts)
+        return np.flatnonzero((bound > 0) & (bound + SLACK >= self.thresholds))  # scores that aren't over 0 don't count
 
     def threshold(self, query: int) -> float:
         """The least score that can still be among the best."""
@@ -267,6 +278,7 @@ class Asked:
 
     def got(self, query: int, scores: np.ndarray) -> None:
         self.best[query] = np.sort(np.concatenate([self.best[query], scores]))[-self.candidates :]
+        self.thresholds[query] = self.threshold(query)
 
 
 class Postings:
@@ -339,26 +351,25 @@ def _block(batch: pa.RecordBatch, i: int, asked: Asked, avgdl: float, k1: float,
     return Postings(row, term, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl)), len(dl), len(asked.vocabulary))
 
 
-def _searched(blocks: DataFrame, rows: pa.Table, avgdl: float, candidates: int, k1: float, b: float) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+def _searched(tokens: DataFrame, rows: pa.Table, avgdl: float, candidates: int, k1: float, b: float) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
     query = rows.schema.field("query_id").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = Asked(rows, candidates)
-        for batch in batches:
-            for i in range(len(batch)):
-                entries = _block(batch, i, asked, avgdl, k1, b)
-                found = [(q, *entries.best(terms, weights, asked, q)) for q, (terms, weights) in enumerate(asked.queries)]
-                found = [f for f in found if len(f[1])]
-                if found:
-                    take = pa.array(np.concatenate([r for _, r, _ in found]))
-                    ids = asked.ids.take(pa.array(np.repeat([q for q, *_ in found], [len(r) for _, r, _ in found]))).cast(query)
-                    yield pa.RecordBatch.from_arrays([ids, *(batch.column(c)[i].values.take(take) for c in _CHUNK), pa.array(np.concatenate([s for *_, s in found]))], ["query_id", *_CHUNK, "score"])
+        for batch in _blocks(batches):
+            entries = _block(batch, 0, asked, avgdl, k1, b)
+            found = [(q, *entries.best(*asked.queries[q], asked, q)) for q in asked.hopeful(entries.most)]
+            found = [f for f in found if len(f[1])]
+            if found:
+                take = pa.array(np.concatenate([r for _, r, _ in found]))
+                ids = asked.ids.take(pa.array(np.repeat([q for q, *_ in found], [len(r) for _, r, _ in found]))).cast(query)
+                yield pa.RecordBatch.from_arrays([ids, *(batch.column(c)[0].values.take(take) for c in _CHUNK), pa.array(np.concatenate([s for *_, s in found]))], ["query_id", *_CHUNK, "score"])
 
     from pyspark.sql.pandas.types import from_arrow_type
 
-    schema = f"query_id {from_arrow_type(query).simpleString()}, " + ", ".join(f"{c} {kinds[c].removeprefix('array<')[:-1]}" for c in _CHUNK) + ", score double"
-    return blocks.mapInArrow(run, schema)
+    schema = f"query_id {from_arrow_type(query).simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in _CHUNK) + ", score double"
+    return tokens.select(*_CHUNK, "tokens").mapInArrow(run, schema)
 
 
 def search(index: KeywordIndex, queries: DataFrame, candidates: int = 20, k1: float = K1, b: float = B) -> DataFrame:
@@ -371,13 +382,12 @@ def search(index: KeywordIndex, queries: DataFrame, candidates: int = 20, k1: fl
     pass over the blocks, so what tasks hold of them is bounded. Runs Spark jobs when it is called.
     """
     corpus = index.corpus.first()
-    asked = query_tokens(queries).join(index.terms.select("token", "idf"), "token").select("query_id", "token", "qtf", "idf")
+    asked = written(query_tokens(queries).join(index.terms.select("token", "idf"), "token").select("query_id", "token", "qtf", "idf"), "asked")
     groups = max(1, -(-asked.count() // BROADCAST_ASKED))
-    blocks = _blocks(index.tokens)
     parts = []
     for g in range(groups):
         rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else asked).toArrow()
-        parts.append(_searched(blocks, rows, corpus.avgdl or 1.0, candidates, k1, b))
+        parts.append(_searched(index.tokens, rows, corpus.avgdl or 1.0, candidates, k1, b))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -614,7 +614,7 @@ CONTEXT = f"ctx AS (SELECT q.query_id, coalesce((SELECT string_agg(document, chr
 
 def _hits(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame:
     chunks = _chunks(spark, folder)
-    found = keyword_index.search(_index(chunks), questions).where("bm25_rank <= 3")
+    found = keyword_index.search(_index(chunks), questions, 3)
     return fusion.hydrated(found.select("query_id", "chunk_id", F.col("bm25_rank").alias("fused_rank")), chunks)
 
 
