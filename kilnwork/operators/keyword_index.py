@@ -63,13 +63,14 @@ def term_stats(frequencies: DataFrame, corpus: DataFrame, epsilon: float = EPSIL
     return raw.crossJoin(F.broadcast(average)).select("token", "df", F.when(F.col("raw") < 0, epsilon * F.col("average")).otherwise(F.col("raw")).alias("idf"))
 
 
-def _frequencies(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("token").agg(F.count("*").alias("df"))
+def _frequencies(tokens: DataFrame) -> DataFrame:
+    """(token, df) of a table of tokens; what a chunk repeats is dropped within its row, without sorting it."""
+    return tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
 def of_tokens(tokens: DataFrame) -> KeywordIndex:
     posted, corpus = postings(tokens), corpus_stats(tokens)
-    return KeywordIndex(tokens, posted, term_stats(_frequencies(posted), corpus), corpus)
+    return KeywordIndex(tokens, posted, term_stats(_frequencies(tokens), corpus), corpus)
 
 
 def build(chunks: DataFrame) -> KeywordIndex:
@@ -81,7 +82,7 @@ def stored(index: KeywordIndex) -> KeywordIndex:
     """The index with its tokens and terms written to the shared folder (Spark jobs), so that a search doesn't tokenise chunks again. Postings are counted within a row of tokens, so these aren't written a second time."""
     tokens = written(index.tokens, "tokens")
     posted, corpus = postings(tokens), written(corpus_stats(tokens), "corpus")
-    return KeywordIndex(tokens, posted, written(term_stats(_frequencies(posted), corpus), "terms"), corpus)
+    return KeywordIndex(tokens, posted, written(term_stats(_frequencies(tokens), corpus), "terms"), corpus)
 
 
 #: Segments of a stored index from which a patch merges them.
@@ -105,9 +106,9 @@ def _write_segment(spark: SparkSession, path: str, name: str, number: int, token
     """A segment's tables. The tokens are written first, and frequencies and sums counted from what is written, so that no chunk is tokenised twice; those of the tokens `out` are taken off."""
     made = {f"tokens-{number}": write_table(tokens, path, name, f"tokens-{number}")}
     new = made[f"tokens-{number}"].read(spark, path)
-    df, sums = _frequencies(postings(new)), _sums(new)
+    df, sums = _frequencies(new), _sums(new)
     if out is not None:
-        off = _frequencies(postings(out)).select("token", (-F.col("df")).alias("df"))
+        off = _frequencies(out).select("token", (-F.col("df")).alias("df"))
         df = df.unionByName(off).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
         sums = sums.unionByName(_sums(out).select((-F.col("n_chunks")).alias("n_chunks"), (-F.col("n_tokens")).alias("n_tokens")))
     return made | {f"{part}-{number}": write_table(rows, path, name, f"{part}-{number}") for part, rows in (("gone", gone), ("df", df), ("sums", sums))}
@@ -181,7 +182,7 @@ def load_to_patch(spark: SparkSession, path: str) -> KeywordIndex | None:
 
 def _patched(index: KeywordIndex, tokens: DataFrame, posted: DataFrame, delta: DataFrame, sign: int) -> KeywordIndex:
     """The index with new tokens and postings, and what follows from the changed chunks' tokens (delta) alone."""
-    changed = _frequencies(postings(delta)).select("token", (sign * F.col("df")).alias("df"))
+    changed = _frequencies(delta).select("token", (sign * F.col("df")).alias("df"))
     frequencies = index.terms.select("token", "df").unionByName(changed).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
     one = corpus_stats(delta).select((sign * F.col("n_chunks")).alias("n_chunks"), (sign * F.col("n_tokens")).alias("n_tokens"))
     corpus = _corpus(index.corpus.select("n_chunks", "n_tokens").unionByName(one).agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")))
@@ -206,17 +207,72 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
+#: Queries whose scores are held for a block at once.
+COLUMNS = 256
+
+
 def scores(index: KeywordIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, page_id, chunk_index, score) of all chunks that share a token with the query.
 
-    The asked tokens meet the terms first; postings then meet that small side,
-    which is broadcast if a count (a Spark job of its own) shows it to be small.
+    All of a chunk's tokens lie in its row, so its scores are summed where it lies, in
+    blocks, and nothing is shuffled but the chunks' ids, once, to see which ids more
+    than one row has. Those rows' postings are joined and summed by id. Queries are
+    taken in groups of some BROADCAST_ASKED tokens, as in `search`. Runs Spark jobs
+    when it is called.
     """
-    asked = query_tokens(queries).join(index.terms.select("token", "idf"), "token")
-    small = asked.limit(BROADCAST_ASKED + 1).count() <= BROADCAST_ASKED
-    hits = index.postings.join(F.broadcast(asked) if small else asked, "token").crossJoin(F.broadcast(index.corpus))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id", "page_id", "chunk_index").agg(F.sum(part).alias("score"))
+    corpus = index.corpus.first()
+    asked = written(query_tokens(queries).join(index.terms.select("token", "idf"), "token").select("query_id", "token", "qtf", "idf"), "asked")
+    repeated = written(index.tokens.groupBy(*_CHUNK).agg(F.count("*").alias("n")).where("n > 1").select(*_CHUNK), "repeated")
+    same = F.lit(True)
+    for c in _CHUNK:
+        same = same & F.col("t." + c).eqNullSafe(F.col("r." + c))
+    tokens, parts = index.tokens, []
+    if not repeated.isEmpty():
+        again = index.tokens.alias("t").join(repeated.alias("r"), same, "left_semi")
+        tokens = index.tokens.alias("t").join(repeated.alias("r"), same, "left_anti")
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        parts.append(postings(again).join(asked, "token").crossJoin(F.broadcast(index.corpus)).groupBy("query_id", *_CHUNK).agg(F.sum(part).alias("score")))
+    parts += [_scored(tokens, rows, corpus.avgdl or 1.0, k1, b) for rows in _groups(asked)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _groups(asked: DataFrame) -> list[pa.Table]:
+    """Asked tokens in groups of queries, each of some BROADCAST_ASKED tokens."""
+    groups = max(1, -(-asked.count() // BROADCAST_ASKED))
+    return [(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else asked).toArrow() for g in range(groups)]
+
+
+def _scored(tokens: DataFrame, rows: pa.Table, avgdl: float, k1: float, b: float) -> DataFrame:
+    """All scores of one group of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = Asked(rows, 1)
+        for batch in _blocks(batches):
+            entries = _block(batch, 0, asked, avgdl, k1, b)
+            many = len(entries.first) - 1
+            for first in range(0, len(asked.queries), COLUMNS):
+                some = asked.queries[first : first + COLUMNS]
+                total, met = np.zeros((len(some), many)), np.zeros((len(some), many), bool)
+                for q, (terms, weights) in enumerate(some):
+                    for t, w in zip(terms, weights):
+                        at = slice(entries.bounds[t], entries.bounds[t + 1])
+                        # A row has a token once, so no place is named twice.
+                        total[q, entries.rows[at]] += w * entries.parts[at]
+                        met[q, entries.rows[at]] = True
+                for part in range(0, len(some), 16):
+                    of, at = np.nonzero(met[part : part + 16])
+                    if len(of):
+                        ids = asked.ids.take(pa.array(of + part + first)).cast(rows.schema.field("query_id").type)
+                        yield pa.RecordBatch.from_arrays([ids, *(batch.column(c)[0].values.take(pa.array(at)) for c in _CHUNK), pa.array(total[of + part, at])], ["query_id", *_CHUNK, "score"])
+
+    return tokens.select(*_CHUNK, "tokens").mapInArrow(run, _found_schema(tokens, rows))
+
+
+def _found_schema(tokens: DataFrame, rows: pa.Table) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    return f"query_id {from_arrow_type(rows.schema.field('query_id').type).simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in _CHUNK) + ", score double"
 
 
 def _block_of(part: pa.Table) -> pa.RecordBatch:
@@ -288,7 +344,7 @@ class Postings:
         self.row, self.term, self.part, self.terms = row, term, part, terms
         self.first = np.searchsorted(row, np.arange(rows + 1))
         by_term = np.argsort(term, kind="stable")
-        self.rows = row[by_term]
+        self.rows, self.parts = row[by_term], part[by_term]
         self.bounds = np.searchsorted(term[by_term], np.arange(terms + 1))
         self.most = np.zeros(terms)
         np.maximum.at(self.most, term, part)
@@ -352,7 +408,6 @@ def _block(batch: pa.RecordBatch, i: int, asked: Asked, avgdl: float, k1: float,
 
 
 def _searched(tokens: DataFrame, rows: pa.Table, avgdl: float, candidates: int, k1: float, b: float) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in tokens.schema}
     query = rows.schema.field("query_id").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,10 +421,7 @@ def _searched(tokens: DataFrame, rows: pa.Table, avgdl: float, candidates: int,
                 ids = asked.ids.take(pa.array(np.repeat([q for q, *_ in found], [len(r) for _, r, _ in found]))).cast(query)
                 yield pa.RecordBatch.from_arrays([ids, *(batch.column(c)[0].values.take(take) for c in _CHUNK), pa.array(np.concatenate([s for *_, s in found]))], ["query_id", *_CHUNK, "score"])
 
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    schema = f"query_id {from_arrow_type(query).simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in _CHUNK) + ", score double"
-    return tokens.select(*_CHUNK, "tokens").mapInArrow(run, schema)
+    return tokens.select(*_CHUNK, "tokens").mapInArrow(run, _found_schema(tokens, rows))
 
 
 def search(index: KeywordIndex, queries: DataFrame, candidates: int = 20, k1: float = K1, b: float = B) -> DataFrame:
@@ -383,11 +435,7 @@ def search(index: KeywordIndex, queries: DataFrame, candidates: int = 20, k1: fl
     """
     corpus = index.corpus.first()
     asked = written(query_tokens(queries).join(index.terms.select("token", "idf"), "token").select("query_id", "token", "qtf", "idf"), "asked")
-    groups = max(1, -(-asked.count() // BROADCAST_ASKED))
-    parts = []
-    for g in range(groups):
-        rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else asked).toArrow()
-        parts.append(_searched(index.tokens, rows, corpus.avgdl or 1.0, candidates, k1, b))
+    parts = [_searched(index.tokens, rows, corpus.avgdl or 1.0, candidates, k1, b) for rows in _groups(asked)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
