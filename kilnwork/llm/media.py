@@ -106,25 +106,37 @@ def fingerprints(media: DataFrame, key: str, samples: str, rate: int = RATE) ->
 
 
 def _classes(prints: DataFrame, key: str) -> DataFrame:
-    """(name, fingerprint, copies, weak): equal fingerprints once, named by their least key."""
-    weak = F.min("weak") if "weak" in prints.columns else F.lit(None).cast("array<int>")
-    return prints.where(F.size("fingerprint") > 0).groupBy("fingerprint").agg(F.min(key).alias("name"), F.count("*").alias("copies"), weak.alias("weak"))
+    """(class, name, fingerprint, copies): equal fingerprints once, named by their least key; `class` tells them apart where names are null or the same."""
+    classes = prints.where(F.size("fingerprint") > 0).groupBy("fingerprint").agg(F.min(key).alias("name"), F.count("*").alias("copies"))
+    return classes.withColumn("class", F.monotonically_increasing_id())
 
 
-def _votes(asked: DataFrame, stored: DataFrame) -> DataFrame:
+def _weak(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, query_at, code): the integers with their least certain bit flipped of all recordings of each class. Equal fingerprints may have different ones, and each is looked for, once."""
+    both = prints.where(F.size("fingerprint") > 0).select("fingerprint", "weak").distinct().join(classes.select("fingerprint", "class"), "fingerprint")
+    return both.select("class", F.posexplode("weak").alias("query_at", "code")).distinct()
+
+
+def members(prints: DataFrame, key: str) -> DataFrame:
+    """(key, name): every recording, once a row, and the name of its class of equal fingerprints (as in `aligned`); null for one without a fingerprint, which is in no class."""
+    classes = prints.where(F.size("fingerprint") > 0).groupBy("fingerprint").agg(F.min(key).alias("name"))
+    return prints.select(key, "fingerprint").join(classes, "fingerprint", "left").select(key, "name")
+
+
+def _votes(asked: DataFrame, stored: DataFrame, weak: DataFrame | None) -> DataFrame:
     """(query, match, offset, votes): the histogram of offsets of recordings that have an integer in common.
 
     Integers that hold more than one in SHARE of all places (rests, held tones) are
     dealt over so many tasks that none has more than that share; of the queries'
     places with these there is then one row for each of their tasks.
     """
-    places = stored.select(F.col("name").alias("match"), F.posexplode("fingerprint").alias("at", "code"))
+    places = stored.select(F.col("class").alias("match"), F.posexplode("fingerprint").alias("at", "code"))
     counts = places.groupBy("code").agg(F.count("*").alias("n"))
     total = stored.agg(F.coalesce(F.sum(F.size("fingerprint")), F.lit(0))).first()[0]
     frequent = written(counts.where(F.col("n") * SHARE > total).select("code", F.ceil(F.col("n") * SHARE / total).cast("int").alias("parts")), "frequent")  # SHARE rows at most
     parts = lambda df: df.join(F.broadcast(frequent), "code", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    looked = asked.select(F.col("name").alias("query"), F.posexplode("fingerprint").alias("query_at", "code"))
-    looked = looked.union(asked.select("name", F.posexplode("weak")))
+    looked = asked.select(F.col("class").alias("query"), F.posexplode("fingerprint").alias("query_at", "code"))
+    looked = looked if weak is None else looked.union(weak)
     left = parts(looked).select("query", "query_at", "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = parts(places).select("match", "at", "code", F.pmod(F.xxhash64("match"), F.col("parts")).cast("int").alias("part"))
     return left.join(right, ["code", "part"]).groupBy("query", "match", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
@@ -136,20 +148,22 @@ def aligned(prints: DataFrame, queries: DataFrame, key: str, bit_error: float =
     `offset`: where in the match the query begins, in hops. Every recording is
     indexed; classes of equal fingerprints are compared once. A pair is looked at
     where an integer, or the query's with its least certain bit flipped (if there is a column `weak`), is
-    equal: at every such offset with `overlap` integers. Of those with at most
+    equal (recordings of one class may differ in `weak`; all of theirs are looked for): at every such offset with `overlap` integers. Of those with at most
     `bit_error` different bits the one with the least share (then the least offset)
     is returned. Empty fingerprints match nothing, so an empty table gives an empty
-    result; a null key is the name of a class only if no other key has it. Runs Spark
-    jobs when it is called: both sides' fingerprints are written once.
+    result; a null key is the name of a class only if no other key has it. `members` tells
+    which recordings a class has. Runs Spark jobs when it is called: both sides' classes
+    are written once.
     """
     stored, asked = written(_classes(prints, key), "recordings"), written(_classes(queries, key), "queries")
-    sizes = lambda df, name, n: df.select(F.col("name").alias(name), F.size("fingerprint").alias(n))
-    votes = _votes(asked, stored).join(sizes(asked, "query", "n_a"), "query").join(sizes(stored, "match", "n_b"), "match")
+    weak = written(_weak(queries, asked), "weak") if "weak" in queries.columns else None
+    sizes = lambda df, name, n: df.select(F.col("class").alias(name), F.size("fingerprint").alias(n))
+    votes = _votes(asked, stored, weak).join(sizes(asked, "query", "n_a"), "query").join(sizes(stored, "match", "n_b"), "match")
     from_a, from_b = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     some = votes.withColumn("from_a", from_a).withColumn("from_b", from_b).withColumn("overlap", F.least(F.col("n_a") - from_a, F.col("n_b") - from_b)).where(F.col("overlap") >= overlap)
     offsets = some.groupBy("query", "match").agg(F.collect_list(F.struct("offset", "votes", "from_a", "from_b", "overlap")).alias("offsets"))
-    pairs = offsets.join(asked.select(F.col("name").alias("query"), F.col("fingerprint").alias("a"), F.col("copies").alias("query_copies")), "query").join(
-        stored.select(F.col("name").alias("match"), F.col("fingerprint").alias("b"), F.col("copies").alias("match_copies")), "match"
+    pairs = offsets.join(asked.select(F.col("class").alias("query"), F.col("name").alias("query_name"), F.col("fingerprint").alias("a"), F.col("copies").alias("query_copies")), "query").join(
+        stored.select(F.col("class").alias("match"), F.col("name").alias("match_name"), F.col("fingerprint").alias("b"), F.col("copies").alias("match_copies")), "match"
     )
 
     def checked(o):
@@ -157,7 +171,7 @@ def aligned(prints: DataFrame, queries: DataFrame, key: str, bit_error: float =
         wrong = F.aggregate(F.zip_with(part("a", o["from_a"]), part("b", o["from_b"]), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(0xFFFFFFFF))), F.lit(0), lambda s, x: s + x)
         return F.struct((wrong / (o["overlap"] * 32.0)).alias("bit_error"), o["offset"].alias("offset"), o["votes"].alias("votes"), o["overlap"].alias("overlap"))
 
-    best = pairs.select("query", "match", "query_copies", "match_copies", F.array_min(F.transform("offsets", checked)).alias("best")).where(F.col("best.bit_error") <= bit_error)
+    best = pairs.select(F.col("query_name").alias("query"), F.col("match_name").alias("match"), "query_copies", "match_copies", F.array_min(F.transform("offsets", checked)).alias("best")).where(F.col("best.bit_error") <= bit_error)
     return best.select("query", "match", "query_copies", "match_copies", "best.offset", "best.votes", "best.overlap", "best.bit_error")
 
 

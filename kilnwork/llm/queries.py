@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexical, license_scan, lz_dedup, media, ngram_join, packing, pii, quality_classifier, quality_rules, repair, sentencepiece, sharding, suffix_dedup
+from .common import written
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,11 +39,20 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, folder: str) -> DataFrame:
-    """Noisy excerpts of every fiftieth recording, aligned with all recordings; the recordings are made from the vectors."""
+    """Noisy excerpts of every fiftieth recording, aligned with all recordings; the recordings are made from the vectors.
+
+    Rows of the kind "match" are pairs of classes of equal fingerprints. Those of the
+    kinds "recording" and "excerpt" are membership, a row for each: its id, and as
+    `match` or `query` the class that it is in (null without a fingerprint).
+    """
     vectors = _table(spark, folder, "embeddings")
     stored = media.fingerprints(media.melodies(vectors, "vec_id", "embedding"), "vec_id", "samples")
     asked = media.fingerprints(media.melodies(vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", excerpt=True), "vec_id", "samples")
-    return media.aligned(stored, asked, "vec_id")
+    stored, asked = written(stored, "stored"), written(asked, "asked")
+    pairs = media.aligned(stored, asked, "vec_id").withColumn("kind", F.lit("match"))
+    for kind, prints, name in (("recording", stored, "match"), ("excerpt", asked, "query")):
+        pairs = pairs.unionByName(media.members(prints, "vec_id").withColumnRenamed("name", name).withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    return pairs
 
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
