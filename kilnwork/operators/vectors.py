@@ -149,6 +149,55 @@ def _compared(pairs: DataFrame, kinds: dict[str, str], candidates: int) -> DataF
     return pairs.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in _NAMES) + ", distance double")
 
 
+def _rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """A task's rows, `most` at a time, so that it never holds more than these and a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for first in range(0, len(batch), most):
+            held.append(batch.slice(first, most))
+            if sum(map(len, held)) >= most:
+                whole = pa.Table.from_batches(held)
+                yield whole.slice(0, most)
+                held = whole.slice(most).to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held)
+
+
+def _found(ids: pa.Array, q: np.ndarray, part: pa.Table, candidates: int) -> pa.RecordBatch:
+    """The best of these rows for each query."""
+    column = lambda n: part.column(n).combine_chunks()
+    which, place, distance = _best(q, _matrix(column("embedding")), *(column(n).to_numpy(zero_copy_only=False) for n in ("page_id", "chunk_index")), candidates)
+    take = pa.array(place)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *(column(n).take(take) for n in _NAMES[1:]), pa.array(distance)], [*_NAMES, "distance"])
+
+
+def _found_schema(kinds: dict[str, str]) -> str:
+    return ", ".join(f"{n} {kinds[n]}" for n in _NAMES) + ", distance double"
+
+
+def _led(leaders: DataFrame, rows: DataFrame, lead: Callable, use: Callable, schema: str) -> DataFrame:
+    """use(lead(leaders of a cell), rows of it), some rows at a time. Each cell's leaders come before its rows in one sorted partition, so a task holds one cell's leaders and one batch of plain rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, state = None, [], None
+        for batch in batches:
+            cell, follows = batch.column("cell").to_numpy(), batch.column("follows").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(follows) != 0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if not follows[a]:
+                    if cell[a] != current:
+                        current, held, state = cell[a], [], None
+                    held.append(batch.slice(a, b - a))
+                elif cell[a] == current:
+                    state = lead(pa.Table.from_batches(held)) if state is None else state
+                    yield use(state, pa.Table.from_batches([batch.slice(a, b - a)]))
+
+    both = leaders.withColumn("follows", F.lit(0)).unionByName(rows.withColumn("follows", F.lit(1)), allowMissingColumns=True)
+    return both.repartition("cell").sortWithinPartitions("cell", "follows").mapInArrow(run, schema)
+
+
 def _ranked(found: DataFrame, candidates: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.round("distance", RANKED), "page_id", "chunk_index")
     return found.withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= candidates)
@@ -159,13 +208,26 @@ def nearest(chunks: DataFrame, queries: DataFrame, candidates: int = 20) -> Data
 
     Blocks of queries meet all blocks of chunks (the exact answer needs every pair);
     each pair of blocks yields at most `candidates` rows a query, and a window picks
-    the best of all. The query blocks are written and weighed when this is called,
-    and broadcast if they are small. For many queries over many chunks see `nearest_probed`.
+    the best of all. The queries are written and weighed when this is called; if they
+    are small (BROADCAST_BYTES), each task has them and passes over its chunks a block
+    at a time, so that it holds one block however many there are. For many queries over many chunks see `nearest_probed`.
     """
-    asked, stored = written(_blocks(queries, ["query_id"], "q_"), "queries"), _blocks(chunks, _NAMES[1:], "c_")
-    weight = asked.agg(F.coalesce(F.sum(F.length("q_matrix")), F.lit(0))).first()[0]
     kinds = {f.name: f.dataType.simpleString() for f in (*chunks.schema, *queries.schema)}
-    pairs = stored.crossJoin(F.broadcast(asked) if weight <= BROADCAST_BYTES else asked)
+    asked = written(queries.where("embedding is not null").select("query_id", "embedding"), "queries")
+    weight = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()[0]
+    if weight <= BROADCAST_BYTES:
+        rows = asked.toArrow()
+        ids = rows.column("query_id").combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(ids):
+                q = _matrix(rows.column("embedding").combine_chunks())
+                for part in _rows(batches, BLOCK):
+                    yield _found(ids, q, part, candidates)
+
+        found = chunks.select(*_NAMES[1:], "embedding").where("embedding is not null").mapInArrow(run, _found_schema(kinds))
+        return _ranked(found, candidates)
+    pairs = _blocks(chunks, _NAMES[1:], "c_").crossJoin(_blocks(asked, ["query_id"], "q_"))
     return _ranked(_compared(pairs, kinds, candidates), candidates)
 
 
@@ -409,15 +471,20 @@ def _cell_blocks(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
 
 @dataclass
 class CellTree:
-    """Vectors in leaves of cells. centres: of the first level, at most CELLS; leaves(cell, first, centres): of each cell, `first` being the number of its first leaf; placed(chunk_id, page_id, chunk_index, embedding, leaf): every vector; keys(leaf, salts): over how many keys a leaf is dealt; blocks: the vectors by key; rows: how many vectors."""
+    """Vectors in leaves of cells. centres: of the first level, at most CELLS; leaves(cell, first, centres): of each cell, `first` being the number of its first leaf; placed(chunk_id, page_id, chunk_index, embedding, leaf): every vector; keys(leaf, salts): over how many keys a leaf is dealt; dealt(cell, chunk_id, page_id, chunk_index, embedding): the vectors by key; rows: how many vectors."""
 
     centres: np.ndarray
     leaves: DataFrame
     placed: DataFrame
     keys: DataFrame
-    blocks: DataFrame
+    dealt: DataFrame
     rows: int
 
+    @property
+    def blocks(self) -> DataFrame:
+        """The vectors of each key in blocks."""
+        return _cell_blocks(self.dealt.repartition("cell"), _NAMES[1:], "c_")
+
 
 def cell_tree(chunks: DataFrame, leaf: int | None = None) -> CellTree | None:
     """Every vector of chunks(chunk_id, page_id, chunk_index, embedding) in a leaf, of which there are as many as the table asks for; None without vectors.
@@ -449,22 +516,21 @@ def cell_tree(chunks: DataFrame, leaf: int | None = None) -> CellTree | None:
 
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                lists = [row["c_" + n].values for n in _NAMES[1:]]
-                x = np.frombuffer(row["c_matrix"].as_buffer()).reshape(len(lists[0]), -1)
-                at = _nearest_cells(x, np.frombuffer(row["centres"].as_buffer()).reshape(-1, x.shape[1]), 1)[:, 0]
-                embedding = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*lists, embedding, pa.array(at + row["first"].as_py())], [*_NAMES[1:], "embedding", "leaf"])
+    def fitted(cell: pa.Table) -> tuple[int, np.ndarray]:
+        return cell.column("first")[0].as_py(), np.frombuffer(cell.column("centres")[0].as_buffer())
+
+    def place(state: tuple[int, np.ndarray], part: pa.Table) -> pa.RecordBatch:
+        x = _matrix(part.column("embedding").combine_chunks())
+        at = _nearest_cells(x, state[1].reshape(-1, x.shape[1]), 1)[:, 0]
+        embedding = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+        return pa.RecordBatch.from_arrays([*(part.column(n).combine_chunks() for n in _NAMES[1:]), embedding, pa.array(at + state[0])], [*_NAMES[1:], "embedding", "leaf"])
 
     schema = ", ".join(f"{n} {kinds[n]}" for n in _NAMES[1:]) + ", embedding array<double>, leaf long"
-    placed = written(_cell_blocks(celled, _NAMES[1:], "c_").join(leaves, "cell").mapInArrow(place, schema), "placed")
+    placed = written(_led(leaves, celled, fitted, place, schema), "placed")
     keys = written(placed.groupBy("leaf").agg(F.ceil(F.count("*") / (BLOCK * BLOCKS_A_KEY)).cast("int").alias("salts")), "keys")
     salted = placed.join(keys, "leaf").withColumn("cell", _key(F.col("leaf"), F.pmod(F.xxhash64("chunk_id"), F.col("salts"))))
-    blocks = written(_cell_blocks(salted.repartition("cell"), _NAMES[1:], "c_"), "blocks")
-    return CellTree(centres, leaves, placed, keys, blocks, rows)
+    dealt = written(salted.select("cell", *_NAMES[1:], "embedding"), "dealt")
+    return CellTree(centres, leaves, placed, keys, dealt, rows)
 
 
 def _key(leaf: Column, salt: Column) -> Column:
@@ -519,8 +585,9 @@ def nearest_probed(chunks: DataFrame, queries: DataFrame, candidates: int = 20,
     The tree is built, or given (kept with a store). How many leaves are looked into is
     given, or measured on some of these queries (`leaves_to_probe`), so that recall
     doesn't rest on what vectors are like: where they lie in clusters a few leaves do,
-    where they don't most of them are read. Queries meet the blocks of their leaves by
-    an equi-join; no key holds more than BLOCKS_A_KEY full blocks. With all leaves the
+    where they don't most of them are read. A key's queries and then
+    its vectors come to one task as sorted rows; it holds the queries of one key (so their number
+    is what its memory grows with) and a batch of vectors, and no key has more than some BLOCKS_A_KEY full blocks. With all leaves the
     result is exact. Query ids must be distinct.
     """
     tree = tree or cell_tree(chunks)
@@ -533,5 +600,12 @@ def nearest_probed(chunks: DataFrame, queries: DataFrame, candidates: int = 20,
     kinds = {f.name: f.dataType.simpleString() for f in (*tree.placed.schema, *queries.schema)}
     probes = _leaves(tree, queries, leaves, cells).join(tree.keys, "leaf")
     probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("query_id", _key(F.col("leaf"), F.col("salt")).alias("cell"))
-    asked = _cell_blocks(probes.join(queries, "query_id").repartition("cell"), ["query_id"], "q_")
-    return _ranked(_compared(tree.blocks.join(asked, "cell"), kinds, candidates), candidates)
+    asked = probes.join(queries.withColumn("embedding", F.col("embedding").cast("array<double>")), "query_id").select("cell", "query_id", "embedding")
+
+    def queries_of(cell: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        return cell.column("query_id").combine_chunks(), _matrix(cell.column("embedding").combine_chunks())
+
+    def best(state: tuple[pa.Array, np.ndarray], part: pa.Table) -> pa.RecordBatch:
+        return _found(*state, part, candidates)
+
+    return _ranked(_led(asked, tree.dealt, queries_of, best, _found_schema(kinds)), candidates)
