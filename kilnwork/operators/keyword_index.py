@@ -256,8 +256,8 @@ def _scored(tokens: DataFrame, rows: pa.Table, avgdl: float, k1: float, b: float
                 for q, (terms, weights) in enumerate(some):
                     for t, w in zip(terms, weights):
                         at = slice(entries.bounds[t], entries.bounds[t + 1])
-                        # A row has a token once, so no place is named twice.
-                        total[q, entries.rows[at]] += w * entries.parts[at]
+                        # A row has a token once, so no place is named twice; factors in the SQL's order.
+                        total[q, entries.rows[at]] += w * entries.tf[at] * (k1 + 1) / entries.norm[at]
                         met[q, entries.rows[at]] = True
                 for part in range(0, len(some), 16):
                     of, at = np.nonzero(met[part : part + 16])
@@ -344,7 +344,7 @@ class Postings:
         self.row, self.term, self.part, self.terms = row, term, part, terms
         self.first = np.searchsorted(row, np.arange(rows + 1))
         by_term = np.argsort(term, kind="stable")
-        self.rows, self.parts = row[by_term], part[by_term]
+        self.rows, self.order = row[by_term], by_term
         self.bounds = np.searchsorted(term[by_term], np.arange(terms + 1))
         self.most = np.zeros(terms)
         np.maximum.at(self.most, term, part)
@@ -404,7 +404,10 @@ def _block(batch: pa.RecordBatch, i: int, asked: Asked, avgdl: float, k1: float,
     place = pc.index_in(batch.column("vocabulary")[i].values, asked.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
     known = place[term] >= 0 if len(term) else np.zeros(0, bool)
     row, term, tf = row[known], place[term[known]], tf[known]
-    return Postings(row, term, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl)), len(dl), len(asked.vocabulary))
+    norm = tf + k1 * (1 - b + b * dl[row] / avgdl)
+    made = Postings(row, term, tf * (k1 + 1) / norm, len(dl), len(asked.vocabulary))
+    made.tf, made.norm = tf[made.order], norm[made.order]
+    return made
 
 
 def _searched(tokens: DataFrame, rows: pa.Table, avgdl: float, candidates: int, k1: float, b: float) -> DataFrame:
