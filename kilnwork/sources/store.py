@@ -22,11 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import file_system
+from .shared import SMALL, file_system, written
 
 POINTER, MANIFEST = "current.txt", "manifest.json"
 #: Buckets of a chunk table by page.
 BUCKETS = 64
+#: Files a bucket from which small ones are merged.
+MERGED = 8
+#: Page ids that are broadcast to the chunks.
+BROADCAST_PAGES = 1_000_000
 
 
 class DamagedStore(RuntimeError):
@@ -146,14 +150,15 @@ def current(spark: SparkSession, path: str) -> Version | None:
     return version
 
 
-def write_table(df: DataFrame, path: str, version: str, name: str, by: Column | None = None, order: tuple[str, ...] = ()) -> Table:
-    """Write a table for a version to come. With `by` (an int), rows of equal values of it lie in folders and files of their own, in `order`."""
+def write_table(df: DataFrame, path: str, version: str, name: str, by: Column | None = None, order: tuple[str, ...] = (), deal: bool = True) -> Table:
+    """Write a table for a version to come. With `by` (an int), rows of equal values of it lie in folders and files of their own, in `order`; without `deal` each task writes the rows that it has, into files of its own."""
     spark = df.sparkSession
     if by is None:
         df.write.parquet(f"{path}/{version}/{name}")
         folders = [f"{version}/{name}"]
     else:
-        dealt = df.withColumn("bucket", by).repartition("bucket").sortWithinPartitions("bucket", *order)
+        dealt = df.withColumn("bucket", by)
+        dealt = (dealt.repartition("bucket") if deal else dealt).sortWithinPartitions("bucket", *order)
         dealt.write.partitionBy("bucket").parquet(f"{path}/{version}/{name}")
         _, at, fs = file_system(spark, f"{path}/{version}/{name}")
         folders = [f"{version}/{name}/{s.getPath().getName()}" for s in fs.listStatus(at) if s.isDirectory()]
@@ -246,27 +251,42 @@ def _bucket_of(file: str) -> int:
     return int(file.split("/")[-2].removeprefix("bucket="))
 
 
+def by_pages(chunks: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Chunks joined (left_semi, left_anti) with distinct page ids, which are counted: up to BROADCAST_PAGES are broadcast, so that the chunks stay where they lie; more are joined as Spark sees fit."""
+    return chunks.join(F.broadcast(ids) if ids.count() <= BROADCAST_PAGES else ids, "page_id", how)
+
+
 def chunks_of(spark: SparkSession, path: str, pages: DataFrame, table: str = "chunks") -> DataFrame:
-    """The stored chunks of these pages (page_id): only their buckets' files are read, and rows lie there by page, so that row groups of other pages are skipped where few pages are asked for. Collects the buckets' numbers, and up to 1,000 page ids."""
+    """The stored chunks of these pages (page_id): only their buckets' files are read, and rows lie there by page, so that row groups of other pages are skipped where few pages are asked for. Writes the page ids to the shared folder and collects the buckets' numbers, and up to 1,000 page ids."""
     version = current(spark, path)
     if version is None:
         raise DamagedStore(f"nothing is stored under {path}")
-    wanted = pages.where("page_id is not null").select("page_id").distinct()
+    wanted = written(pages.where("page_id is not null").select("page_id").distinct(), "wanted")
     of = {r[0] for r in wanted.select(bucket(F.col("page_id"), version.notes["buckets"])).distinct().collect()}
     stored = version.tables[table].read(spark, path, [f for f in version.tables[table].files if _bucket_of(f) in of])
     few = [r[0] for r in wanted.limit(1001).collect()]
     if len(few) <= 1000:
         return stored.where(F.col("page_id").isin(few))
-    return stored.join(wanted, "page_id", "left_semi")
+    return by_pages(stored, wanted, "left_semi")
 
 
-def replace_buckets(spark: SparkSession, path: str, version: Version | None, name: str, table: str, of: set[int], rows: DataFrame, buckets: int) -> Table:
-    """A table whose buckets `of` are these rows, and whose other buckets are the files that the version has."""
-    new = write_table(rows, path, name, table, bucket(F.col("page_id"), buckets), ("page_id", "chunk_index"))
+def replace_buckets(spark: SparkSession, path: str, version: Version | None, name: str, table: str, of: set[int], kept: DataFrame, new: DataFrame, buckets: int) -> Table:
+    """A table whose buckets `of` are the rows `kept` of what lies there and the rows `new`, and whose other buckets are the files that the version has.
+
+    Kept rows are written by the tasks that read them, into files beside the new rows', so
+    that they aren't shuffled. If the buckets hold little, or many small files, kept and
+    new rows are dealt together, and each bucket is one file again.
+    """
+    at, order = bucket(F.col("page_id"), buckets), ("page_id", "chunk_index")
     if version is None or table not in version.tables:
-        return new
+        return write_table(new, path, name, table, at, order)
     old = version.tables[table]
-    kept = {f: n for f, n in old.files.items() if _bucket_of(f) not in of}
-    out = Table(new.schema, 0, {**kept, **new.files})
+    sizes = [n for f, n in old.files.items() if _bucket_of(f) in of]
+    if sum(sizes) <= SMALL or (len(sizes) >= MERGED * len(of) and sum(sizes) <= SMALL * len(sizes)):
+        made = write_table(kept.unionByName(new), path, name, table, at, order)
+    else:
+        made = write_table(kept.unionByName(new.repartition(at)), path, name, table, at, order, deal=False)
+    others = {f: n for f, n in old.files.items() if _bucket_of(f) not in of}
+    out = Table(made.schema, 0, {**others, **made.files})
     out.rows = out.read(spark, path).count()
     return out
