@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, counts, tokenize
-from ..sources.shared import spread, written
+from ..sources.shared import merged, spread, written
 
 DIMENSIONS = 64
 RANKED = 9
@@ -352,7 +352,7 @@ def _candidates(ours: DataFrame, theirs: DataFrame, dot: float, size: int) -> Da
     limit = dot * dot - 10 * _SLACK
     keyed = lambda df: df.select("vector", "embedding").mapInArrow(_kept_keys(1 - limit, size), "vector long, key long, kept double")
     asked = keyed(ours).select(F.col("vector").alias("asked"), "key", F.col("kept").alias("own"))
-    pairs = asked.join(keyed(theirs), "key").where(F.col("own") * F.col("kept") >= limit).select("asked", "vector")
+    pairs = merged(asked, keyed(theirs), "key").where(F.col("own") * F.col("kept") >= limit).select("asked", "vector")
     long = lambda df, name: written(df.select("vector", "embedding").mapInArrow(_long(1 - limit), "vector long, embedding array<double>"), name)
     our_long, their_long = long(ours, "long"), long(theirs, "long")
     sides = [(a, b) for some, a, b in ((our_long, our_long, theirs), (their_long, ours, their_long)) if not some.isEmpty()]
@@ -362,7 +362,7 @@ def _candidates(ours: DataFrame, theirs: DataFrame, dot: float, size: int) -> Da
         run = _shared_keys(sorted(range(size), key=lambda d: (often.get(d, 0), d)), dot)
         shared = lambda df: df.select("vector", "embedding").mapInArrow(run, "vector long, embedding array<double>, norm double, key long").select("vector", "key")
         for a, b in sides:
-            pairs = pairs.union(shared(a).withColumnRenamed("vector", "asked").join(shared(b), "key").select("asked", "vector"))
+            pairs = pairs.union(merged(shared(a).withColumnRenamed("vector", "asked"), shared(b), "key").select("asked", "vector"))
     return pairs.distinct()
 
 
@@ -374,16 +374,17 @@ def nearest_within(chunks: DataFrame, queries: DataFrame, threshold: float, cand
     within the threshold share (see `_candidates`), and the distance decides. Other
     vectors (dense ones of a model, say, or those not of unit length) are compared by
     `nearest`. Runs Spark jobs when it is called, and writes both sides' embeddings (so
-    that none is made twice), the distinct vectors and the pairs within the threshold
-    to the shared folder.
+    that none is made twice), the distinct vectors (with their chunks) and the pairs
+    within the threshold to the shared folder. None of these is broadcast.
     """
     whole = lambda df: df.where("embedding is not null").withColumn("embedding", F.col("embedding").cast("array<double>"))
     stored, asked = written(whole(chunks.select(*_NAMES[1:], "embedding")), "chunks"), written(whole(queries.select("query_id", "embedding")), "queries")
     first = Window.partitionBy("embedding").orderBy("page_id", "chunk_index", "chunk_id")
     members = stored.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= candidates).drop("nth")
-    distinct = lambda df, name: written(df.select("embedding").distinct().withColumn("vector", F.monotonically_increasing_id()), name)
-    theirs, ours = distinct(members, "vectors"), distinct(asked, "asked")
-    both = theirs.unionByName(ours)
+    held = members.groupBy("embedding").agg(F.collect_list(F.struct(*_NAMES[1:])).alias("members"))  # `candidates` each at most
+    numbered = lambda df, name: written(df.withColumn("vector", F.monotonically_increasing_id()), name)
+    theirs, ours = numbered(held, "vectors"), numbered(asked.select("embedding").distinct(), "asked")
+    both = theirs.drop("members").unionByName(ours)
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     entries = F.size(F.filter("embedding", lambda x: x != 0))
     odd = F.count_if(~((F.abs(norm - 1) < _SLACK) | (norm == 0)) | norm.isNull())
@@ -394,14 +395,15 @@ def nearest_within(chunks: DataFrame, queries: DataFrame, threshold: float, cand
     # The distance by the product over the few entries that aren't 0.
     sparse = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda e: e["x"] != 0)
     pairs = _candidates(spread(ours), spread(theirs), dot, about.size)
-    pairs = pairs.join(ours.select(F.col("vector").alias("asked"), sparse.alias("entries"), norm.alias("own")), "asked").join(theirs.select("vector", "embedding", norm.alias("norm")), "vector")
+    pairs = merged(pairs, ours.select(F.col("vector").alias("asked"), sparse.alias("entries"), norm.alias("own")), "asked")
+    pairs = merged(pairs, theirs.select("vector", "embedding", norm.alias("norm")), "vector")
     product = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["x"] * F.get(F.col("embedding"), e["at"]))
     near = pairs.select("asked", "vector", F.greatest(F.lit(0.0), F.col("own") + F.col("norm") - 2 * product).alias("distance"))
     near = written(near.where(F.round("distance", RANKED) <= threshold), "near")
-    named = near.join(members.join(theirs, "embedding").select("vector", *_NAMES[1:]), "vector")
+    named = merged(near, theirs.select("vector", F.inline("members")), "vector")
     best = Window.partitionBy("asked").orderBy(F.round("distance", RANKED), "page_id", "chunk_index")
     ranked = named.withColumn("vec_rank", F.row_number().over(best)).where(F.col("vec_rank") <= candidates)
-    found = asked.join(ours, "embedding").select("query_id", F.col("vector").alias("asked")).join(ranked, "asked")
+    found = merged(merged(asked, ours, "embedding").select("query_id", F.col("vector").alias("asked")), ranked, "asked")
     return found.select(*_NAMES, "distance", "vec_rank")
 
 

@@ -61,3 +61,8 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table dealt over all cores: tasks can't share a row group, and a small table may have a single one. Filters and columns still reach the scan. A table that isn't small is left as it is."""
     bytes_ = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if bytes_ <= SMALL else df
+
+
+def merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined with right, both sorted and never broadcast. The size of a written table is guessed by its compressed files: one of sparse embeddings has fifty times as much in memory, and a broadcast goes through the driver's."""
+    return left.join(right.hint("merge"), on, how)
