@@ -21,10 +21,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RANKED = 9
 #: Asked tokens (rows of query, token, count and idf) that are broadcast; more are joined without, or searched in groups of queries.
 BROADCAST_ASKED = 200_000
-#: Chunks of a block that is searched as one.
-BLOCK = 4096
+#: Chunks of a block that is scored as one. A search's blocks have WIDE times as many, and its groups of queries WIDE times as many tokens: each query's work in a block has fixed costs, and each group makes the blocks again.
+BLOCK, WIDE = 4096, 8
 #: What rounding may add to a sum of bounds.
 SLACK = 1e-6
+#: Share of the bounds by which sums of single precision may be off.
+ROUGH = 4e-5
+#: Tokens of a block whose part of a score is a matrix product, at most; a token is worth it if that share of all pairs of query and chunk has it. Queries of one product.
+COMMON, WORTH, TOGETHER = 64, 1 / 128, 64
 
 
 @dataclass
@@ -232,13 +236,13 @@ def scores(index: KeywordIndex, queries: DataFrame, k1: float = K1, b: float = B
         tokens = index.tokens.alias("t").join(repeated.alias("r"), same, "left_anti")
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         parts.append(postings(again).join(asked, "token").crossJoin(F.broadcast(index.corpus)).groupBy("query_id", *_CHUNK).agg(F.sum(part).alias("score")))
-    parts += [_scored(tokens, rows, corpus.avgdl or 1.0, k1, b) for rows in _groups(asked)]
+    parts += [_scored(tokens, rows, corpus.avgdl or 1.0, k1, b) for rows in _groups(asked, BROADCAST_ASKED)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _groups(asked: DataFrame) -> list[pa.Table]:
-    """Asked tokens in groups of queries, each of some BROADCAST_ASKED tokens."""
-    groups = max(1, -(-asked.count() // BROADCAST_ASKED))
+def _groups(asked: DataFrame, most: int) -> list[pa.Table]:
+    """Asked tokens in groups of queries, each of some `most` tokens."""
+    groups = max(1, -(-asked.count() // most))
     return [(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else asked).toArrow() for g in range(groups)]
 
 
@@ -249,7 +253,7 @@ def _scored(tokens: DataFrame, rows: pa.Table, avgdl: float, k1: float, b: float
         asked = Asked(rows, 1)
         for batch in _blocks(batches):
             entries = _block(batch, 0, asked, avgdl, k1, b)
-            many = len(entries.first) - 1
+            many, tf, norm = entries.many, entries.tf[entries.order], entries.norm[entries.order]
             for first in range(0, len(asked.queries), COLUMNS):
                 some = asked.queries[first : first + COLUMNS]
                 total, met = np.zeros((len(some), many)), np.zeros((len(some), many), bool)
@@ -257,7 +261,7 @@ def _scored(tokens: DataFrame, rows: pa.Table, avgdl: float, k1: float, b: float
                     for t, w in zip(terms, weights):
                         at = slice(entries.bounds[t], entries.bounds[t + 1])
                         # A row has a token once, so no place is named twice; factors in the SQL's order.
-                        total[q, entries.rows[at]] += w * entries.tf[at] * (k1 + 1) / entries.norm[at]
+                        total[q, entries.rows[at]] += w * tf[at] * (k1 + 1) / norm[at]
                         met[q, entries.rows[at]] = True
                 for part in range(0, len(some), 16):
                     of, at = np.nonzero(met[part : part + 16])
@@ -287,16 +291,17 @@ def _block_of(part: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(one(part.column(c).combine_chunks()) for c in _CHUNK), one(coded.dictionary), *numbers], [*_CHUNK, "vocabulary", "dl", "row", "term", "tf"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows in blocks of BLOCK, made and used within one Python process, so that it never holds more than one and a batch of rows."""
+def _blocks(batches: Iterator[pa.RecordBatch], wide: int = 1) -> Iterator[pa.RecordBatch]:
+    """A task's rows in blocks of `wide` times BLOCK, made and used within one Python process, so that it never holds more than one and a batch of rows."""
+    most = wide * BLOCK
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        for first in range(0, len(batch), BLOCK):
-            held.append(batch.slice(first, BLOCK))
-            if sum(map(len, held)) >= BLOCK:
+        for first in range(0, len(batch), most):
+            held.append(batch.slice(first, most))
+            if sum(map(len, held)) >= most:
                 whole = pa.Table.from_batches(held)
-                yield _block_of(whole.slice(0, BLOCK))
-                held = whole.slice(BLOCK).to_batches()
+                yield _block_of(whole.slice(0, most))
+                held = whole.slice(most).to_batches()
     if sum(map(len, held)):
         yield _block_of(pa.Table.from_batches(held))
 
@@ -319,6 +324,17 @@ class Asked:
         self.best = [np.zeros(0) for _ in self.queries]
         self.terms, self.lifts, self.starts = term[order], np.maximum(weight[order], 0), np.concatenate([[0], cuts]).astype(np.int64)
         self.thresholds = np.full(len(self.queries), -np.inf)
+        self.weights, self.of = weight[order], of[order]
+        self.often = np.bincount(term, minlength=len(self.vocabulary))
+
+    def matrix(self, tokens: np.ndarray) -> np.ndarray:
+        """The weights of these tokens, a row a query."""
+        place = np.full(len(self.vocabulary), -1)
+        place[tokens] = np.arange(len(tokens))
+        at = np.flatnonzero(place[self.terms] >= 0)
+        made = np.zeros((len(self.queries), len(tokens)), np.float32)
+        made[self.of[at], place[self.terms[at]]] = self.weights[at]
+        return made
 
     def hopeful(self, most: np.ndarray) -> np.ndarray:
         """The queries for which a block may hold something, by the most that each token adds to a score there."""
@@ -341,14 +357,14 @@ class Postings:
     """A block's entries that some query asks for: what each adds to a score before its weight, by row and by token, and the most that a token adds here."""
 
     def __init__(self, row: np.ndarray, term: np.ndarray, part: np.ndarray, rows: int, terms: int):
-        self.row, self.term, self.part, self.terms = row, term, part, terms
+        self.term, self.part, self.terms, self.many = term.astype(np.int32), part, terms, rows
         self.first = np.searchsorted(row, np.arange(rows + 1))
-        by_term = np.argsort(term, kind="stable")
-        self.rows, self.order = row[by_term], by_term
-        self.bounds = np.searchsorted(term[by_term], np.arange(terms + 1))
+        self.order = np.argsort(term, kind="stable")
+        self.rows, self.parts = row[self.order].astype(np.int32), part[self.order].astype(np.float32)
+        self.bounds = np.searchsorted(term[self.order], np.arange(terms + 1))
         self.most = np.zeros(terms)
         np.maximum.at(self.most, term, part)
-        self.weights = np.zeros(terms)
+        self.weights, self.dense = np.zeros(terms), np.zeros(terms, bool)
         self.scored = 0
 
     def having(self, terms: np.ndarray) -> np.ndarray:
@@ -364,36 +380,52 @@ class Postings:
         entry = np.arange(ends[-1]) + np.repeat(self.first[rows] - (ends - sizes), sizes)
         return np.add.reduceat(self.weights[self.term[entry]] * self.part[entry], ends - sizes)
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, asked: Asked, query: int) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, asked: Asked, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, what the common tokens, those in `dense`, add to each row's score), as one product for some queries at a time. Each is gone with the next."""
+        pairs = asked.often * np.diff(self.bounds)
+        tokens = np.argsort(-pairs, kind="stable")[:COMMON]
+        tokens = tokens[pairs[tokens] >= WORTH * self.many * max(1, len(asked.queries))]
+        self.dense[:] = False
+        self.dense[tokens] = True
+        parts = np.zeros((len(tokens), self.many), np.float32)
+        for i, t in enumerate(tokens):
+            at = slice(self.bounds[t], self.bounds[t + 1])
+            parts[i, self.rows[at]] = self.parts[at]
+        weights, room = asked.matrix(tokens), np.empty((TOGETHER, self.many), np.float32)
+        for first in range(0, len(queries), TOGETHER):
+            some = queries[first : first + TOGETHER]
+            yield from zip(some, np.matmul(weights[some], parts, out=room[: len(some)]))
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, asked: Asked, query: int, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores): all rows of this block that may be among the query's best.
 
-        Rows with the rarest token that is enough of them come first and raise the
-        threshold. Tokens whose greatest contributions together stay under it can't
-        lift a row that has none of the others, so only rows with one of the others
-        are scored.
+        What the tokens add to each row is summed in single precision, to `total` if it
+        has the common tokens' part (see `common`). Rows that may reach the threshold by
+        it, or some of the block's own best as long as there is none, are scored.
         """
         there = self.bounds[terms + 1] > self.bounds[terms]
         terms, weights = terms[there], weights[there]
-        self.weights[terms] = weights
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        if (weights < 0).any():  # nothing bounds a sum then
-            rows = self.having(terms)
-            scores = self.score(rows)
-        else:
-            most = weights * self.most[terms]
-            order = np.argsort(-most, kind="stable")
-            sizes = np.cumsum((self.bounds[terms + 1] - self.bounds[terms])[order])
-            early = self.having(terms[order[: 1 + np.searchsorted(sizes, asked.candidates)]])
-            found = self.score(early)
-            asked.got(query, found)
-            rest = np.cumsum(most[order][::-1])[::-1]  # of a token and all that add less
-            needed = order[rest + SLACK >= asked.threshold(query)]
-            late = np.setdiff1d(self.having(terms[needed]), early, assume_unique=True)
-            scores = self.score(late)
-            asked.got(query, scores)
-            rows, scores = np.concatenate([early, late]), np.concatenate([found, scores])
+        others = np.flatnonzero(~self.dense[terms]) if total is not None else np.arange(len(terms))
+        total = np.zeros(self.many, np.float32) if total is None else total
+        if len(others):
+            at = [slice(a, b) for a, b in zip(self.bounds[terms[others]].tolist(), self.bounds[terms[others] + 1].tolist())]
+            added = np.concatenate([self.parts[x] for x in at])
+            added *= np.repeat(weights[others].astype(np.float32), [x.stop - x.start for x in at])
+            np.add.at(total, np.concatenate([self.rows[x] for x in at], dtype=np.intp), added)
+        slack = SLACK + ROUGH * float(np.abs(weights) @ self.most[terms])
+        least = float(asked.threshold(query)) - slack
+        if least == -np.inf and self.many >= asked.candidates:
+            # So many rows as there are candidates reach what the best of as many parts of the block do.
+            parts = min(self.many, 16 * asked.candidates)
+            highest = total[: self.many // parts * parts].reshape(parts, -1).max(axis=1)
+            least = float(np.partition(highest, -asked.candidates)[-asked.candidates]) - 2 * slack
+        rows = np.flatnonzero(total >= least) if least > 0 else self.having(terms)
+        self.weights[terms] = weights
+        scores = self.score(rows)
         self.weights[terms] = 0
+        asked.got(query, scores)
         kept = (scores + SLACK >= asked.threshold(query)) & (np.round(scores, RANKED) > 0)
         return rows[kept], scores[kept]
 
@@ -406,7 +438,7 @@ def _block(batch: pa.RecordBatch, i: int, asked: Asked, avgdl: float, k1: float,
     row, term, tf = row[known], place[term[known]], tf[known]
     norm = tf + k1 * (1 - b + b * dl[row] / avgdl)
     made = Postings(row, term, tf * (k1 + 1) / norm, len(dl), len(asked.vocabulary))
-    made.tf, made.norm = tf[made.order], norm[made.order]
+    made.tf, made.norm = tf, norm  # by row, as `part` is
     return made
 
 
@@ -415,9 +447,9 @@ def _searched(tokens: DataFrame, rows: pa.Table, avgdl: float, candidates: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = Asked(rows, candidates)
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, WIDE):
             entries = _block(batch, 0, asked, avgdl, k1, b)
-            found = [(q, *entries.best(*asked.queries[q], asked, q)) for q in asked.hopeful(entries.most)]
+            found = [(q, *entries.best(*asked.queries[q], asked, q, total)) for q, total in entries.common(asked, asked.hopeful(entries.most))]
             found = [f for f in found if len(f[1])]
             if found:
                 take = pa.array(np.concatenate([r for _, r, _ in found]))
@@ -438,7 +470,7 @@ def search(index: KeywordIndex, queries: DataFrame, candidates: int = 20, k1: fl
     """
     corpus = index.corpus.first()
     asked = written(query_tokens(queries).join(index.terms.select("token", "idf"), "token").select("query_id", "token", "qtf", "idf"), "asked")
-    parts = [_searched(index.tokens, rows, corpus.avgdl or 1.0, candidates, k1, b) for rows in _groups(asked)]
+    parts = [_searched(index.tokens, rows, corpus.avgdl or 1.0, candidates, k1, b) for rows in _groups(asked, WIDE * BROADCAST_ASKED)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
