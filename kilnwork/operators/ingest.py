@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CREATED_TAGS, merged_tags
-from ..sources.shared import written
+from ..sources.shared import merged, written
 from .vectors import nearest_within
 
 THRESHOLD, NEIGHBOURS = 0.2, 3
@@ -68,16 +68,16 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
 
 
 def changes(decisions: DataFrame, docs: DataFrame, pages: DataFrame, locale: str = "ko") -> DataFrame:
-    """The pages (page_id, title, path, locale, tags, content) that the plan makes or brings up to date: updates replace title, path and content and merge tags, creates get new ids in the order of their documents. Of several documents for one page the greatest doc_id stays. Errors change nothing. The plan is worked out once and written to the shared folder (a Spark job)."""
+    """The pages (page_id, title, path, locale, tags, content) that the plan makes or brings up to date: updates replace title, path and content and merge tags, creates get new ids in the order of their documents. Of several documents for one page the greatest doc_id stays. Errors change nothing. The plan is worked out once and written to the shared folder (a Spark job), and joined without a broadcast."""
     work = decisions.where("action <> 'error'")
     last = Window.partitionBy("target").orderBy(F.col("doc_id").desc())
     target = F.when(F.col("action") == "update", F.concat(F.lit("id "), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("path "), F.col("path")))
     work = written(work.withColumn("target", target).withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("target", "nth"), "work")
     old = pages.select("page_id", F.col("tags").alias("old_tags"))
-    updated = work.where("action = 'update'").join(old, "page_id").select("doc_id", "page_id", "title", "path", merged_tags(F.col("old_tags")).alias("tags"))
+    updated = merged(old, work.where("action = 'update'"), "page_id").select("doc_id", "page_id", "title", "path", merged_tags(F.col("old_tags")).alias("tags"))
     most = pages.agg(F.coalesce(F.max("page_id"), F.lit(0)).alias("most"))  # one row
     created = work.where("action = 'create'")
-    created = created.join(numbered(created, "doc_id"), "doc_id").crossJoin(F.broadcast(most))
+    created = merged(created, numbered(created, "doc_id"), "doc_id").crossJoin(F.broadcast(most))
     created = created.select("doc_id", (F.col("most") + F.col("number")).cast("long").alias("page_id"), "title", "path", F.array(*map(F.lit, CREATED_TAGS)).alias("tags"))
     rows = updated.unionByName(created).join(docs.select("doc_id", F.col("markdown").alias("content")), "doc_id")
     return rows.select("page_id", "title", "path", F.lit(locale).alias("locale"), "tags", "content")
